@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -17,16 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, f: Callable[..., Iterator[tuple]], schema: str, **params) -> DataFrame:
+def arrow_map(df: DataFrame, f: Callable[..., Iterator[tuple]], schema: str, gate: tuple[int, str] | None = None, **params) -> DataFrame:
     """Apply ``f(batch_columns, **params) -> rows`` to each Arrow batch of ``df``.
 
     ``batch_columns`` is a list of Python lists, one per column of ``df``. An empty batch gives no rows.
+    ``gate``: column number and RE2 pattern; rows whose text doesn't match are dropped before they become Python objects.
     """
     kind: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if gate:
+                b = b.filter(pc.match_substring_regex(b.column(gate[0]), gate[1]))
             rows = list(f([c.to_pylist() for c in b.columns], **params))
             if rows:
                 cols = list(zip(*rows, strict=True))

@@ -5,7 +5,8 @@ replacement characters. In the state of a pair only whole UTF-8 units can be emi
 the wrong encoding form one UTF-8 sequence; a unit's emission score depends on the character it restores to.
 Viterbi labels the characters, each labelled span gets its state's inverse transform, and the result is labelled
 again, since text can be garbled twice. Characters that no garbled state can emit are clean on any path, so the
-search runs only inside the stretches between them; a text without such a stretch never leaves the JVM.
+search runs only inside the stretches between them; a text without such a stretch is passed over by one
+pattern match per batch, before it becomes a Python object.
 
 Nulls and empty texts give no span. A repeated row gives its row again. A text is processed whole whatever its length.
 """
@@ -59,8 +60,8 @@ def _tables() -> dict:
 
 
 def candidate_pattern() -> str:
-    """A Java pattern that every text with a garbled stretch matches: some unit of some pair, or a lost character."""
-    alts = [LOST_CHAR, "[\\u3400-\\u9fff]"]
+    """An RE2 pattern that every text with a garbled stretch matches: some unit of some pair, or a lost character."""
+    alts = [LOST_CHAR, "[\\x{3400}-\\x{9fff}]"]
     for e in SINGLE:
         m = _single_map(e)
         cls = lambda lo, hi, m=m: "".join(f"\\x{{{ord(c):x}}}" for c, b in m.items() if lo <= b <= hi)
@@ -275,5 +276,5 @@ def garbled(df: DataFrame, key: str, text: str) -> DataFrame:
     Null and empty texts never appear. A row that stands twice appears twice. Columns besides ``key`` and ``text`` don't matter.
     """
     kind = df.schema[key].dataType.simpleString()
-    some = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(candidate_pattern()))
-    return arrow_map(some, _rows, f"key {kind}, restored string, n_garbled int, whole boolean").withColumnRenamed("key", key)
+    some = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
+    return arrow_map(some, _rows, f"key {kind}, restored string, n_garbled int, whole boolean", gate=(1, candidate_pattern())).withColumnRenamed("key", key)
