@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chunkwell.llm import mojibake
+from chunkwell.llm import furniture, mojibake, segment
 from chunkwell.llm.common import table
 
 CHUNKS = "prose_chunks"
@@ -20,6 +21,31 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(table(spark, d, CHUNKS), "chunk_id", "text").distinct()
 
 
+def _pieces(spark: SparkSession, d: str, keep_small: bool) -> DataFrame:
+    cap = table(spark, d, "size_limits").where("limit_name = 'chunk_cap'").first()
+    return segment.split_oversized(table(spark, d, CHUNKS), "chunk_id", "text", "node", cap.max_size, cap.overlap_share, keep_small)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, False).where("piece_no = 2").select("chunk_id").distinct()
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, True).dropDuplicates(["chunk_id", "piece_no"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return furniture.recurring_lines(table(spark, d, CHUNKS), "chunk_id", "doc", "page", "text")
+
+
+def p3_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return furniture.frequent_sequences(table(spark, d, CHUNKS), "chunk_id", "doc", "page", "text")[0]
+
+
+def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return furniture.without_lines(table(spark, d, CHUNKS), "chunk_id", "text", p3_found(spark, d)).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
