@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwell.llm import furniture, mojibake, segment
+from chunkwell.llm import furniture, lookalike, mojibake, segment
 from chunkwell.llm.common import table
 
 CHUNKS = "prose_chunks"
@@ -46,6 +46,25 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return furniture.without_lines(table(spark, d, CHUNKS), "chunk_id", "text", p3_found(spark, d)).distinct()
 
 
+def _both(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of both tables; a chunk that is delivered twice is kept twice here, its results are made distinct."""
+    rec = lambda t, k, x: table(spark, d, t).select(F.concat(F.lit(t + "|"), k).alias("rec"), F.col(x).alias("text"))
+    return rec(CHUNKS, "chunk_id", "text").unionByName(rec("test_queries", "query_id", "query_bangla"))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.select(F.substring_index("rec", "|", 1).alias("table_name"), F.expr("substring(rec, instr(rec, '|') + 1)").alias("record_id"), *[c for c in df.columns if c != "rec"])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _named(lookalike.changed(_both(spark, d), "rec", "text").select("rec").distinct())
+
+
+def p7_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The one form of each record that isn't in it as stored."""
+    return _named(lookalike.changed(_both(spark, d), "rec", "text").distinct())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
