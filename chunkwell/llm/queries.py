@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwell.llm import furniture, lookalike, mojibake, segment
-from chunkwell.llm.common import table
+from chunkwell.llm import furniture, lookalike, mojibake, neardup, segment
+from chunkwell.llm.common import stored, table
 
 CHUNKS = "prose_chunks"
 
@@ -65,6 +65,30 @@ def p7_forms(spark: SparkSession, d: str) -> DataFrame:
     return _named(lookalike.changed(_both(spark, d), "rec", "text").distinct())
 
 
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rec = neardup.records(table(spark, d, CHUNKS), "chunk_id", "text", [F.col("source_act"), F.col("section_number")])
+    return rec, stored(neardup.similar_classes(rec))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    rec, links = _near(spark, d)
+    return neardup.pairs_of(rec, links).select(F.col("key_a").alias("chunk_id_a"), F.col("key_b").alias("chunk_id_b"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    rec, links = _near(spark, d)
+    return neardup.groups(rec, links).select(F.col("key").alias("chunk_id"), "group_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_records(spark, d).select("chunk_id")
+
+
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    rec, links = _near(spark, d)
+    return neardup.survivors(table(spark, d, CHUNKS), "chunk_id", "text", neardup.groups(rec, links))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
