@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwell.llm import furniture, lookalike, mojibake, neardup, segment
+from chunkwell.llm import furniture, lookalike, mojibake, neardup, segment, sentences
 from chunkwell.llm.common import stored, table
 
 CHUNKS = "prose_chunks"
@@ -56,6 +56,19 @@ def _named(df: DataFrame) -> DataFrame:
     return df.select(F.substring_index("rec", "|", 1).alias("table_name"), F.expr("substring(rec, instr(rec, '|') + 1)").alias("record_id"), *[c for c in df.columns if c != "rec"])
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, CHUNKS)
+    audit = table(spark, d, "sentence_audit").select("chunk_id").distinct()
+    some = chunks.select("chunk_id", "text").join(audit, "chunk_id", "left_semi")
+    return sentences.sentences(some, "chunk_id", "text", sentences.statistics(chunks, "text")).select("chunk_id", "end_pos").distinct()
+
+
+def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every chunk."""
+    chunks = table(spark, d, CHUNKS)
+    return sentences.sentences(chunks, "chunk_id", "text", sentences.statistics(chunks, "text")).dropDuplicates(["chunk_id", "sentence_no"])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _named(lookalike.changed(_both(spark, d), "rec", "text").select("rec").distinct())
 
