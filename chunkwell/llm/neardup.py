@@ -106,7 +106,7 @@ def records(df: DataFrame, key: str, text: str, block: list[Column], min_words:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, seen = lookalike.Reader(latin), set()
-        for b in batches:
+        for b in (whole.slice(k, 2500) for whole in batches for k in range(0, len(whole), 2500)):
             texts = b.column(2)
             odd = pc.match_substring_regex(texts, gate)
             if pc.any(odd).as_py():
@@ -170,7 +170,21 @@ def frequencies(rec: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-ENTRY = np.dtype([("key", "<u8"), ("rid", "<i8")])
+#: A key is 46 bits of hash below the segment's number; the rest describes the class in that segment, sizes cut off at their type's limit.
+ENTRY = np.dtype([("key", "V6"), ("rid", "<i8"), ("sketch", "<u8"), ("n", "<u2"), ("c", "u1")])
+KEY_BITS = 48
+WIDE = np.dtype([("key", "<u8"), *[(k, t) for k, (t, _) in list(ENTRY.fields.items())[1:]]])
+
+
+def _wide(b: bytes) -> np.ndarray:
+    e = np.frombuffer(b, ENTRY)
+    out = np.zeros(len(e), WIDE)
+    for k in ENTRY.names[1:]:
+        out[k] = e[k]
+    key = np.zeros((len(e), 8), np.uint8)
+    key[:, :6] = np.frombuffer(b, np.uint8).reshape(len(e), ENTRY.itemsize)[:, :6]
+    out["key"] = key.view("<u8").ravel()
+    return out
 
 
 def _entries(rec: DataFrame, order: np.ndarray, t: float, parts: int) -> DataFrame:
@@ -193,27 +207,38 @@ def _entries(rec: DataFrame, order: np.ndarray, t: float, parts: int) -> DataFra
             most = n - np.ceil(n * t - 1e-9).astype(np.int64) + 1
             take = np.arange(len(seg)) - first[seg] < most[seg]
             seg, h = seg[take], h[take]
+            sketch = np.stack([b.column(3 + BOXES + i).to_numpy().view(np.uint64) for i in range(BOXES)], 1).ravel()[seg]
             block = b.column(0).to_numpy().view(np.uint64)[seg // BOXES]
-            key = _mix(h * ODD + _mix(block)) >> np.uint64(2) | ((seg % BOXES).astype(np.uint64) << np.uint64(62))
+            key = _mix(h * ODD + _mix(block)) >> np.uint64(66 - KEY_BITS) | ((seg % BOXES).astype(np.uint64) << np.uint64(KEY_BITS - 2))
             e = np.empty(len(seg), ENTRY)
-            e["key"], e["rid"] = key, b.column(1).to_numpy()[seg // BOXES]
+            e["key"], e["rid"], e["sketch"] = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel(), b.column(1).to_numpy()[seg // BOXES], sketch
+            e["n"], e["c"] = np.minimum(np.bincount(row, minlength=len(b))[seg // BOXES], 65535), np.minimum(n[seg], 255)
             to = (_mix(key) % np.uint64(parts)).astype(np.int64)
             o = np.argsort(to, kind="stable")
             e, to = e[o], to[o]
             cut = np.searchsorted(to, np.arange(parts + 1))
             yield pa.RecordBatch.from_pydict({"part": pa.array([p for p in range(parts) if cut[p] < cut[p + 1]], pa.int32()), "e": pa.array([e[cut[p] : cut[p + 1]].tobytes() for p in range(parts) if cut[p] < cut[p + 1]], pa.binary())})
 
-    return rec.select("block", "rid", "runs").where("runs is not null").mapInArrow(go, "part int, e binary")
+    return rec.select("block", "rid", "runs", *SIG).where("runs is not null").mapInArrow(go, "part int, e binary")
+
+
+def _begins(x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
+    """Whether a chain may begin in the segment that the entries share, and the sizes allow the similarity at all."""
+    n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    c, e = x["c"].astype(np.int64), y["c"].astype(np.int64)
+    size = (np.minimum(n, m) >= np.maximum(n, m) * t - 1e-9) | (np.maximum(n, m) == 65535)
+    apart = np.bitwise_count(x["sketch"] ^ y["sketch"])
+    return size & ((apart <= (1 - t) / (1 + t) * (c + e) + 1e-9) | (np.maximum(c, e) == 255))
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of classes that share an entry's key, as (a < b, segment); hot keys' classes go out singly, in blocks."""
+def _paired(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes that share an entry's key and may begin a chain there, as (a < b, segment); hot keys' classes go out singly, in blocks."""
     blobs: dict[int, list[bytes]] = {}
     for b in batches:
         for p, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             blobs.setdefault(p, []).append(e)
     for p in list(blobs):
-        e = np.frombuffer(b"".join(blobs.pop(p)), ENTRY)
+        e = _wide(b"".join(blobs.pop(p)))
         o = np.lexsort((e["rid"], e["key"]))
         e = e[o]
         new = np.ones(len(e), bool)
@@ -224,12 +249,12 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(np.append(edge, len(e)))
         size = np.repeat(n, n)
         keep = size > 1
-        key, rid, size = key[keep], rid[keep], size[keep]
+        e, key, rid, size = e[keep], key[keep], rid[keep], size[keep]
         at = np.arange(len(key)) - np.searchsorted(key, key)
         hot = size > HOT
         if hot.any():
             yield pa.RecordBatch.from_pydict({"a": key[hot].view(np.int64), "b": rid[hot], "box": (-1 - at[hot] // HOT).astype(np.int32)})
-            key, rid = key[~hot], rid[~hot]
+            e, key, rid = e[~hot], key[~hot], rid[~hot]
         d = 1
         left = np.arange(len(key))
         while len(left):
@@ -237,7 +262,8 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = left[key[left] == key[left + d]]
             for s in range(0, len(left), 1 << 18):
                 i = left[s : s + (1 << 18)]
-                yield pa.RecordBatch.from_pydict({"a": rid[i], "b": rid[i + d], "box": (key[i] >> np.uint64(62)).astype(np.int32)})
+                i = i[_begins(e[i], e[i + d], t)]
+                yield pa.RecordBatch.from_pydict({"a": rid[i], "b": rid[i + d], "box": (key[i] >> np.uint64(KEY_BITS - 2)).astype(np.int32)})
             d += 1
 
 
@@ -245,14 +271,14 @@ def _candidates(rec: DataFrame, t: float) -> DataFrame:
     """Distinct pairs (a < b) of classes, with the segments in which they may begin a chain as bits of ``boxes``."""
     total = rec.where("runs is not null").agg(F.sum("n")).first()[0] or 0
     parts = max(int(rec.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 4_000_000))
-    pairs = stored(_entries(rec, frequencies(rec), t, parts).repartition(parts, "part").mapInArrow(_paired, "a long, b long, box int"))
+    pairs = stored(_entries(rec, frequencies(rec), t, parts).repartition(parts, "part").mapInArrow(lambda it: _paired(it, t), "a long, b long, box int"))
     hot = pairs.where("box < 0").select(F.col("a").alias("key"), F.col("b").alias("rid"), (-1 - F.col("box")).alias("part"))
     last = hot.groupBy("key").agg(F.max("part").alias("last"))
     hot = hot.join(last, "key")
     left = hot.select("key", F.col("rid").alias("a"), F.col("part").alias("i"), F.explode(F.sequence("part", "last")).alias("j"))
     right = hot.select("key", F.col("rid").alias("b"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"))
     met = left.join(right, ["key", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
-    more = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.shiftrightunsigned("key", 62).cast("int").alias("box"))
+    more = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.shiftrightunsigned("key", KEY_BITS - 2).cast("int").alias("box"))
     return pairs.where("box >= 0").unionByName(more).groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, box)")).alias("boxes"))
 
 
