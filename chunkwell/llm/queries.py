@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwell.llm import furniture, lookalike, mojibake, neardup, segment, sentences
+from chunkwell.llm import furniture, lookalike, mojibake, neardup, segment, sentences, truncation
 from chunkwell.llm.common import stored, table
 
 CHUNKS = "prose_chunks"
@@ -102,6 +102,14 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return neardup.survivors(table(spark, d, CHUNKS), "chunk_id", "text", neardup.groups(rec, links))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judged(table(spark, d, "documents"), "doc_id", "source", "text").where("is_cut").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.shares(table(spark, d, "documents"), "doc_id", "source", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
