@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwell.llm import furniture, lookalike, mojibake, neardup, segment, sentences, truncation
+from chunkwell.llm import furniture, leakage, lookalike, mojibake, neardup, segment, sentences, truncation
 from chunkwell.llm.common import stored, table
 
 CHUNKS = "prose_chunks"
@@ -102,6 +102,14 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return neardup.survivors(table(spark, d, CHUNKS), "chunk_id", "text", neardup.groups(rec, links))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_passages"), "item_id", "text")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.judged(table(spark, d, "documents"), "doc_id", "source", "text").where("is_cut").select("doc_id")
 
