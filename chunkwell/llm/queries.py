@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwell.llm import furniture, leakage, lookalike, mojibake, neardup, segment, sentences, truncation
+from chunkwell.llm import furniture, leakage, lookalike, mojibake, neardup, packing, segment, sentences, truncation
 from chunkwell.llm.common import stored, table
 
 CHUNKS = "prose_chunks"
@@ -102,6 +102,16 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return neardup.survivors(table(spark, d, CHUNKS), "chunk_id", "text", neardup.groups(rec, links))
 
 
+def p8_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Each pack_* capacity by itself, and all of them permitted together."""
+    caps = {r.limit_name: [r.max_size] for r in table(spark, d, "size_limits").where("limit_name like 'pack_%'").orderBy("limit_name").collect()}
+    return packing.packed(table(spark, d, "documents"), "doc_id", "text", caps | {"pack_joint": sorted(c for x in caps.values() for c in x)})
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_bins(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_spans(spark, d).select("doc_id", "item_id").distinct()
 
