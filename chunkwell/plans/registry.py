@@ -1,13 +1,472 @@
-"""All registered queries of the core."""
+"""All registered queries of the core, each with the SQL that checks it where SQL can express it."""
 
+from __future__ import annotations
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from chunkwell.functions import text as T
+from chunkwell.operators import dedup, evaluation, ingest, parents, quality, retrieval
+from chunkwell.plans import sql as S
+from chunkwell.sources import corpus, sinks
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+c = F.col
 
-def oracle_sql():
-    return {}
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "prose_chunks")
+
+
+def once(spark: SparkSession, d: str) -> DataFrame:
+    return quality.delivered_once(chunks(spark, d))
+
+
+def simple(name: str, columns: dict[str, tuple], key: str = "seq", source: str = "prose_chunks") -> None:
+    """A projection of one table: output name -> (Spark column builder, SQL)."""
+    sql = f"SELECT {key}, " + ", ".join(f"{q} AS {n}" for n, (_, q) in columns.items()) + f" FROM {source}"
+    register(name, sql)(lambda s, d: table(s, d, source).select(key, *[f().alias(n) for n, (f, _) in columns.items()]))
+
+
+# --- FN: scalar functions -------------------------------------------------------------------------------------------
+
+simple("fn_01_normalize", {"norm": (lambda: T.normalize(c("text")), S.norm("text"))})
+simple("fn_02_digits", {"node_ascii": (lambda: T.ascii_digits(c("node")), f"translate(node, '{T.BANGLA_DIGITS}', '0123456789')")})
+simple("fn_03_tokens", {"tokens": (lambda: T.estimate_tokens(c("text")), S.tokens("text"))})
+simple("fn_04_preview", {"preview": (lambda: T.preview(c("text")), f"CASE WHEN length({S.norm('text')}) > 280 THEN substr({S.norm('text')}, 1, 280) || ' ...' ELSE {S.norm('text')} END")})
+simple("fn_05_slug", {"slug": (lambda: T.doc_slug(c("path")), r"trim(regexp_replace(lower(regexp_replace(regexp_extract(path, '([^/\\]*)$', 1), '\.[^.]*$', '')), '[^a-z0-9]+', '_', 'g'), '_')")})
+simple("fn_06_cells_clean", {"cell": (lambda: T.normalize(c("section_title")), S.norm("section_title"))}, "parent_id", "parent_store")
+
+
+@register("fn_07_ids", "SELECT seq, printf('chk%04d', row_number() OVER (PARTITION BY doc ORDER BY seq)) AS local_id FROM prose_chunks")
+def _(s, d):
+    from pyspark.sql import Window
+
+    return chunks(s, d).select("seq", T.sequential_id("chk", F.row_number().over(Window.partitionBy("doc").orderBy("seq"))).alias("local_id"))
+
+
+@register(
+    "fn_08_cells",
+    f"""WITH w AS (SELECT DISTINCT unnest(string_split({S.norm("text")}, ' ')) AS cell FROM prose_chunks), n AS (SELECT cell, translate(cell, '{T.BANGLA_DIGITS}', '0123456789') AS a FROM w)
+SELECT cell, CASE WHEN regexp_matches(a, '^-?[0-9][0-9,]*$') THEN try_cast(replace(a, ',', '') AS BIGINT) END AS i,
+CASE WHEN regexp_matches(a, '^-?[0-9]+\\.[0-9]+$') THEN try_cast(a AS DOUBLE) END AS d,
+CASE WHEN NOT regexp_matches(a, '^-?[0-9][0-9,]*$') AND NOT regexp_matches(a, '^-?[0-9]+\\.[0-9]+$') THEN cell END AS s FROM n""",
+)
+def _(s, d):
+    w = chunks(s, d).select(F.explode(F.split(T.normalize(c("text")), " ")).alias("cell")).distinct()
+    return w.select("cell", T.coerce_cell(c("cell")).alias("v")).select("cell", "v.*")
+
+
+simple("fn_09_section_ids", {"sid": (lambda: T.section_id(F.regexp_replace("section_marker", "[।.]", "")), f"CASE WHEN regexp_matches(m, '^[০-৯]{{1,3}}[ক-চ]?$') THEN CAST(CAST(translate(regexp_extract(m, '^[০-৯]+'), '{T.BANGLA_DIGITS}', '0123456789') AS INT) AS VARCHAR) || translate(regexp_extract(m, '[ক-চ]$'), '{T.CLAUSE_LETTERS}', 'ABCDEF') END")}, "seq", "prose_chunks")
+_SQL["fn_09_section_ids"] = _SQL["fn_09_section_ids"].replace("FROM prose_chunks", "FROM (SELECT seq, trim(regexp_replace(section_marker, '[।.]', '', 'g')) AS m FROM prose_chunks)")
+
+HEADINGS = [
+    ("২০০৬ সনের ৪২ নং আইনের ধারা ১৭ এর সংশোধন", "17"),
+    ("২০০৬ সনের ৪২ নং আইনে নূতন ধারা ৩০৭ক ও ৩০৭খ এর সন্নিবেশ", "307A;307B"),
+    ("২০০৬ সনের ৪২ নং আইনের ধারা ৩৪৫ক, ৩৪৫খ ও ৩৪৫গ এর সংশোধন", "345A;345B;345C"),
+    ("২০০৬ সনের ৪২ নং আইনের প্রথম তফসিল প্রতিস্থাপন", "schedule_1"),
+    ("২০০৬ সনের ৪২ নং আইনের কতিপয় শব্দের সংশোধন", "*"),
+    ("সংক্ষিপ্ত শিরোনাম ও প্রবর্তন", None),
+]
+
+
+@register("fn_10_amended", "SELECT * FROM (VALUES " + ", ".join(f"('{h}', {'NULL' if v is None else repr(v)})" for h, v in HEADINGS) + ") AS t(heading, amends)")
+def _(s, d):
+    return s.createDataFrame([(h,) for h, _ in HEADINGS], "heading string").select("heading", T.amends_field(c("heading")).alias("amends"))
+
+
+simple("fn_12_topics", {"tags": (lambda: F.array_join(T.topic_tags(c("text")), ";"), "array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in ws) + f" THEN '{t}' END" for t, ws in T.TOPICS.items()) + "], lambda x: x IS NOT NULL)[1:3], ';')")})
+simple("fn_13_path", {"path": (lambda: T.section_path(c("doc"), c("chapter"), c("kind"), c("node"), c("section_marker"), c("page")), S.SECTION_PATH)})
+simple("fn_14_prefix", {"prefix": (lambda: T.embed_prefix(c("source_act"), c("doc"), c("chapter"), c("section_path"), c("section_title"), c("kind"), c("amends_section")), S.EMBED_PREFIX)})
+simple("fn_15_embed_text", {"embed_text": (lambda: T.embed_text(c("source_act"), c("text")), "concat_ws(' — ', nullif(source_act, ''), coalesce(text, ''))")})
+FLAT = ["doc", "page", "kind", "est_tokens", "source_act", "legal_status", "in_force", "topic_tags"]
+
+
+@register("fn_16_flat", "SELECT seq, coalesce(doc, '') AS doc, coalesce(page, -1) AS page, coalesce(kind, '') AS kind, coalesce(est_tokens, -1) AS est_tokens, coalesce(source_act, '') AS source_act, coalesce(legal_status, '') AS legal_status, coalesce(CAST(in_force AS VARCHAR), '') AS in_force, coalesce(array_to_string(topic_tags, '; '), '') AS topic_tags FROM prose_chunks")
+def _(s, d):
+    t = chunks(s, d)
+    return t.select("seq", *T.flat_metadata(t, FLAT))
+
+
+@register("fn_17_unflat", "SELECT seq, len(topic_tags) AS n_tags, coalesce(page, -1) AS page, coalesce(in_force, false) AS in_force FROM prose_chunks")
+def _(s, d):
+    t = chunks(s, d)
+    flat = t.select("seq", *[x.cast("string").alias(n) for x, n in zip(T.flat_metadata(t, FLAT), FLAT, strict=True)])
+    return flat.select("seq", F.size(T.unflat_list(c("topic_tags"))).alias("n_tags"), T.unflat_int(c("page")).alias("page"), T.unflat_bool(c("in_force")).alias("in_force"))
+
+
+simple("fn_20_hash", {"h": (lambda: T.text_hash(c("text")), f"sha1(lower({S.norm('text')}))")})
+simple("fn_21_authority", {"place": (lambda: T.authority_order(c("authority_rank")), S.authority("authority_rank"))})
+simple("fn_22_bangla", {"bangla": (lambda: T.is_bangla(c("text")), r"coalesce(len(regexp_extract_all(text, '[\x{0985}-\x{09B9}\x{09CE}\x{09DC}-\x{09E1}\x{09F0}\x{09F1}\x{09FC}\x{0980}\x{09BD}]')) * 1.0 / nullif(len(regexp_extract_all(text, '\pL')), 0), 0) >= 0.3")})
+simple("fn_23_looks_bangla", {"bangla": (lambda: T.looks_bangla(c("query_bangla")), r"regexp_matches(coalesce(query_bangla, ''), '[\x{0980}-\x{09FF}]')")}, "query_id", "test_queries")
+
+
+@register("fn_24_cosine", "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def _(s, d):
+    e = table(s, d, "embeddings")
+    return e.join(e.select((c("vec_id") - 1).alias("vec_id"), c("embedding").alias("other")), "vec_id").select("vec_id", F.round(T.cosine(c("embedding"), c("other")), 6).alias("sim"))
+
+
+@register("fn_25_envelope", "SELECT * FROM (VALUES (1, 'a;b', false, true, false), (2, 'solo', false, false, false), (3, 'q', false, false, true), (4, 'q', false, false, true)) AS t(k, variants, multi_aspect, historical, degraded)")
+def _(s, d):
+    rows = [(1, '{"variants": ["a", " b ", ""], "historical": true}'), (2, '{"variants": "solo", "multi_aspect": "false"}'), (3, "no json"), (4, None)]
+    e = s.createDataFrame(rows, "k int, reply string").select("k", T.envelope(c("reply"), F.lit("q")).alias("e"))
+    return e.select("k", F.array_join("e.variants", ";").alias("variants"), "e.multi_aspect", "e.historical", "e.degraded")
+
+
+simple("fn_26_amends_list", {"n_amends": (lambda: F.size(T.unflat_list(c("amends_section"))), "len(list_filter(list_transform(string_split(coalesce(amends_section, ''), ';'), lambda x: trim(x)), lambda x: x <> ''))")})
+simple("fn_30_parent_content", {"chars": (lambda: F.length(T.parent_content(c("kind"), c("text"), c("table_json"))), "length(CASE WHEN kind = 'table' THEN coalesce(table_json, '') ELSE coalesce(text, '') END)")}, "parent_id", "parent_store")
+simple("fn_31_parent_tokens", {"tokens": (lambda: T.content_tokens(c("kind"), c("text"), c("table_json")), f"CASE WHEN kind = 'table' THEN greatest(1, CAST(round_even(length(coalesce(table_json, '')) / 4.0, 0) AS INT)) ELSE {S.tokens('text')} END")}, "parent_id", "parent_store")
+simple("fn_33_masthead_fields", {"ministry": (lambda: T.masthead_fields(c("text"))["issuing_authority"], f"nullif({S.norm(chr(39).join(['regexp_extract(text, ', '(?i)(Ministry[ \\t\\n\\f\\r]+of[^\\n.]*)', ', 1)']))}, '')"), "registration": (lambda: T.masthead_fields(c("text"))["registration_no"], r"nullif(regexp_replace(regexp_replace(regexp_extract(text, '(?i)Registered\s+No\.?\s*([A-Za-z]+\s*-\s*\S+|\S+)', 1), '-\s+', '-', 'g'), '\.+$', ''), '')")})
+simple("fn_36_section_number", {"num": (lambda: T.section_number(c("section_marker")), "nullif(regexp_extract(coalesce(section_marker, ''), '^([0-9]{1,3})', 1), '')")})
+
+
+@register("fn_32_masthead_lines", f"""WITH l AS (SELECT seq, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM prose_chunks) SELECT seq, count(*) AS n FROM l WHERE regexp_matches(line, '{S.MASTHEAD}') GROUP BY seq""")
+def _(s, d):
+    lines = chunks(s, d).select("seq", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
+    return lines.where(T.is_masthead(c("line"), F.lit(False))).groupBy("seq").agg(F.count("*").alias("n"))
+
+
+def doc_lines(s, d):
+    t = table(s, d, "documents")
+    return ingest.line_table(t.withColumn("page", F.lit(1)), "doc_id", "page", "text")
+
+
+@register("fn_35_line_kinds", f"WITH {S.LINES} SELECT doc, line_no, kind, mark FROM l2")
+def _(s, d):
+    return doc_lines(s, d).select("doc", "line_no", "kind", "mark")
+
+
+# --- FLT, JN ---------------------------------------------------------------------------------------------------------
+
+
+@register("src_07_gold", "SELECT query_id, category, gold_section_number, multi_aspect_expected, historical_expected, dual_layer_expected FROM test_queries")
+def _(s, d):
+    return table(s, d, "test_queries").select("query_id", "category", "gold_section_number", "multi_aspect_expected", "historical_expected", "dual_layer_expected")
+
+
+@register("src_08_parents", "SELECT kind, count(*) AS n, sum(n_children) AS children FROM parent_store GROUP BY kind")
+def _(s, d):
+    return corpus.saved(s, f"{d}/parent_store.parquet").groupBy("kind").agg(F.count("*").alias("n"), F.sum("n_children").alias("children"))
+
+
+@register("src_10_lookup", f"WITH c AS ({S.ONCE}) SELECT a.chunk_id, c.kind, c.source_act FROM (SELECT DISTINCT chunk_id FROM sentence_audit) a LEFT JOIN c USING (chunk_id)")
+def _(s, d):
+    return retrieval.lookup(table(s, d, "sentence_audit").select("chunk_id").distinct(), "chunk_id", once(s, d), ["kind", "source_act"])
+
+
+@register("src_11_text_lookup", f"WITH c AS ({S.ONCE}) SELECT a.chunk_id, coalesce(c.text, '') AS text FROM (SELECT DISTINCT chunk_id FROM sentence_audit) a LEFT JOIN c USING (chunk_id)")
+def _(s, d):
+    return retrieval.lookup(table(s, d, "sentence_audit").select("chunk_id").distinct(), "chunk_id", once(s, d), ["text"], blank=True)
+
+
+@register("flt_01_applicable", f"SELECT seq FROM prose_chunks WHERE {S.APPLICABLE}")
+def _(s, d):
+    return retrieval.applicable(chunks(s, d)).select("seq")
+
+
+@register("flt_02_historical", "SELECT seq FROM prose_chunks")
+def _(s, d):
+    return retrieval.applicable(chunks(s, d), historical=True).select("seq")
+
+
+@register("flt_03_degraded", "SELECT query_id, historical_expected AND NOT multi_aspect_expected AS historical FROM test_queries")
+def _(s, d):
+    return table(s, d, "test_queries").select("query_id", retrieval.effective_historical(c("historical_expected"), c("multi_aspect_expected")).alias("historical"))
+
+
+@register("flt_04_index_bound", "SELECT seq FROM prose_chunks c WHERE retrievable AND EXISTS (SELECT 1 FROM validation_report v WHERE v.doc = c.doc AND NOT v.blocked)")
+def _(s, d):
+    return quality.index_bound(chunks(s, d), table(s, d, "validation_report")).select("seq")
+
+
+@register("flt_05_indexable", "SELECT seq FROM prose_chunks WHERE coalesce(retrievable, false) AND coalesce(kind, '') <> 'front_matter'")
+def _(s, d):
+    return quality.indexable(chunks(s, d)).select("seq")
+
+
+@register("flt_06_near_candidates", "SELECT seq FROM prose_chunks WHERE retrievable AND coalesce(est_tokens, 0) >= 6")
+def _(s, d):
+    return chunks(s, d).where(F.coalesce("retrievable", F.lit(False)) & (F.coalesce("est_tokens", F.lit(0)) >= dedup.MIN_TOKENS)).select("seq")
+
+
+@register("flt_10_first_masthead", "SELECT doc, min(seq) AS seq FROM prose_chunks WHERE kind = 'front_matter' GROUP BY doc")
+def _(s, d):
+    return chunks(s, d).where("kind = 'front_matter'").groupBy("doc").agg(F.min("seq").alias("seq"))
+
+
+REGISTRY = ["source_type", "legal_status", "in_force", "authority_rank"]
+
+
+@register("jn_02_registry", "SELECT c.seq, coalesce(r.source_type, 'unknown') AS source_type, r.legal_status, coalesce(r.in_force, false) AS in_force, r.authority_rank FROM prose_chunks c LEFT JOIN doc_metadata r USING (doc)")
+def _(s, d):
+    return corpus.registry(chunks(s, d), table(s, d, "doc_metadata"), REGISTRY, {"source_type": "unknown", "in_force": False}).select("seq", *REGISTRY)
+
+
+@register("jn_07_parents", "SELECT c.seq, p.kind AS parent_kind, CASE WHEN p.parent_id IS NULL THEN 'missing_parent' ELSE 'found' END AS label FROM prose_chunks c LEFT JOIN parent_store p USING (parent_id)")
+def _(s, d):
+    p = table(s, d, "parent_store").select("parent_id", c("kind").alias("parent_kind"), F.lit(1).alias("there"))
+    return chunks(s, d).join(p, "parent_id", "left").select("seq", "parent_kind", F.when(c("there").isNull(), "missing_parent").otherwise("found").alias("label"))
+
+
+@register(
+    "jn_08_overlay_pairs",
+    f"""WITH c AS ({S.ONCE}), o AS (SELECT DISTINCT chunk_id, trim(unnest(string_split(amends_section, ';'))) AS section FROM c WHERE text_layer = 'amendment_overlay'),
+b AS (SELECT section_number AS section, count(*) AS n FROM c WHERE text_layer = 'consolidated_base' AND section_number IS NOT NULL GROUP BY 1)
+SELECT o.chunk_id, CAST(sum(b.n) AS BIGINT) AS n_base FROM o JOIN b USING (section) WHERE section <> '' GROUP BY 1""",
+)
+def _(s, d):
+    t = once(s, d)
+    o = t.where("text_layer = 'amendment_overlay'").select("chunk_id", F.explode(T.unflat_list(c("amends_section"))).alias("section")).distinct()
+    b = t.where("text_layer = 'consolidated_base' and section_number is not null").groupBy(c("section_number").alias("section")).agg(F.count("*").alias("n"))
+    return o.join(b, "section").groupBy("chunk_id").agg(F.sum("n").alias("n_base"))
+
+
+@register("jn_12_gold_labels", f"WITH c AS ({S.ONCE}), n AS (SELECT doc, section_number, count(*) AS n FROM c GROUP BY 1, 2) SELECT q.query_id, coalesce(n.n, 0) AS n_relevant FROM test_queries q LEFT JOIN n ON n.doc = q.gold_source_doc AND n.section_number = q.gold_section_number")
+def _(s, d):
+    n = once(s, d).groupBy(c("doc").alias("gold_source_doc"), c("section_number").alias("gold_section_number")).agg(F.count("*").alias("n"))
+    return table(s, d, "test_queries").join(n, ["gold_source_doc", "gold_section_number"], "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n_relevant"))
+
+
+# --- AGG, WIN, SET ------------------------------------------------------------------------------------------------------
+
+
+@register("once_delivered", f"WITH c AS ({S.ONCE}) SELECT chunk_id, seq FROM c")
+def _(s, d):
+    return once(s, d).select("chunk_id", "seq")
+
+
+@register("agg_01_routes", f"SELECT doc, {S.TEXT_LABEL} AS label, count(*) AS n FROM prose_chunks GROUP BY 1, 2")
+def _(s, d):
+    return chunks(s, d).groupBy("doc", ingest.text_label(c("text")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@register("agg_02_exact_duplicates", S.EXACT)
+def _(s, d):
+    return dedup.exact(once(s, d))
+
+
+@register("agg_04_furniture", S.FURNITURE)
+def _(s, d):
+    return quality.furniture(chunks(s, d)).where("is_furniture").select("seq")
+
+
+@register("agg_05_report", S.REPORT)
+def _(s, d):
+    return quality.report(once(s, d)).select("doc", "items", "leaves", "parentless_leaves", "blank_nodes", "empty_texts", "front_matter", "furniture_stripped", "sections_seen", "checks_total", "checks_failed", "ok", "blocked", "pass_rate")
+
+
+@register("agg_06_sections", f"WITH c AS ({S.ONCE}) SELECT doc, section_marker, count(*) AS n_children, min(page) AS first_page, length(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY seq)) AS chars FROM c WHERE coalesce(section_marker, '') <> '' GROUP BY 1, 2")
+def _(s, d):
+    t = once(s, d).where("coalesce(section_marker, '') <> ''")
+    return t.groupBy("doc", "section_marker").agg(F.count("*").alias("n_children"), F.min("page").alias("first_page"), F.length(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("x")))), lambda v: v.x), "\n\n")).alias("chars"))
+
+
+@register("agg_08_totals", "SELECT count(*) AS n, count(DISTINCT doc) AS docs, count_if(retrievable) AS retrievable, count_if(kind = 'leaf') AS leaves, sum(est_tokens) AS tokens FROM prose_chunks")
+def _(s, d):
+    return chunks(s, d).agg(F.count("*").alias("n"), F.countDistinct("doc").alias("docs"), F.count_if("retrievable").alias("retrievable"), F.count_if(c("kind") == "leaf").alias("leaves"), F.sum("est_tokens").alias("tokens"))
+
+
+def page_words(s, d):
+    return chunks(s, d).select("doc", "page", F.explode(F.split(T.normalize(c("text")), " ")).alias("w")).where("w <> ''")
+
+
+@register("agg_09_page_evidence", S.PAGE_EVIDENCE)
+def _(s, d):
+    return ingest.page_evidence(page_words(s, d), ["doc", "page"], "w")
+
+
+@register("tbl_01_router", f"WITH e AS ({S.PAGE_EVIDENCE}) SELECT doc, page, CASE WHEN (n_words > 60 AND (one_letter_share > 0.45 OR top_token_share > 0.30 OR n_chars / n_words > 40 OR dagger_share > 0.10)) OR (n_words >= 5 AND cid_share > 0.10) THEN 'visual_routing_required' WHEN n_words < 15 THEN 'empty' ELSE 'prose' END AS label FROM e")
+def _(s, d):
+    return ingest.page_evidence(page_words(s, d), ["doc", "page"], "w").select("doc", "page", ingest.page_label().alias("label"))
+
+
+simple("tbl_02_text_router", {"label": (lambda: ingest.text_label(c("text")), S.TEXT_LABEL)}, "doc_id", "documents")
+
+
+@register("win_04_continuity", S.CONTINUITY)
+def _(s, d):
+    return quality.continuity(once(s, d), "doc", "section_number", "seq")
+
+
+@register("win_01_hierarchy", S.HIERARCHY)
+def _(s, d):
+    return ingest.hierarchy(doc_lines(s, d)).select("doc", "line_no", "chapter", "section_marker", "node", "block")
+
+
+@register("tbl_14_nodes", f"WITH c AS ({S.ONCE}) SELECT chunk_id, CASE WHEN coalesce(node, '') = '' THEN printf('blk%03d', row_number() OVER (PARTITION BY doc ORDER BY seq)) ELSE node END AS node FROM c")
+def _(s, d):
+    return quality.fill_nodes(once(s, d)).select("chunk_id", "node")
+
+
+@register("set_01_union", "SELECT 'chunk' AS origin, doc, count(*) AS n FROM prose_chunks GROUP BY doc UNION ALL SELECT 'table', doc, count(*) FROM parent_store WHERE kind = 'table' GROUP BY doc")
+def _(s, d):
+    t = table(s, d, "parent_store").where("kind = 'table'").select("doc", F.lit("table").alias("origin"))
+    return chunks(s, d).select("doc", F.lit("chunk").alias("origin")).unionByName(t).groupBy("origin", "doc").agg(F.count("*").alias("n"))
+
+
+@register("set_02_unregistered", "SELECT DISTINCT doc FROM prose_chunks EXCEPT SELECT doc FROM doc_metadata")
+def _(s, d):
+    return chunks(s, d).select("doc").distinct().join(table(s, d, "doc_metadata").select("doc"), "doc", "left_anti")
+
+
+@register("top_05_audit", f"WITH c AS ({S.ONCE}) SELECT chunk_id, seq FROM c WHERE coalesce(text, '') = '' ORDER BY seq LIMIT 200")
+def _(s, d):
+    return once(s, d).where("coalesce(text, '') = ''").orderBy("seq").limit(200).select("chunk_id", "seq")
+
+
+# --- TBL: folds with feedback, checked against brute force in the tests ---------------------------------------------------
+
+
+@register("tbl_03_masthead", None)
+def _(s, d):
+    return chunks(s, d).select("seq", ingest.masthead_cut(c("text")).alias("cut")).where("cut > 0")
+
+
+@register("tbl_05_short_leaves", None)
+def _(s, d):
+    b = ingest.blocks(doc_lines(s, d)).select(c("doc").cast("string").alias("doc"), "page", "block", F.when(c("kind") == "chapter", "section_header").otherwise("leaf").alias("kind"), "node", c("section_marker").alias("section"), "text")
+    return ingest.merge_short_leaves(b)
+
+
+@register("tbl_06_packing", None)
+def _(s, d):
+    return ingest.pack(table(s, d, "documents"), "doc_id", "text")
+
+
+@register("tbl_06_sentences", None)
+def _(s, d):
+    return ingest.pack(table(s, d, "documents"), "doc_id", "text", by="sentences")
+
+
+@register("tbl_07_near_duplicates", None)
+def _(s, d):
+    return dedup.near(once(s, d))
+
+
+@register("tbl_11_parents", None)
+def _(s, d):
+    return parents.build(once(s, d))[1]
+
+
+@register("tbl_12_tables", None)
+def _(s, d):
+    """Grids built from the lines of orders."""
+    li = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.array(c("l_returnflag"), c("l_quantity").cast("int").cast("string"), F.format_number("l_extendedprice", 2)).alias("r")))).alias("x"))
+    g = li.select("l_orderkey", F.concat(F.array(F.array(F.lit("Flag"), F.lit("Quantity"), F.lit("Price"))), F.transform("x", lambda v: v.r)).alias("rows"))
+    return ingest.table_chunks(g, "rows").select("l_orderkey", "summary", F.array_join("labels", "|").alias("labels"), "data_json", "kept")
+
+
+# --- RET: search, fusion, context ---------------------------------------------------------------------------------------
+
+
+def index(s, d):
+    """Chunks with a vector: those whose delivery number is a vector's."""
+    return chunks(s, d).join(table(s, d, "embeddings").select(c("vec_id").alias("seq"), c("embedding").alias("vector")), "seq")
+
+
+def stated_queries(s, d):
+    """The vectors whose number is divisible by 20, in three variants each."""
+    return retrieval.masked_variants(table(s, d, "embeddings").where("vec_id % 20 = 0"), "vec_id", "embedding")
+
+
+def ranked(s, d):
+    return retrieval.search(retrieval.applicable(index(s, d)), stated_queries(s, d), "seq", "vector", exclude_self=True)
+
+
+@register("jn_06_search", f"WITH {S.RANKED} SELECT query_id, list_no, seq, round(score, 6) AS score, rank FROM ranked")
+def _(s, d):
+    return ranked(s, d).select("query_id", "list_no", "seq", F.round("score", 6).alias("score"), "rank")
+
+
+@register("agg_03_fusion", f"WITH {S.RANKED}, {S.FUSED} SELECT query_id, seq, round(rrf, 6) AS rrf_score, appears_in, rrf_rank FROM fused")
+def _(s, d):
+    return retrieval.fuse(ranked(s, d), "seq")
+
+
+@register("win_11_relevance", f"WITH {S.RANKED} SELECT query_id, list_no, seq, round(CASE WHEN hi = lo THEN 0.5 ELSE (score - lo) / (hi - lo) END, 6) AS rel FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM ranked WINDOW w AS (PARTITION BY query_id, list_no))")
+def _(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("query_id", "list_no")
+    lo, hi = F.min("score").over(w), F.max("score").over(w)
+    return ranked(s, d).select("query_id", "list_no", "seq", F.round(F.when(hi == lo, 0.5).otherwise((c("score") - lo) / (hi - lo)), 6).alias("rel"))
+
+
+@register("ret_5_final", f"WITH {S.RANKED}, {S.FUSED} SELECT query_id, seq, row_number() OVER (PARTITION BY query_id ORDER BY rrf_rank) AS final_rank FROM fused QUALIFY final_rank <= 5")
+def final(s, d):
+    """The reranker switched off: the fused order stands."""
+    return retrieval.rerank(retrieval.fuse(ranked(s, d), "seq"), "seq", None).select("query_id", "seq", "final_rank")
+
+
+@register("ret_4_dedup_pool", None)
+def _(s, d):
+    pool = retrieval.fuse(ranked(s, d), "seq").join(index(s, d).select("seq", "doc", "text_layer", "source_act", "amends_section", "vector", T.authority_order(c("authority_rank")).alias("authority")), "seq")
+    return retrieval.dedup_pool(pool, "seq", 0.25)
+
+
+@register("ret_8_retrieve", None)
+def _(s, d):
+    q = stated_queries(s, d)
+    flags = table(s, d, "test_queries").select(F.row_number().over(__import__("pyspark").sql.Window.orderBy("query_id")).alias("n"), c("query_english").alias("query_text"), c("multi_aspect_expected").alias("multi_aspect"), c("historical_expected").alias("historical"))
+    q = q.withColumn("n", (c("query_id") / 20 + 1).cast("int")).join(flags, "n", "left").drop("n")
+    return retrieval.retrieve(index(s, d), q, table(s, d, "parent_store"), key="seq", near=0.25)
+
+
+@register("ret_9_trace", None)
+def _(s, d):
+    lists = ranked(s, d)
+    pool = retrieval.fuse(lists, "seq")
+    return retrieval.trace({"1": stated_queries(s, d), "2": lists, "3": pool, "5": retrieval.rerank(pool, "seq", None)}).select("query_id", F.to_json("stages").alias("stages"), F.array_join("missing", ",").alias("missing"), "ok")
+
+
+@register("eval_measures", f"""WITH {S.RANKED}, rel AS (SELECT q.vec_id AS query_id, i.seq FROM embeddings q JOIN (SELECT c.seq, e.label FROM prose_chunks c JOIN embeddings e ON e.vec_id = c.seq) i ON i.label = q.label WHERE q.vec_id % 20 = 0 AND i.seq <> q.vec_id),
+n AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY 1), one AS (SELECT query_id, seq, rank FROM ranked WHERE list_no = 0),
+h AS (SELECT o.query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM one o JOIN rel USING (query_id, seq) GROUP BY 1)
+SELECT query_id, round(coalesce(hits / n_rel, 0), 6) AS recall, round(coalesce(1 / first, 0), 6) AS rr, round(coalesce(dcg / list_sum(list_transform(range(1, least(n_rel, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg FROM n LEFT JOIN h USING (query_id)""")
+def _(s, d):
+    e = table(s, d, "embeddings")
+    lab = index(s, d).join(e.select(c("vec_id").alias("seq"), "label"), "seq").select("seq", "label")
+    rel = e.where("vec_id % 20 = 0").select(c("vec_id").alias("query_id"), "label").join(lab, "label").where("seq <> query_id")
+    return evaluation.measures(ranked(s, d).where("list_no = 0"), rel, "seq")
+
+
+@register("udf_01_index", None)
+def _(s, d):
+    return sinks.index_rows(once(s, d)).select("chunk_id", F.xxhash64("embed_text").alias("text_hash"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm2"))
+
+
+@register("snk_04_manifest", f"WITH c AS ({S.ONCE}) SELECT count(*) AS children_in, count_if(retrievable AND kind <> 'front_matter') AS indexed, count(*) - count_if(retrievable AND kind <> 'front_matter') AS excluded, 'hashed_words' AS model, 64 AS dims, 'cosine' AS space FROM c")
+def _(s, d):
+    t = once(s, d)
+    return sinks.manifest(t, quality.indexable(t), 64)
+
+
+def entry(spark: SparkSession, d: str) -> DataFrame:
+    return final(spark, d)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
