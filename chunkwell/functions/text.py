@@ -250,7 +250,7 @@ def flat_metadata(df, cols: list[str]) -> list[Column]:
 
 
 def unflat_list(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def unflat_int(c: Column) -> Column:
@@ -269,7 +269,7 @@ def envelope(reply: Column, original: Column, most: int = 3) -> Column:
     v = F.try_parse_json(reply)
     many = F.try_variant_get(v, "$.variants", "array<string>")
     one = F.try_variant_get(v, "$.variants", "string")
-    got = F.filter(F.transform(F.slice(F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>")), 1, most), F.trim), lambda x: x.isNotNull() & (x != ""))
+    got = F.filter(F.transform(F.slice(F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>")), 1, most), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) & (F.size(got) > 0)
     flag = lambda k: ok & F.coalesce(F.try_variant_get(v, f"$.{k}", "boolean"), F.lit(False))
     return F.struct(original.alias("original"), F.when(ok, got).otherwise(F.array(original)).alias("variants"), flag("multi_aspect").alias("multi_aspect"), flag("historical").alias("historical"), (~ok).alias("degraded"))

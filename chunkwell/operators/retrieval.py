@@ -28,12 +28,29 @@ def effective_historical(historical: Column, degraded: Column) -> Column:
 
 
 def embed(text: Column, dims: int = 64) -> Column:
-    """The deterministic stand-in for an embedding model: normalised counts of hashed words, as array<float>."""
-    words = F.filter(F.split(F.lower(T.normalize(text)), " "), lambda w: w != "")
-    ids = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
-    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(ids, lambda x: x == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    """The deterministic stand-in for an embedding model: normalised counts of hashed words, as array<float>. Arrow batches; null is an empty text."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import xxhash
+
+        known: dict[str, int] = {}
+        for texts in batches:
+            out = []
+            for t in texts:
+                v = np.zeros(dims)
+                for w in (t or "").lower().split():
+                    i = known.get(w)
+                    if i is None:
+                        i = xxhash.xxh3_64_intdigest(w) % dims
+                        if len(known) < 500_000:
+                            known[w] = i
+                    v[i] += 1
+                n = np.linalg.norm(v)
+                out.append((v / n if n else v).astype(np.float32))
+            yield pd.Series(out)
+
+    return vectors(text)
 
 
 def masked_variants(queries: DataFrame, query: str, vector: str, n: int = 3) -> DataFrame:
@@ -235,7 +252,7 @@ def overlays(context: DataFrame, key: str) -> DataFrame:
 
     The overlay's list of sections is exploded, so the join is one of equality; a whole-act overlay pairs with none.
     """
-    over = context.where("text_layer = 'amendment_overlay'").select("query_id", F.col(key).alias("overlay"), F.explode(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("amends_section", F.lit("")), ";"), F.trim), lambda s: s != ""))).alias("section"))
+    over = context.where("text_layer = 'amendment_overlay'").select("query_id", F.col(key).alias("overlay"), F.explode(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("amends_section", F.lit("")), ";"), lambda x: F.trim(x)), lambda s: s != ""))).alias("section"))
     base = context.where("text_layer = 'consolidated_base' and section_number is not null").select("query_id", F.col(key).alias("base"), F.col("section_number").alias("section"))
     return base.join(over, ["query_id", "section"]).select("query_id", "base", "overlay").distinct()
 

@@ -106,7 +106,7 @@ def _(s, d):
     return t.select("seq", *T.flat_metadata(t, FLAT))
 
 
-@register("fn_17_unflat", "SELECT seq, len(topic_tags) AS n_tags, coalesce(page, -1) AS page, coalesce(in_force, false) AS in_force FROM prose_chunks")
+@register("fn_17_unflat", "SELECT seq, coalesce(len(topic_tags), 0) AS n_tags, coalesce(page, -1) AS page, coalesce(in_force, false) AS in_force FROM prose_chunks")
 def _(s, d):
     t = chunks(s, d)
     flat = t.select("seq", *[x.cast("string").alias(n) for x, n in zip(T.flat_metadata(t, FLAT), FLAT, strict=True)])
@@ -280,7 +280,7 @@ def _(s, d):
     return t.groupBy("doc", "section_marker").agg(F.count("*").alias("n_children"), F.min("page").alias("first_page"), F.length(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("x")))), lambda v: v.x), "\n\n")).alias("chars"))
 
 
-@register("agg_08_totals", "SELECT count(*) AS n, count(DISTINCT doc) AS docs, count_if(retrievable) AS retrievable, count_if(kind = 'leaf') AS leaves, sum(est_tokens) AS tokens FROM prose_chunks")
+@register("agg_08_totals", "SELECT count(*) AS n, count(DISTINCT doc) AS docs, count(*) FILTER (WHERE retrievable) AS retrievable, count(*) FILTER (WHERE kind = 'leaf') AS leaves, sum(est_tokens) AS tokens FROM prose_chunks")
 def _(s, d):
     return chunks(s, d).agg(F.count("*").alias("n"), F.countDistinct("doc").alias("docs"), F.count_if("retrievable").alias("retrievable"), F.count_if(c("kind") == "leaf").alias("leaves"), F.sum("est_tokens").alias("tokens"))
 
@@ -454,7 +454,7 @@ def _(s, d):
     return sinks.index_rows(once(s, d)).select("chunk_id", F.xxhash64("embed_text").alias("text_hash"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm2"))
 
 
-@register("snk_04_manifest", f"WITH c AS ({S.ONCE}) SELECT count(*) AS children_in, count_if(retrievable AND kind <> 'front_matter') AS indexed, count(*) - count_if(retrievable AND kind <> 'front_matter') AS excluded, 'hashed_words' AS model, 64 AS dims, 'cosine' AS space FROM c")
+@register("snk_04_manifest", f"WITH c AS ({S.ONCE}) SELECT count(*) AS children_in, count(*) FILTER (WHERE retrievable AND kind <> 'front_matter') AS indexed, count(*) - count(*) FILTER (WHERE retrievable AND kind <> 'front_matter') AS excluded, 'hashed_words' AS model, 64 AS dims, 'cosine' AS space FROM c")
 def _(s, d):
     t = once(s, d)
     return sinks.manifest(t, quality.indexable(t), 64)

@@ -74,9 +74,9 @@ FURNITURE = f"""WITH b AS (SELECT seq, doc, page, lower({norm("text")}) AS t, co
 p AS (SELECT doc, count(DISTINCT page) AS n FROM b GROUP BY 1), s AS (SELECT doc, t, count(DISTINCT coalesce(page, -1)) AS k FROM b WHERE cand GROUP BY 1, 2)
 SELECT b.seq FROM b JOIN p USING (doc) JOIN s USING (doc, t) WHERE cand AND (k >= greatest(3, floor(0.4 * n)) OR regexp_matches(t, '^(?:page\\s*)?[-–—\\s]*[0-9০-৯]{{1,4}}[-–—\\s]*(?:of\\s*[0-9]+)?$'))"""
 
-REPORT = f"""WITH c AS ({ONCE}), a AS (SELECT doc, count(*) AS items, count_if(kind = 'leaf') AS leaves, count_if(kind = 'leaf' AND contains(coalesce(node, ''), '(') AND coalesce(section_marker, '') = '') AS parentless_leaves,
+REPORT = f"""WITH c AS ({ONCE}), a AS (SELECT doc, count(*) AS items, count(*) FILTER (WHERE kind = 'leaf') AS leaves, count(*) FILTER (WHERE kind = 'leaf' AND contains(coalesce(node, ''), '(') AND coalesce(section_marker, '') = '') AS parentless_leaves,
 count_if(coalesce(node, '') = '') AS blank_nodes, count_if({norm("text")} = '') AS empty_texts, count_if(kind = 'front_matter') AS front_matter, count_if(kind = 'front_matter' AND retrievable) AS rf,
-count_if(pollution = 'page_furniture') AS furniture_stripped, count(DISTINCT nullif(section_marker, '')) AS sections_seen FROM c GROUP BY doc),
+count(*) FILTER (WHERE pollution = 'page_furniture') AS furniture_stripped, count(DISTINCT nullif(section_marker, '')) AS sections_seen FROM c GROUP BY doc),
 f AS (SELECT *, parentless_leaves > leaves * 0.5 AS bad, blank_nodes + empty_texts + rf + CASE WHEN front_matter > 1 THEN 1 ELSE 0 END + CASE WHEN parentless_leaves > leaves * 0.5 THEN 1 ELSE 0 END AS checks_failed FROM a)
 SELECT doc, items, leaves, parentless_leaves, blank_nodes, empty_texts, front_matter, furniture_stripped, sections_seen, items + 5 AS checks_total, checks_failed, checks_failed = 0 AS ok, checks_failed > 0 AS blocked, round(1 - checks_failed / greatest(1, items + 5), 3) AS pass_rate FROM f"""
 
