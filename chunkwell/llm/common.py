@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from chunkwell.functions.storage import scratch, stored  # noqa: F401  (used by the other modules)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,22 +42,3 @@ def arrow_map(df: DataFrame, f: Callable[..., Iterator[tuple]], schema: str, gat
 def spread(df: DataFrame, *cols: str, parts: int | None = None) -> DataFrame:
     """Rows dealt evenly to tasks by a hash of ``cols``; for few heavy rows that come out of a filter."""
     return df.repartition(parts or max(12, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *[F.col(c) for c in cols])
-
-
-def scratch(spark: SparkSession) -> str:
-    """A fresh path below the folder named by ``spark.checkpoint.dir``, which all executors share.
-
-    Only where that is unset, as in tests, a folder of this machine is chosen and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file:///tmp/chunkwell-checkpoints-{os.getpid()}"
-    return f"{base.rstrip('/')}/chunkwell/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` written once to the shared folder and read back: it cuts the lineage, and survives lost executors."""
-    path = scratch(df.sparkSession)
-    w = df.write.mode("overwrite")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

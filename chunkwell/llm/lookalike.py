@@ -61,7 +61,7 @@ def _rules() -> dict:
             continue
         if dec[0] == "<":
             tag, rest = dec[1:].split("> ", 1)
-            if tag in ("wide", "narrow", "font", "initial", "medial", "final", "isolated") or tag == "compat" and c not in TYPOGRAPHIC and not rest.startswith("0020") and U.category(c)[0] in "LNP":
+            if tag in ("wide", "narrow", "font", "initial", "medial", "final", "isolated") or tag == "compat" and c not in TYPOGRAPHIC and not rest.startswith("0020") and (U.category(c)[0] in "LNP" or 0x2E80 <= o <= 0x2FDF):
                 single[o] = U.normalize("NFKC", c)
         else:
             parts = [int(x, 16) for x in dec.split()]

@@ -21,7 +21,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwell.llm.common import arrow_map, spread
+from chunkwell.llm.common import arrow_map
 
 #: Encodings in which UTF-8 bytes may have been read, most likely first.
 SINGLE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "koi8_r", "iso8859_15")
@@ -76,11 +76,11 @@ def _clean_score(c: str, left: str, right: str) -> float:
     o = ord(c)
     k = _class(c)
     if k == "han":
-        return -12.0 if "latin" in (left, right) else -3.0 if _common_han(c) else -8.0
+        return -12.0 if {"latin", "ascii"} & {left, right} else -3.0 if _common_han(c) else -8.0
     if k == "latin":
         return -3.0 if "ascii" in (left, right) or o > 0x24F else -6.0 if "latin" not in (left, right) else -8.0
     if k in ("cyrillic", "greek"):
-        return -3.5 if k in (left, right) else -5.0
+        return -7.0 if "ascii" in (left, right) else -3.5 if k in (left, right) else -5.0
     if k == "indic" or k == "arabic":
         return -3.0
     if k == "punct":
@@ -141,7 +141,7 @@ def _restored_score(c: str) -> float:
     if k == "latin":
         return -4.0 if o < 0x100 else -6.0
     if k in ("cyrillic", "greek"):
-        return -5.0
+        return -9.0
     if k == "control":
         return -5.0 if o == 0x8D else -9.0
     return -14.0 if unicodedata.category(c) in ("Cn", "Co", "Cs", "Cc") else -11.0

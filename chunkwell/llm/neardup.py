@@ -21,18 +21,18 @@ Null and short texts (fewer than ``min_words`` words) take no part. Null blockin
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkwell.llm import lookalike
 from chunkwell.llm.common import stored
+from chunkwell.operators.graph import components
 
 BOXES, BUCKET_BITS, HASH_BYTES, HOT = 4, 20, 5, 2048
 T, MIN_WORDS, RUN = 0.6, 40, 3
@@ -333,32 +333,11 @@ def pairs_of(rec: DataFrame, links: DataFrame) -> DataFrame:
     return cross.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).unionByName(same.select(F.col("x").alias("key_a"), F.col("y").alias("key_b"))).where("key_a < key_b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(rid, root) of every class with a link: alternating large-star and small-star steps until the links stay the same."""
-    edges = stored(links.select("a", "b").where("a <> b").distinct())
-    before = None
-    for _ in range(rounds):
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        down = large.select(F.col("b").alias("v"), F.col("a").alias("u"))  # v > u
-        low = down.groupBy("v").agg(F.min("u").alias("m"))
-        small = down.join(low, "v").select(F.col("m").alias("a"), F.col("u").alias("b")).unionByName(low.select(F.col("m").alias("a"), F.col("v").alias("b")))
-        edges = stored(small.where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components: links had not settled after the last round")
-    return edges.select(F.col("b").alias("rid"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("rid"), F.col("a").alias("root")).distinct()).distinct()
-
-
 def groups(rec: DataFrame, links: DataFrame) -> DataFrame:
     """(key, group_id) of every record with a partner, be it similar or a copy."""
     m = rec.select("key", "rid").distinct()
     copies = m.groupBy("rid").agg(F.count("*").alias("copies"))
-    return m.join(copies, "rid").join(components(links), "rid", "left").where("copies > 1 or root is not null").select("key", F.coalesce("root", "rid").alias("group_id"))
+    return m.join(copies, "rid").join(components(links).withColumnRenamed("node", "rid"), "rid", "left").where("copies > 1 or root is not null").select("key", F.coalesce("root", "rid").alias("group_id"))
 
 
 # The orders of preference, best first.

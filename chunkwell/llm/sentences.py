@@ -32,7 +32,7 @@ OPENING, CLOSING = "“\"‘«「『([", "”\"’»」』)]"
 POSSIBLE = re.compile(rf"[.{STRONG}…]+[{re.escape(CLOSING)}]*")
 TOKEN_BEFORE = re.compile(r"[^\s(\[“\"‘«「『—]+$")
 NEXT = re.compile(rf"(\s*)([{re.escape(OPENING)}]*)([^\s]*)")
-MARK_ONLY = re.compile(r"^[\s\W]*(?:[0-9০-৯]{1,3}|[a-zA-Zঀ-৿]{1,3})?[\s\W]*$")
+MARK_ONLY = re.compile(r"^\W*(?:\(?[0-9০-৯]{1,3}[.)।]|\([a-zA-Zঀ-৿]{1,3}\)|[a-zA-Z]\.)?\W*$")
 HAN = re.compile("[㐀-鿿]")
 STEPS_BACK = 400
 BASE_RATE, PRIOR = 0.05, 2.0
