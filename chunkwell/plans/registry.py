@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkwell.functions import text as T
@@ -58,7 +58,6 @@ simple("fn_06_cells_clean", {"cell": (lambda: T.normalize(c("section_title")), S
 
 @register("fn_07_ids", "SELECT seq, printf('chk%04d', row_number() OVER (PARTITION BY doc ORDER BY seq)) AS local_id FROM prose_chunks")
 def _(s, d):
-    from pyspark.sql import Window
 
     return chunks(s, d).select("seq", T.sequential_id("chk", F.row_number().over(Window.partitionBy("doc").orderBy("seq"))).alias("local_id"))
 
@@ -404,7 +403,6 @@ def _(s, d):
 
 @register("win_11_relevance", f"WITH {S.RANKED} SELECT query_id, list_no, seq, round(CASE WHEN hi = lo THEN 0.5 ELSE (score - lo) / (hi - lo) END, 6) AS rel FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM ranked WINDOW w AS (PARTITION BY query_id, list_no))")
 def _(s, d):
-    from pyspark.sql import Window
 
     w = Window.partitionBy("query_id", "list_no")
     lo, hi = F.min("score").over(w), F.max("score").over(w)
@@ -426,7 +424,7 @@ def _(s, d):
 @register("ret_8_retrieve", None)
 def _(s, d):
     q = stated_queries(s, d)
-    flags = table(s, d, "test_queries").select(F.row_number().over(__import__("pyspark").sql.Window.orderBy("query_id")).alias("n"), c("query_english").alias("query_text"), c("multi_aspect_expected").alias("multi_aspect"), c("historical_expected").alias("historical"))
+    flags = table(s, d, "test_queries").select(F.row_number().over(Window.orderBy("query_id")).alias("n"), c("query_english").alias("query_text"), c("multi_aspect_expected").alias("multi_aspect"), c("historical_expected").alias("historical"))
     q = q.withColumn("n", (c("query_id") / 20 + 1).cast("int")).join(flags, "n", "left").drop("n")
     return retrieval.retrieve(index(s, d), q, table(s, d, "parent_store"), key="seq", near=0.25)
 
