@@ -87,12 +87,12 @@ def _ends(line: Column) -> tuple[Column, Column]:
 
 
 def line_habits(df: DataFrame, text: str) -> DataFrame:
-    """(bucket, p_last): how often a line with these first or last two words is the last of its text. At most LINE_BUCKETS rows."""
+    """(bucket, p_last, n_lines): how often a line with these first or last two words is the last of its text. At most LINE_BUCKETS rows."""
     t = F.regexp_replace(F.col(text), r"\s+$", "")
     lines = df.where(F.col(text).isNotNull()).select(F.split(t, "\n").alias("lines")).select(F.size("lines").alias("k"), F.posexplode("lines").alias("i", "line"))
     first, last = _ends(F.col("line"))
     each = lines.where("line <> ''").select(F.explode(F.array(first, last)).alias("bucket"), (F.col("i") == F.col("k") - 1).cast("int").alias("is_last"))
-    return each.groupBy("bucket").agg(((F.sum("is_last") + 0.2) / (F.count("*") + 5.0)).alias("p_last"))
+    return each.groupBy("bucket").agg(((F.sum("is_last") + 0.2) / (F.count("*") + 5.0)).alias("p_last"), F.count("*").alias("n_lines"))
 
 
 def judged(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -112,7 +112,7 @@ def judged(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     first, final = _ends(F.col("last"))
     base = base.withColumn("b1", first).withColumn("b2", final).drop("tail")
     habit = line_habits(df, text)
-    h = lambda b, x: F.broadcast(habit.select(F.col("bucket").alias(b), F.col("p_last").alias(x)))
+    h = lambda b, x: F.broadcast(habit.select(F.col("bucket").alias(b), F.col("p_last").alias(x), F.col("n_lines").alias(f"{x}_n")))
     base = base.join(h("b1", "h1"), "b1", "left").join(h("b2", "h2"), "b2", "left")
     lim = limits(df, source, text).where("p_cut > 0").groupBy("src").pivot("unit", list(UNITS)).agg(F.first("lim").alias("lim"), F.first("p_cut").alias("p"))
     base = base.join(lim, "src", "left")
@@ -135,6 +135,8 @@ def judged(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
         .when(framed, -8.0)
         .when(before_done & (F.col("before") != "") & habit_ & (F.length("last") <= 80), -4.0)
         .when(before_done & (F.col("before") != "") & form, -3.0)
+        # a short line of its own whose beginning isn't known as that of lines inside texts
+        .when(before_done & (F.col("before") != "") & (F.length("last") <= F.when(F.col("last").rlike(r"[\x{3400}-\x{9fff}]"), 12).otherwise(40)) & ~((F.coalesce("h1_n", F.lit(0)) >= 10) & (F.coalesce("h1", F.lit(0.0)) < 0.3)), -1.5)
         .when(F.length(F.col("last")) == F.col("chars"), 2.0)
         .otherwise(5.0)
     )
