@@ -363,9 +363,10 @@ def survivors(df: DataFrame, key: str, text: str, member: DataFrame) -> DataFram
     By authority, legal status, translation, longer text, smaller key; unknown spellings and nulls come last.
     Ranks are folded by ``min`` of a struct, so a group of any size is combined on the map side.
     """
-    j = df.join(member.withColumnRenamed("key", key), key)
+    more = [c for c in ("source_act", "section_number", "effective_date", "section_title", "source_type") if c in df.columns]
+    some = df.select(*dict.fromkeys([key, text, "authority_rank", "legal_status", "translation_status", *more]))
+    j = some.join(member.withColumnRenamed("key", key), key)
     rank = F.struct(_place("authority_rank", AUTHORITY), _place("legal_status", LEGAL), _place("translation_status", TRANSLATION), -F.coalesce(F.length(text), F.lit(0)), F.col(key))
     best = lambda c, order: F.min(F.struct(_place(c, order).alias("p"), rank.alias("r"), _plain(c).alias("v")))["v"].alias(c)
     known = lambda c: F.min(F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.struct(rank.alias("r"), F.col(c).alias("v"))))["v"].alias(c)
-    more = [c for c in ("source_act", "section_number", "effective_date", "section_title", "source_type") if c in df.columns]
     return j.groupBy("group_id").agg(F.min(rank)[f"{key}"].alias(key), F.countDistinct(key).alias("n_members"), best("authority_rank", AUTHORITY), best("legal_status", LEGAL), best("translation_status", TRANSLATION), *[known(c) for c in more])

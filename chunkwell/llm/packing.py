@@ -86,8 +86,7 @@ def pack(counts: DataFrame, key: str, plans: dict[str, list[int]], shard_items:
     kind = counts.schema[key].dataType.simpleString()
     items = counts.select(F.col(key).alias("key"), "n_tokens")
     shards = max(1, math.ceil(items.count() / shard_items))
-    tagged = items.select("key", "n_tokens", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
-    tagged = tagged.crossJoin(F.broadcast(counts.sparkSession.createDataFrame([(p,) for p in plans], "plan string")))  # a few plans
+    tagged = items.select("key", "n_tokens", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), F.explode(F.array(*[F.lit(p) for p in plans])).alias("plan"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         plan, shard = pdf["plan"].iloc[0], int(pdf["shard"].iloc[0])
