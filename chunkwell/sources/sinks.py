@@ -36,9 +36,9 @@ def write_index(chunks: DataFrame, path: str, dims: int = 64) -> DataFrame:
 
 
 def manifest(chunks: DataFrame, index: DataFrame, dims: int) -> DataFrame:
-    a = chunks.agg(F.count("*").alias("children_in"))
-    b = index.agg(F.count("*").alias("indexed"))
-    return a.join(b).select("children_in", "indexed", (F.col("children_in") - F.col("indexed")).alias("excluded"), F.lit("hashed_words").alias("model"), F.lit(dims).alias("dims"), F.lit("cosine").alias("space"))
+    n = chunks.select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(index.select(F.lit(0).alias("a"), F.lit(1).alias("b")))
+    n = n.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("children_in"), F.coalesce(F.sum("b"), F.lit(0)).alias("indexed"))
+    return n.select("children_in", "indexed", (F.col("children_in") - F.col("indexed")).alias("excluded"), F.lit("hashed_words").alias("model"), F.lit(dims).alias("dims"), F.lit("cosine").alias("space"))
 
 
 def write_traces(traces: DataFrame, folder: str) -> None:
