@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkwell.functions import text as T
+from chunkwell.functions.ordered import numbered
 
 FURNITURE_TOKENS, FURNITURE_PAGES, FURNITURE_SHARE, PARENTLESS_SHARE = 10, 3, 0.4, 0.5
 # Fixed value: what a page number looks like on a line of its own.
@@ -23,8 +24,8 @@ def delivered_once(df: DataFrame, key: str = "chunk_id", order: str = "seq") ->
 
 def fill_nodes(df: DataFrame, doc: str = "doc", order: str = "seq", node: str = "node") -> DataFrame:
     """Blank nodes become blkNNN by position in the document."""
-    place = F.row_number().over(Window.partitionBy(doc).orderBy(order))
-    return df.withColumn(node, F.when(F.coalesce(F.col(node), F.lit("")) == "", F.format_string("blk%03d", place)).otherwise(F.col(node)))
+    out = numbered(df, doc, order, "__place")
+    return out.withColumn(node, F.when(F.coalesce(F.col(node), F.lit("")) == "", F.format_string("blk%03d", F.col("__place"))).otherwise(F.col(node))).drop("__place")
 
 
 def continuity(df: DataFrame, doc: str, number: str, order: str) -> DataFrame:

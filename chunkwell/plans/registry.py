@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkwell.functions import text as T
+from chunkwell.functions.ordered import numbered
 from chunkwell.operators import dedup, evaluation, ingest, parents, quality, retrieval
 from chunkwell.plans import sql as S
 from chunkwell.sources import corpus, sinks
@@ -59,7 +60,7 @@ simple("fn_06_cells_clean", {"cell": (lambda: T.normalize(c("section_title")), S
 @register("fn_07_ids", "SELECT seq, printf('chk%04d', row_number() OVER (PARTITION BY doc ORDER BY seq)) AS local_id FROM prose_chunks")
 def _(s, d):
 
-    return chunks(s, d).select("seq", T.sequential_id("chk", F.row_number().over(Window.partitionBy("doc").orderBy("seq"))).alias("local_id"))
+    return numbered(chunks(s, d).select("doc", "seq"), "doc", "seq", "n").select("seq", T.sequential_id("chk", c("n")).alias("local_id"))
 
 
 @register(
@@ -276,7 +277,8 @@ def _(s, d):
 @register("agg_06_sections", f"WITH c AS ({S.ONCE}) SELECT doc, section_marker, count(*) AS n_children, min(page) AS first_page, length(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY seq)) AS chars FROM c WHERE coalesce(section_marker, '') <> '' GROUP BY 1, 2")
 def _(s, d):
     t = once(s, d).where("coalesce(section_marker, '') <> ''")
-    return t.groupBy("doc", "section_marker").agg(F.count("*").alias("n_children"), F.min("page").alias("first_page"), F.length(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("x")))), lambda v: v.x), "\n\n")).alias("chars"))
+    # the length of the joined text needs no text to be gathered; parents.build joins those of bounded parts
+    return t.groupBy("doc", "section_marker").agg(F.count("*").alias("n_children"), F.min("page").alias("first_page"), (F.sum(F.length(F.coalesce("text", F.lit("")))) + (F.count("*") - 1) * 2).alias("chars"))
 
 
 @register("agg_08_totals", "SELECT count(*) AS n, count(DISTINCT doc) AS docs, count(*) FILTER (WHERE retrievable) AS retrievable, count(*) FILTER (WHERE kind = 'leaf') AS leaves, sum(est_tokens) AS tokens FROM prose_chunks")

@@ -67,3 +67,18 @@ def test_cosine(spark):
     x, y = [r[0] for r in df.select(T.cosine(F.col("a"), F.col("b"))).collect()]
     dot = sum(p * q for p, q in zip(a, b, strict=True))
     assert abs(x - dot / (sum(p * p for p in a) * sum(q * q for q in b)) ** 0.5) < 1e-6 and y == 0
+
+
+def test_numbered_and_carried(spark):
+    from chunkwell.functions.ordered import carried, numbered
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), i, i // 7, rnd.choice([None, None, f"e{i}"])) for i in rnd.sample(range(500), 200)]
+    df = spark.createDataFrame(rows, "g string, o long, b long, e string")
+    got = {r.o: r.n for r in numbered(df, "g", "o", "n", width=16).collect()}
+    kept = {r.o: r.x for r in carried(df, "g", "b", "o", {"x": F.col("e")}).collect()}
+    for g in ("a", "b", None):
+        last = None
+        for i, (_, o, _, e) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1]), 1):
+            last = e or last
+            assert got[o] == i and kept[o] == last
