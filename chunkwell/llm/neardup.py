@@ -270,7 +270,7 @@ def _paired(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBa
 def _candidates(rec: DataFrame, t: float) -> DataFrame:
     """Distinct pairs (a < b) of classes, with the segments in which they may begin a chain as bits of ``boxes``."""
     total = rec.where("runs is not null").agg(F.sum("n")).first()[0] or 0
-    parts = max(int(rec.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 4_000_000))
+    parts = max(int(rec.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 1_000_000))
     pairs = stored(_entries(rec, frequencies(rec), t, parts).repartition(parts, "part").mapInArrow(lambda it: _paired(it, t), "a long, b long, box int"))
     hot = pairs.where("box < 0").select(F.col("a").alias("key"), F.col("b").alias("rid"), (-1 - F.col("box")).alias("part"))
     last = hot.groupBy("key").agg(F.max("part").alias("last"))
