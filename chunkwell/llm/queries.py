@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwell.llm import furniture, leakage, lookalike, mojibake, neardup, packing, segment, sentences, truncation
+from chunkwell.llm import furniture, leakage, lookalike, mojibake, neardup, packing, segment, sentences, sql, truncation
 from chunkwell.llm.common import stored, table
 
 CHUNKS = "prose_chunks"
@@ -133,4 +133,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": sql.P2_FOUND, "p3_found": sql.P3_FOUND}
