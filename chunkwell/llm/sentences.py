@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from chunkwell.llm.common import arrow_map
 
-BUCKETS, SLICES = 1 << 16, 16
+BUCKETS, ROWS, SLICES = 1 << 19, 2, 64
 STRONG = "।॥৷۔؟。！？!?"
 # Short forms that stand before a name and so never end a sentence.
 TITLES = {"Dr", "Mr", "Mrs", "Ms", "Prof", "M/s", "Messrs", "St", "Adv", "Hon", "Md", "No", "Nos", "Sch", "Art", "Sec", "vide", "viz", "cf", "e.g", "i.e", "ড", "ডা", "মো", "মে", "নং", "মি", "এড"}
@@ -43,15 +43,21 @@ def _word_key(w: str) -> str:
     return w[:2] if HAN.match(w) else w
 
 
-def _bucket(w: str) -> int:
-    return xxhash.xxh3_64_intdigest(_word_key(w)) & (BUCKETS - 1)
+def _buckets(w: str) -> tuple[int, int]:
+    """A word's place in each of the two rows; of these the less crowded one counts."""
+    h = xxhash.xxh3_64_intdigest(_word_key(w))
+    return h & (BUCKETS - 1), (h >> 32 & (BUCKETS - 1)) + BUCKETS
 
 
 def statistics(df: DataFrame, text: str) -> np.ndarray:
-    """Four counts per bucket over every text: words, openers, words with a full stop, those followed by a small letter or digit."""
+    """Per bucket over every text: how often its words occur, how likely they open a sentence, how often they are short forms.
+
+    Words are hashed into two rows of BUCKETS, so the tables' size is fixed; tasks send only the buckets that they met.
+    """
+    size = ROWS * BUCKETS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((4, BUCKETS), np.int64)
+        out = np.zeros((4, size), np.int64)
         for b in batches:
             t = pc.replace_substring_regex(b.column(0), r"([।৷。！？۔؟][”\"」』]?)", r"\1 ")
             words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(t))
@@ -62,7 +68,7 @@ def statistics(df: DataFrame, text: str) -> np.ndarray:
             if not len(at):
                 continue
             np_ = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
-            k = np.fromiter((_bucket(w) for w in d.to_pylist()), np.int64, len(d))[at]
+            keys = np.array([_buckets(w) for w in d.to_pylist()], np.int64)
             ends = np_(pc.match_substring_regex(d, r"[।৷。！？۔؟.!?]$"))[at]
             dot = np_(pc.match_substring_regex(d, r"[^.]\.$"))[at]
             small = np_(pc.match_substring_regex(d, r"^[a-z0-9]"))[at]
@@ -74,28 +80,40 @@ def statistics(df: DataFrame, text: str) -> np.ndarray:
             lower = np.zeros(len(at), bool)
             lower[:-1] = dot[:-1] & small[1:] & ~first[1:]
             for i, m in enumerate((np.ones(len(at), bool), opener, dot, lower)):
-                out[i] += np.bincount(k[m], minlength=BUCKETS)
-        parts = out.reshape(4, SLICES, -1).transpose(1, 0, 2)
-        yield pa.RecordBatch.from_pydict({"part": np.arange(SLICES, dtype=np.int32), "n": pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())})
+                each = np.bincount(at[m], minlength=len(d))
+                for r in range(ROWS):
+                    np.add.at(out[i], keys[:, r], each)
+        step = size // SLICES
+        met = np.flatnonzero(out[0])
+        cut = np.searchsorted(met, np.arange(SLICES + 1) * step)
+        parts = [met[cut[k] : cut[k + 1]] for k in range(SLICES)]
+        yield pa.RecordBatch.from_pydict({"part": np.arange(SLICES, dtype=np.int32), "k": pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary()), "n": pa.array([out[:, p].astype("<i8").tobytes() for p in parts], pa.binary())})
 
     def add(pdf):
         import pandas as pd
 
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [sum(np.frombuffer(x, "<i8") for x in pdf["n"]).tobytes()]})
+        part, step = int(pdf["part"].iloc[0]), size // SLICES
+        total = np.zeros((4, step), np.int64)
+        for k, n in zip(pdf["k"], pdf["n"], strict=True):
+            total[:, np.frombuffer(k, "<i8") - part * step] += np.frombuffer(n, "<i8").reshape(4, -1)
+        return pd.DataFrame({"part": [part], "n": [total.astype("<i8").tobytes()]})
 
-    got = df.select(F.col(text)).where(F.col(text).isNotNull()).coalesce(4096).mapInArrow(count, "part int, n binary").groupBy("part").applyInPandas(add, "part int, n binary").collect()
-    out = np.zeros((4, SLICES, BUCKETS // SLICES))
+    got = df.select(F.col(text)).where(F.col(text).isNotNull()).coalesce(4096).mapInArrow(count, "part int, k binary, n binary").groupBy("part").applyInPandas(add, "part int, n binary").toLocalIterator()
+    out = np.zeros((4, SLICES, size // SLICES), np.int64)
     for part, n in got:
         out[:, part] = np.frombuffer(n, "<i8").reshape(4, -1)
-    out = out.reshape(4, BUCKETS)
+    out = out.reshape(4, size)
     opens = np.log((out[1] + PRIOR * BASE_RATE) / (out[0] + PRIOR) / BASE_RATE)
-    short = out[3] / (out[2] + 3.0)
-    return np.stack([opens, short]).astype(np.float32)
+    return np.stack([out[0], opens, out[3] / (out[2] + 3.0)]).astype(np.float32)
 
 
 class Divider:
     def __init__(self, stats: np.ndarray):
-        self.opens, self.short = stats
+        self.total, self.opens, self.short = stats
+
+    def _place(self, word: str) -> int:
+        i, j = _buckets(word)
+        return i if self.total[i] <= self.total[j] else j
 
     def _end_score(self, text: str, s: int, e: int) -> float:
         """Closing and opening words at a possible end, text[s:e] being the marks."""
@@ -111,7 +129,7 @@ class Divider:
         prev = before.group() if before else ""
         if stop[-1] in STRONG:
             if quoted and not c.isupper():
-                return 2.3 + float(self.opens[_bucket(word)])
+                return 2.3 + float(self.opens[self._place(word)])
             return 6.0
         if stop[-1] == "…" or stop.endswith(".."):
             return 1.0
@@ -125,9 +143,9 @@ class Divider:
         if not gap and not quoted:
             if not quote and not c.isupper() or len(prev) < 3 and not last.isdigit():
                 return -8.0
-        short = float(self.short[_bucket(prev)]) if not quoted and last.isalpha() else 0.0
+        short = float(self.short[self._place(prev)]) if not quoted and last.isalpha() else 0.0
         if not c.isupper() and quoted:
-            return 2.3 + float(self.opens[_bucket(word)])
+            return 2.3 + float(self.opens[self._place(word)])
         return 5.0 - 8.0 * short
 
     def ends(self, text: str) -> list[int]:
@@ -176,8 +194,8 @@ class Divider:
         return out[::-1]
 
 
-def _rows(cols: list[list], stats: np.ndarray) -> Iterator[tuple]:
-    d = Divider(stats)
+def _rows(cols: list[list], stats) -> Iterator[tuple]:
+    d = Divider(stats.value)
     for key, text in zip(*cols, strict=True):
         start = 0
         for k, end in enumerate(d.ends(text), 1):
@@ -190,4 +208,4 @@ def sentences(df: DataFrame, key: str, text: str, stats: np.ndarray) -> DataFram
     """``key``, ``sentence_no``, ``start_pos``, ``end_pos`` (1-based, as stored) and ``sentence``."""
     kind = df.schema[key].dataType.simpleString()
     some = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
-    return arrow_map(some, _rows, f"key {kind}, sentence_no int, start_pos int, end_pos int, sentence string", stats=stats).withColumnRenamed("key", key)
+    return arrow_map(some, _rows, f"key {kind}, sentence_no int, start_pos int, end_pos int, sentence string", stats=df.sparkSession.sparkContext.broadcast(stats)).withColumnRenamed("key", key)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LINE_BUCKETS = 1 << 16
+LINE_BUCKETS = 1 << 18
 UNITS = {"chars": 1, "bytes": 4, "words": 1}  # what a cut may fall short of the limit by, plus one
 MIN_AT_LIMIT = 4
 # Short forms that don't end a sentence.

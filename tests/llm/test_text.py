@@ -98,7 +98,7 @@ def test_frequent_sequences_of_two(spark):
 
 
 def test_sentences():
-    d = sentences.Divider(np.zeros((2, sentences.BUCKETS), np.float32))
+    d = sentences.Divider(np.zeros((3, sentences.ROWS * sentences.BUCKETS), np.float32))
 
     def cut(t):
         e, s, out = d.ends(t), 0, []
