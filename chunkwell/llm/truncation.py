@@ -77,21 +77,20 @@ def limits(df: DataFrame, source: str, text: str) -> DataFrame:
     return sizes.groupBy("src", "unit", "length").agg(F.count("*").alias("n")).groupBy("src", "unit").applyInPandas(_limit, "src string, unit string, lim long, n_at long, mu double, sd double, p_cut double")
 
 
-def _ends(line: Column) -> tuple[Column, Column]:
-    """Buckets of a line's first two and last two words, digits alike."""
+def _ends(line: Column) -> tuple[Column, Column, Column]:
+    """Buckets of a line's first two words, last two words and first word, digits alike."""
     plain = F.regexp_replace(F.trim(line), "[0-9০-৯]+", "0")
     first = F.substring_index(plain, " ", 2)
     last = F.substring_index(plain, " ", -2)
     b = lambda s, x: F.pmod(F.xxhash64(F.lit(s), x), F.lit(LINE_BUCKETS)).cast("int")
-    return b("first", first), b("last", last)
+    return b("first", first), b("last", last), b("word", F.substring_index(plain, " ", 1))
 
 
 def line_habits(df: DataFrame, text: str) -> DataFrame:
-    """(bucket, p_last, n_lines): how often a line with these first or last two words is the last of its text. At most LINE_BUCKETS rows."""
+    """(bucket, p_last, n_lines): how often a line with these first or last words is the last of its text. At most LINE_BUCKETS rows."""
     t = F.regexp_replace(F.col(text), r"\s+$", "")
     lines = df.where(F.col(text).isNotNull()).select(F.split(t, "\n").alias("lines")).select(F.size("lines").alias("k"), F.posexplode("lines").alias("i", "line"))
-    first, last = _ends(F.col("line"))
-    each = lines.where("line <> ''").select(F.explode(F.array(first, last)).alias("bucket"), (F.col("i") == F.col("k") - 1).cast("int").alias("is_last"))
+    each = lines.where("line <> ''").select(F.explode(F.array(*_ends(F.col("line")))).alias("bucket"), (F.col("i") == F.col("k") - 1).cast("int").alias("is_last"))
     return each.groupBy("bucket").agg(((F.sum("is_last") + 0.2) / (F.count("*") + 5.0)).alias("p_last"), F.count("*").alias("n_lines"))
 
 
@@ -109,11 +108,11 @@ def judged(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     )
     lines = F.filter(F.split("tail", "\n"), lambda x: F.trim(x) != "")
     base = base.withColumn("last", F.element_at(lines, -1)).withColumn("before", F.coalesce(F.try_element_at(lines, F.lit(-2)), F.lit("")))
-    first, final = _ends(F.col("last"))
-    base = base.withColumn("b1", first).withColumn("b2", final).drop("tail")
+    first, final, word = _ends(F.col("last"))
+    base = base.withColumn("b1", first).withColumn("b2", final).withColumn("b3", word).drop("tail")
     habit = line_habits(df, text)
     h = lambda b, x: F.broadcast(habit.select(F.col("bucket").alias(b), F.col("p_last").alias(x), F.col("n_lines").alias(f"{x}_n")))
-    base = base.join(h("b1", "h1"), "b1", "left").join(h("b2", "h2"), "b2", "left")
+    base = base.join(h("b1", "h1"), "b1", "left").join(h("b2", "h2"), "b2", "left").join(h("b3", "h3"), "b3", "left")
     lim = limits(df, source, text).where("p_cut > 0").groupBy("src").pivot("unit", list(UNITS)).agg(F.first("lim").alias("lim"), F.first("p_cut").alias("p"))
     base = base.join(lim, "src", "left")
     p = F.lit(0.0)
@@ -126,6 +125,7 @@ def judged(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     # a line of its own in the form of a date, label, signature, list entry, caption or framed note
     form = F.col("last").rlike(r"^\s*(?:[\p{L}][^\s:]{0,30}(?: [^\s:]{1,20}){0,2}: ?\S.*|\([a-zA-Zক-হ]{1,3}\) .*|[-–—•*].*|[-–—] .* [-–—])$") & (F.length("last") <= 60)
     habit_ = F.greatest(F.coalesce("h1", F.lit(0.0)), F.coalesce("h2", F.lit(0.0))) > 0.5
+    inside = lambda x: (F.coalesce(f"{x}_n", F.lit(0)) >= 10) & (F.coalesce(x, F.lit(0.0)) < 0.3)
     framed = F.col("last").rlike(r"^\s*[-–—].*[-–—]\s*$")
     ending = (
         F.when(F.col("last").rlike("�$"), 8.0)
@@ -136,7 +136,7 @@ def judged(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
         .when(before_done & (F.col("before") != "") & habit_ & (F.length("last") <= 80), -4.0)
         .when(before_done & (F.col("before") != "") & form, -3.0)
         # a short line of its own whose beginning isn't known as that of lines inside texts
-        .when(before_done & (F.col("before") != "") & (F.length("last") <= F.when(F.col("last").rlike(r"[\x{3400}-\x{9fff}]"), 12).otherwise(40)) & ~((F.coalesce("h1_n", F.lit(0)) >= 10) & (F.coalesce("h1", F.lit(0.0)) < 0.3)), -1.5)
+        .when(before_done & (F.col("before") != "") & (F.length("last") <= F.when(F.col("last").rlike(r"[\x{3400}-\x{9fff}]"), 12).otherwise(40)) & ~inside("h1") & ~inside("h3"), -1.5)
         .when(F.length(F.col("last")) == F.col("chars"), 2.0)
         .otherwise(5.0)
     )
