@@ -32,13 +32,13 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, doc, text) of text files, one row each; bytes that aren't UTF-8 become replacement characters."""
     f = spark.read.format("binaryFile").load(folder).where(F.lower("path").rlike(r"\.(txt|md)$"))
-    return f.select("path", T.doc_slug(F.col("path")).alias("doc"), F.decode("content", F.lit("UTF-8")).alias("text") if spark.conf.get("spark.sql.legacy.codingErrorAction", "false") == "true" else F.expr("cast(content as string)").alias("text"))
+    return f.select("path", T.doc_slug(F.col("path")).alias("doc"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """(doc, page, text) of ``folder``/<doc>/pNNN.txt, without blank and '#' lines; a page of only such lines has empty text."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "p[0-9]*.txt").load(folder)
-    lines = F.filter(F.transform(F.split(F.expr("cast(content as string)"), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split(F.make_valid_utf8(F.col("content").cast("string")), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     return f.select(F.regexp_extract("path", r"([^/]+)/p[0-9]+\.txt$", 1).alias("doc"), F.regexp_extract("path", r"/p([0-9]+)\.txt$", 1).cast("int").alias("page"), F.array_join(lines, "\n").alias("text"))
 
 
