@@ -342,10 +342,14 @@ def _(s, d):
     return chunks(s, d).select("seq", ingest.masthead_cut(c("text")).alias("cut")).where("cut > 0")
 
 
+@register("tbl_04_walker", None)
+def walked(s, d):
+    return ingest.walked(table(s, d, "documents").select(c("doc_id").cast("string").alias("doc"), F.lit(1).alias("page"), "text"), "doc", "page", "text")
+
+
 @register("tbl_05_short_leaves", None)
 def _(s, d):
-    b = ingest.blocks(doc_lines(s, d)).select(c("doc").cast("string").alias("doc"), "page", "block", F.when(c("kind") == "chapter", "section_header").otherwise("leaf").alias("kind"), "node", c("section_marker").alias("section"), "text")
-    return ingest.merge_short_leaves(b)
+    return walked(s, d).select("doc", "page", "block", "kind", "node", c("section_marker").alias("section"), "text")
 
 
 @register("tbl_06_packing", None)

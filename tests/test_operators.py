@@ -47,6 +47,133 @@ def test_hierarchy_equals_walk(spark):
                 assert (r.section_marker, r.node, r.chapter, r.block) == (marker, marker + (suffix or base), chapter, block)
 
 
+def walk(doc, pages):
+    """A document's chunks, line by line, with one state for all pages."""
+    import re
+
+    node = chapter = sec = title = ""
+    out, fm_seen = [], False
+    ascii_ = str.maketrans("০১২৩৪৫৬৭৮৯", "0123456789")
+    flat = lambda t: " ".join(t.split())
+    for page, text in pages:
+        lines = [x.strip() for x in text.splitlines() if x.strip()]
+        cut = 2 if lines[:1] == ["Registered No. DA-1"] else 0
+        blocks, pending, header, used, hits, quotes, rows = [], [], None, False, 0, 0, 0
+
+        def flush():
+            if pending:
+                t = flat(" ".join(pending))
+                ps = [t] if ingest.py_tokens(t) <= 350 else [flat(p) for p in ingest.pack_lines("\n".join(pending))]
+                blocks.extend(["leaf", node, chapter, sec, title, f"{i + 1}/{len(ps)}" if len(ps) > 1 else None, p] for i, p in enumerate(ps))
+                pending.clear()
+
+        for x in [*lines[cut:], None]:
+            if x is None or not x.startswith("|"):
+                if header and not used:
+                    pending.append(header)
+                header, used = None, False
+            if x is None:
+                flush()
+            elif x.startswith(">"):
+                pending.append(x[1:].strip())
+                quotes += 1
+            elif x.startswith("|"):
+                flush()
+                node = sec
+                hits += 1
+                if header is None:
+                    header = x
+                else:
+                    pending += [header, x]
+                    used = True
+                    rows += 1
+                    flush()
+            elif m := re.match(r"([০-৯]{1,3})।\s*", x):
+                flush()
+                hits += 1
+                rest = x[m.end() :]
+                h = re.match(r"(.{1,250}?)।\s*[—–-]+\s*(.*)$", rest)
+                title, body = (flat(h[1]), h[2].strip()) if h else ("", rest)
+                sec = node = str(int(m[1].translate(ascii_)))
+                if title:
+                    blocks.append(["section_header", sec, chapter, sec, title, None, title])
+                if s := re.match(r"\(([০-৯]{1,2}[ক-হ]?)\)", body):
+                    node = f"{sec}({s[1].translate(ascii_)})"
+                if body:
+                    pending.append(body)
+            elif m := re.match(r"([0-9]{1,3})\.", x):
+                flush()
+                hits += 1
+                sec = node = m[1]
+                title = flat(x[m.end() :])
+                if title:
+                    blocks.append(["section_header", sec, chapter, sec, title, None, title])
+            elif m := re.match(r"\(([0-9০-৯]{1,2}|[a-zক-হ])\)|Provided", x):
+                flush()
+                hits += 1
+                mark = (m[1] or "proviso").translate(ascii_)
+                node = f"{sec if mark.isdigit() else node.split('(')[0]}({mark})"
+                pending.append(x)
+            elif x.startswith("CHAPTER"):
+                flush()
+                hits += 1
+                chapter, node = x, ""
+            else:
+                pending.append(x)
+        if hits >= 3 or rows or (quotes and sec):
+            merged, carry = [], []
+            join = lambda bs: flat(" ".join(b[6] for b in bs))
+
+            def alone(into):
+                a = next((b for b in carry if b[0] == "section_header"), None)
+                if a and a[3] != into and ingest.py_tokens(join(carry)) >= 12:
+                    merged.append(["leaf", *a[1:6], join(carry)])
+                    carry.clear()
+
+            for b in blocks:
+                short = ingest.py_tokens(b[6]) < 12
+                if short and not carry and b[0] == "leaf" and "(" in b[1] and merged and merged[-1][3] == b[3]:
+                    merged[-1][6] = join([merged[-1], b])
+                    continue
+                alone(b[3])
+                if b[0] == "section_header" or short:
+                    carry.append(b)
+                else:
+                    merged.append([*b[:6], join([*carry, b])])
+                    carry.clear()
+            alone(merged[-1][3] if merged else None)
+            if carry and merged:
+                merged[-1][6] = join([merged[-1], *carry])
+            elif carry:
+                merged = [["leaf", "", "", "", "", None, join(carry)]]
+        else:
+            t = flat(" ".join(lines[cut:]))
+            merged = [["prose_fallback", f"part{i:02d}", doc, "", "", None, p] for i, p in enumerate(ingest.split_long(t) if t else [], 1)]
+        if cut and not fm_seen:
+            merged = [["front_matter", "front_matter", doc, "", "", None, " ".join(lines[:cut])], *merged]
+        fm_seen = fm_seen or cut > 0
+        out += [(doc, page, *b) for b in merged]
+    return out
+
+
+def test_walker_equals_walk(spark):
+    rnd = random.Random(4)
+    words = lambda n: " ".join(rnd.choice(["labour", "worker", "shall", "pay", "due."]) for _ in range(n))
+    kinds = [lambda: f"{rnd.randrange(1, 99)}. {words(rnd.choice([0, 3, 14]))}", lambda: f"(3) {words(rnd.choice([2, 20]))}", lambda: f"(b) {words(4)}", lambda: "CHAPTER IV", lambda: "Provided that " + words(15), lambda: words(rnd.choice([3, 30, 300])), lambda: "| " + words(2) + " |", lambda: "> (1) " + words(9), lambda: "০৪। শিরোনাম।—(১) " + words(12), lambda: "৫। " + words(8), lambda: "  "]
+    rare = [*kinds[5:8], kinds[5], kinds[5]]
+    docs = {f"d{i}": [(p, "\n".join([*(["Registered No. DA-1", "Ministry of Labour"] if rnd.random() < 0.2 else []), *[rnd.choice(use)() for _ in range(rnd.randrange(1, 12))]])) for p in range(1, 6) for use in [rnd.choice([kinds, kinds, rare, kinds[5:6]])]] for i in range(12)}
+    docs["table"] = [(1, "9. Rates\n| Grade | Pay |\n| I | 20 |\n| II | 30 |\nafter\n| alone |\nCHAPTER V\ntext"), (2, f"(2) {words(20)}\n(3) {words(20)}\n(4) {words(20)}")]
+    docs["plain"] = [(1, "One. Two.\nThree.")]
+    df = spark.createDataFrame([(d, p, t) for d, ps in docs.items() for p, t in ps] + [("none", 1, None), ("none", 2, " \n")], "doc string, page int, text string")
+    cols = ["doc", "page", "kind", "node", "chapter", "section_marker", "section_title", "split_part", "text"]
+    got = [tuple(r[c] for c in cols) for r in ingest.walked(df, "doc", "page", "text").orderBy("doc", "page", "block").collect()]
+    want = [r for d in sorted(docs) for r in walk(d, docs[d])]
+    assert got == want and {r[2] for r in want} == {"leaf", "prose_fallback", "front_matter"} and any(r[7] for r in want)
+    rows = [(r[3], r[6], r[8]) for r in got if r[0] == "table"]
+    assert rows[0][2].startswith("Rates | Grade | Pay | | I | 20 |")
+    assert all("CHAPTER" not in r[8] for r in got if r[2] == "leaf") and rows[-1][:2] == ("9(4)", "Rates")
+
+
 def test_routing(spark):
     texts = ["", "  \n", "plain words here", "a    b\nc", "a b c d                             x\n" * 4, None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
