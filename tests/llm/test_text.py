@@ -97,6 +97,22 @@ def test_frequent_sequences_of_two(spark):
     assert sorted((len(r["items"]), r["support"]) for r in p.collect()) == [(1, 10), (1, 10), (1, 10), (2, 10), (2, 10), (2, 10), (3, 10)] or sorted(len(r["items"]) for r in p.collect()) == [1, 1, 2]
 
 
+def test_frequent_sequences_of_any_length(spark):
+    rnd = random.Random(7)
+    rows = [(f"k{i}", "D", rnd.choice([None, *range(9)]), "\n".join(x for x in ["North", "East", "South", "West", "North", "Foot"] if rnd.random() < 0.9)) for i in range(25)]
+    pages, all_ = {}, {p for _, _, p, _ in rows if p is not None}
+    for _, _, p, t in rows:
+        v = t.split("\n")
+        for mask in range(1, 1 << len(v)):
+            if p is not None:
+                pages.setdefault(tuple(x for i, x in enumerate(v) if mask >> i & 1), set()).add(p)
+    want = sorted((len(s), len(p)) for s, p in pages.items() if len(p) >= 5 and len(p) >= 0.2 * len(all_))
+    df = spark.createDataFrame(rows, "k string, doc string, page int, text string")
+    p, _ = furniture.frequent_sequences(df, "k", "doc", "page", "text")
+    assert sorted((len(r["items"]), r["support"]) for r in p.collect()) == want and want[-1][0] == 6
+    assert max(len(r["items"]) for r in furniture.frequent_sequences(df, "k", "doc", "page", "text", max_len=2)[0].collect()) == 2
+
+
 def test_sentences():
     d = sentences.Divider(np.zeros((3, sentences.ROWS * sentences.BUCKETS), np.float32))
 
