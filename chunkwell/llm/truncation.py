@@ -1,12 +1,13 @@
 """Texts that were cut off: right-censored length models per source, combined with the evidence of the ending.
 
 Per source and unit (characters, UTF-8 bytes, words) a log-normal length distribution is fitted by maximum likelihood, the texts
-at the candidate limit counting as censored (known only to be at least so long). What lies at the limit beyond what the
+at a candidate limit counting as censored (known only to be at least so long). What lies at a limit beyond what the
 fitted density expects there gives the posterior probability that a text of that size was cut. The ending is judged by its
 last marks, its last line and how often lines that open or close with these words are a text's last line. The
 log odds of both are added. Only (source, unit, length, count) rows, combined before the shuffle, reach a fit.
 
-Null and blank texts are never cut; null sources are one source; each copy of a text counts. Lengths are those of whole texts.
+Null and blank texts are never cut; null sources are one source; each copy of a text counts. Lengths are those of whole texts, a closing replacement
+character or mark of omission left out.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 LINE_BUCKETS = 1 << 18
 UNITS = {"chars": 1, "bytes": 4, "words": 1}  # what a cut may fall short of the limit by, plus one
 MIN_AT_LIMIT = 4
+NEAR, BY_CHANCE = 50, 0.01  # windows on each side that a length is compared with; chance that any length is a candidate by accident
+OMITTED = r"(?:…|\.\.\.|\[(?:…|\.\.\.)\]|\[(?:more|truncated|cont(?:inue)?d?)\.?\])"
 # Short forms that don't end a sentence.
 SHORT = "Dr|Mr|Mrs|Ms|Prof|M/s|No|Nos|Sch|Art|Sec|viz|cf|e\\.g|i\\.e|p|a|s|ss|r|i|e|para|Tk|Govt|Ltd|approx|vide"
 END_MARKS = "।॥৷۔؟。！？!?"
@@ -55,25 +58,62 @@ def fit_censored(length: np.ndarray, n: np.ndarray, limit: float) -> tuple[float
 
 
 def _limit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The candidate limit of one source and unit: where the lengths end, with the posterior there."""
+    """The candidate limits of one source and unit, with the posterior at each.
+
+    The largest length is one. So is each other length at which most texts are in excess of both the fitted density and the
+    lengths around it, by more than chance gives any of the lengths tried (Chernoff's bound); of overlapping windows the fullest counts.
+    """
     pdf = pdf.sort_values("length")
     x, n, unit = pdf["length"].to_numpy(), pdf["n"].to_numpy(), pdf["unit"].iloc[0]
-    top, w = int(x.max()), UNITS[unit]
-    at = int(n[x > top - w].sum())
-    mu, sd = fit_censored(x.astype(float), n, float(top - w + 1))
-    lo, hi = math.log(max(top - w + 0.5, 0.5)), math.log(top + 0.5)
-    expected = float(n.sum()) * max(0.0, _norm_cdf_tail((lo - mu) / sd) - _norm_cdf_tail((hi - mu) / sd))
-    p = 1.0 - min(1.0, (expected + 0.5) / at) if at >= MIN_AT_LIMIT else 0.0
-    return pd.DataFrame({"src": [pdf["src"].iloc[0]], "unit": [unit], "lim": [top], "n_at": [at], "mu": [mu], "sd": [sd], "p_cut": [p]})
+    top, w, total = int(x.max()), UNITS[unit], float(n.sum())
+    below = np.concatenate([[0], np.cumsum(n)])
+    upto = lambda v: below[np.searchsorted(x, v, side="right")]
+
+    def scored(lim: int, mu: float, sd: float, around: float) -> float:
+        lo, hi = math.log(max(lim - w + 0.5, 0.5)), math.log(lim + 0.5)
+        return max(around, total * max(0.0, _norm_cdf_tail((lo - mu) / sd) - _norm_cdf_tail((hi - mu) / sd))) + 0.5
+
+    def row(lim: int, around: float) -> tuple:
+        at = int(upto(lim) - upto(lim - w))
+        mu, sd = fit_censored(x.astype(float), n, float(lim - w + 1))
+        p = 1.0 - min(1.0, scored(lim, mu, sd, around) / at) if at >= MIN_AT_LIMIT else 0.0
+        return pdf["src"].iloc[0], unit, lim, at, mu, sd, p
+
+    out = [row(top, 0.0)]
+    at = upto(x) - upto(x - w)
+    around = np.maximum(upto(x - w) - upto(x - w - NEAR * w), upto(x + NEAR * w) - upto(x)) / NEAR
+    mu, sd = out[0][4:6]
+    taken = [top] if out[0][6] > 0 else []
+    tried = math.log(len(x) / BY_CHANCE)
+    for i in np.lexsort((x, -at)):
+        lim, k = int(x[i]), float(at[i])
+        if k < MIN_AT_LIMIT:
+            break
+        if any(abs(lim - t) < w for t in taken):
+            continue
+        e = scored(lim, mu, sd, float(around[i]))
+        if k > 2 * e and k * math.log(k / e) - (k - e) > tried:
+            r = row(lim, float(around[i]))
+            if r[6] > 0.5:
+                out.append(r)
+                taken.append(lim)
+    return pd.DataFrame(out, columns=["src", "unit", "lim", "n_at", "mu", "sd", "p_cut"])
+
+
+def _whole(text: Column) -> Column:
+    """The text before a closing replacement character or mark of omission, which a cut adds to what it leaves."""
+    return F.regexp_replace(text, rf"(?:\x{{FFFD}}+|\s*{OMITTED})\s*$", "")
+
+
+def _sizes(text: Column) -> dict[str, Column]:
+    return {"chars": F.length(text), "bytes": F.octet_length(text), "words": F.size(F.split(text, r"\s+"))}
 
 
 def limits(df: DataFrame, source: str, text: str) -> DataFrame:
-    """(src, unit, lim, n_at, mu, sd, p_cut): the fitted model and the censoring posterior of each source and unit."""
+    """(src, unit, lim, n_at, mu, sd, p_cut): the fitted model and the censoring posterior at the candidate limits of each source and unit."""
     t = F.col(text)
-    sizes = df.where(t.isNotNull() & (t != "")).select(
-        F.coalesce(F.col(source), F.lit("")).alias("src"),
-        F.explode(F.create_map(F.lit("chars"), F.length(t), F.lit("bytes"), F.octet_length(t), F.lit("words"), F.size(F.split(t, r"\s+")))).alias("unit", "length"),
-    )
+    some = df.where(t.isNotNull() & (t != "")).select(F.coalesce(F.col(source), F.lit("")).alias("src"), _whole(t).alias("t"))
+    sizes = some.select("src", F.explode(F.create_map(*[x for u, v in _sizes(F.col("t")).items() for x in (F.lit(u), v)])).alias("unit", "length"))
     return sizes.groupBy("src", "unit", "length").agg(F.count("*").alias("n")).groupBy("src", "unit").applyInPandas(_limit, "src string, unit string, lim long, n_at long, mu double, sd double, p_cut double")
 
 
@@ -101,9 +141,8 @@ def judged(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     base = df.where(F.col(text).rlike(r"\S")).select(
         F.col(key).cast(kind).alias("key"),
         F.coalesce(F.col(source), F.lit("")).alias("src"),
-        F.length(text).alias("chars"),
-        F.octet_length(text).alias("bytes"),
-        F.size(F.split(F.col(text), r"\s+")).alias("words"),
+        F.length(text).alias("length"),
+        *[v.alias(u) for u, v in _sizes(_whole(F.col(text))).items()],
         F.right(t, F.lit(600)).alias("tail"),
     )
     lines = F.filter(F.split("tail", "\n"), lambda x: F.trim(x) != "")
@@ -113,13 +152,14 @@ def judged(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     habit = line_habits(df, text)
     h = lambda b, x: F.broadcast(habit.select(F.col("bucket").alias(b), F.col("p_last").alias(x), F.col("n_lines").alias(f"{x}_n")))
     base = base.join(h("b1", "h1"), "b1", "left").join(h("b2", "h2"), "b2", "left").join(h("b3", "h3"), "b3", "left")
-    lim = limits(df, source, text).where("p_cut > 0").groupBy("src").pivot("unit", list(UNITS)).agg(F.first("lim").alias("lim"), F.first("p_cut").alias("p"))
+    lim = limits(df, source, text).where("p_cut > 0").groupBy("src").pivot("unit", list(UNITS)).agg(F.collect_list(F.struct("lim", "p_cut")).alias("at"), F.count("lim").alias("n"))
     base = base.join(lim, "src", "left")
     p = F.lit(0.0)
     for u, w in UNITS.items():
-        p = F.greatest(p, F.when(F.col(u) > F.col(f"{u}_lim") - w, F.col(f"{u}_p")).otherwise(0.0))
+        here = F.filter(f"{u}_at", lambda x: (F.col(u) > x.lim - w) & (F.col(u) <= x.lim))  # noqa: B023
+        p = F.greatest(p, F.coalesce(F.array_max(F.transform(here, lambda x: x.p_cut)), F.lit(0.0)))
     done = rf"[{END_MARKS}][{CLOSE_MARKS}]*$|\.[{CLOSE_MARKS}]*$|[”»」』][{CLOSE_MARKS}]*$"
-    mark = F.col("last").rlike(r"(?:…|\.\.\.|\[(?:…|\.\.\.)\]|\[(?:more|truncated|cont(?:inue)?d?)\.?\])$")
+    mark = F.col("last").rlike(OMITTED + "$")
     short = F.col("last").rlike(rf"(?:^|[\s(“])(?:{SHORT})\.$|[ঀ-৿]\.$|[a-z]\.[a-z]\.$")
     before_done = (F.col("before") == "") | F.col("before").rlike(done)
     # a line of its own in the form of a date, label, signature, list entry, caption or framed note
@@ -137,7 +177,7 @@ def judged(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
         .when(before_done & (F.col("before") != "") & form, -3.0)
         # a short line of its own whose beginning isn't known as that of lines inside texts
         .when(before_done & (F.col("before") != "") & (F.length("last") <= F.when(F.col("last").rlike(r"[\x{3400}-\x{9fff}]"), 12).otherwise(40)) & ~inside("h1") & ~inside("h3"), -1.5)
-        .when(F.length(F.col("last")) == F.col("chars"), 2.0)
+        .when(F.length(F.col("last")) == F.col("length"), 2.0)
         .otherwise(5.0)
     )
     base = base.withColumn("p_limit", p).withColumn("log_odds", ending + F.when(p > 0, F.least(F.lit(5.0), F.log(p / (F.lit(1.0001) - p)))).otherwise(-1.0))

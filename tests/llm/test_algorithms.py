@@ -173,3 +173,26 @@ def test_cut_texts(spark):
     s = {r.source: r for r in truncation.shares(df, "doc_id", "source", "text").collect()}
     assert s["feed"].likely_limit == 900 and s["feed"].n_cut == len(want)
     assert truncation.judged(df.limit(0), "doc_id", "source", "text").count() == 0
+
+
+def test_limit_below_longer_texts(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(400):
+        t = "কাজ " + "\n".join(" ".join(rnd.choice(["শ্রমিক", "মালিক", "কাজ", "pay"]) for _ in range(rnd.randrange(4, 9))) + "।" for _ in range(int(rnd.lognormvariate(3, 0.5))))
+        rows.append((i, "dump", t.encode()[:3000].decode(errors="replace") if i % 40 else t + "\n" + "শেষ হইল।" * i))
+    cut = {i for i, _, t in rows if i % 40 and len(t.rstrip("\ufffd").encode()) > 2996}
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    r = truncation.limits(df, "source", "text").where("unit = 'bytes' and p_cut > 0.5").collect()
+    assert [x.lim for x in r] == [3000] and r[0].n_at == len(cut) > 20
+    assert {x.doc_id for x in truncation.judged(df, "doc_id", "source", "text").where("p_limit > 0.5").collect()} == cut
+
+
+def test_no_limit_by_chance():
+    import pandas as pd
+
+    rnd = np.random.default_rng(2)
+    for unit in ("chars", "bytes", "words"):
+        v, n = np.unique(np.exp(rnd.normal(4 if unit == "words" else 7, 0.7, 5000)).astype(int), return_counts=True)
+        got = truncation._limit(pd.DataFrame({"src": "s", "unit": unit, "length": v, "n": n}))
+        assert not (got["p_cut"] > 0.5).any()
