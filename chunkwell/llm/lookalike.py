@@ -206,18 +206,18 @@ def latin_bigrams(df: DataFrame, text: str) -> np.ndarray:
     return np.log(n / n.sum(1, keepdims=True))
 
 
-def _rows(cols: list[list], latin: np.ndarray) -> Iterator[tuple]:
+def _rows(cols: list[list], latin: np.ndarray, garbled: bool) -> Iterator[tuple]:
     reader = Reader(latin)
     wrong = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m.group(1), 16):04x}", mojibake.candidate_pattern()))
     for key, text in zip(*cols, strict=True):
         new = reader.form(text)
-        if new != text and not (wrong.search(text) and mojibake.restore(text)[1]):
+        if new != text and (garbled or not (wrong.search(text) and mojibake.restore(text)[1])):
             yield key, new
 
 
-def changed(df: DataFrame, key: str, text: str, latin: np.ndarray | None = None) -> DataFrame:
-    """``key`` and ``form`` of each row whose text isn't in the one form; texts with garbled stretches are left out."""
+def changed(df: DataFrame, key: str, text: str, latin: np.ndarray | None = None, garbled: bool = False) -> DataFrame:
+    """``key`` and ``form`` of each row whose text isn't in the one form; texts with garbled stretches only with ``garbled``."""
     kind = df.schema[key].dataType.simpleString()
     some = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
     latin = latin_bigrams(df, text) if latin is None else latin
-    return arrow_map(some, _rows, f"key {kind}, form string", gate=(1, gate_pattern()), latin=latin).withColumnRenamed("key", key)
+    return arrow_map(some, _rows, f"key {kind}, form string", gate=(1, gate_pattern()), latin=latin, garbled=garbled).withColumnRenamed("key", key)

@@ -74,8 +74,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_forms(spark: SparkSession, d: str) -> DataFrame:
-    """The one form of each record that isn't in it as stored."""
-    return _named(lookalike.changed(_both(spark, d), "rec", "text").distinct())
+    """The one form of each record that isn't in it as stored, garbled ones included."""
+    return _named(lookalike.changed(_both(spark, d), "rec", "text", garbled=True).distinct())
 
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

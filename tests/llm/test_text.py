@@ -153,3 +153,9 @@ def test_changed_frame(spark):
     df = spark.createDataFrame([("a", "o​f"), ("b", "plain"), ("c", None), ("d", ""), ("e", "rÃ©sumÃ©​")], "rec string, text string")
     assert [tuple(r) for r in lookalike.changed(df, "rec", "text").collect()] == [("a", "of")]
     assert lookalike.changed(df.where(F.lit(False)), "rec", "text").count() == 0
+
+
+def test_forms_of_garbled_texts(spark):
+    df = spark.createDataFrame([("a", "o\u200bf"), ("b", "plain"), ("e", "rÃ©sumÃ©\u200b o\u200bf")], "rec string, text string")
+    got = dict(lookalike.changed(df, "rec", "text", garbled=True).collect())
+    assert set(got) == {"a", "e"} and got["e"].endswith(" of")
