@@ -424,7 +424,7 @@ def final(s, d):
 @register("ret_4_dedup_pool", None)
 def _(s, d):
     pool = retrieval.fuse(ranked(s, d), "seq").join(index(s, d).select("seq", "doc", "text_layer", "source_act", "amends_section", "vector", T.authority_order(c("authority_rank")).alias("authority")), "seq")
-    return retrieval.dedup_pool(pool, "seq", 0.25)
+    return retrieval.dedup_pool(pool, "seq", retrieval.NEAR)
 
 
 @register("ret_8_retrieve", None)
@@ -432,7 +432,7 @@ def _(s, d):
     q = stated_queries(s, d)
     flags = table(s, d, "test_queries").select(F.row_number().over(Window.orderBy("query_id")).alias("n"), c("query_english").alias("query_text"), c("multi_aspect_expected").alias("multi_aspect"), c("historical_expected").alias("historical"))
     q = q.withColumn("n", (c("query_id") / 20 + 1).cast("int")).join(flags, "n", "left").drop("n")
-    return retrieval.retrieve(index(s, d), q, table(s, d, "parent_store"), key="seq", near=0.25)
+    return retrieval.retrieve(index(s, d), q, table(s, d, "parent_store"), key="seq", near=retrieval.NEAR)
 
 
 @register("ret_9_trace", None)

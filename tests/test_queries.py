@@ -44,3 +44,9 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["ret_4_dedup_pool"])
+def test_unrelated_chunks_stay_in_the_pool(spark, name):
+    # no two vectors of these tables are as alike as the production threshold
+    assert {r.outcome for r in registry.queries()[name](spark, D).select("outcome").distinct().collect()} == {"kept"}
