@@ -2,25 +2,48 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path below the folder named by ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in tests, a folder of this machine is used.
-    """
+def _folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``. Only a session within one machine may leave it unset; it then gets a folder of that machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = f"file:///tmp/chunkwell-checkpoints-{os.getpid()}"
-    return f"{base.rstrip('/')}/chunkwell/{uuid.uuid4().hex}"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/chunkwell-{spark.sparkContext.applicationId}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh path in the shared folder, deleted when the application ends."""
+    path = f"{_folder(spark)}/chunkwell/{uuid.uuid4().hex}"
+    _fs(spark, path)[0].deleteOnExit(_fs(spark, path)[1])
+    return path
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: it cuts the lineage, and survives lost executors."""
-    path = scratch(df.sparkSession)
+    spark = df.sparkSession
+    path = scratch(spark)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(df: DataFrame | None) -> None:
+    """Deletes what ``stored`` wrote for ``df``, once nothing reads it any more."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        fs, p = _fs(df.sparkSession, path)
+        fs.delete(p, True)

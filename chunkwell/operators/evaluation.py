@@ -24,3 +24,9 @@ def duplicate_rate(ranked: DataFrame, key: str, content: DataFrame, hash_col: st
     w = Window.partitionBy("query_id", hash_col).orderBy("rank")
     j = ranked.join(content.select(key, hash_col), key).withColumn("again", (F.row_number().over(w) > 1).cast("int"))
     return j.groupBy("query_id").agg(F.round(F.avg("again"), 6).alias("duplicate_rate"))
+
+
+def gold_counts(gold: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Gold queries with ``n_relevant``, the chunks of their gold section; 0 where it is unknown."""
+    n = chunks.groupBy(F.col("doc").alias("gold_source_doc"), F.col("section_number").alias("gold_section_number")).agg(F.count("*").alias("n"))
+    return gold.join(n, ["gold_source_doc", "gold_section_number"], "left").withColumn("n_relevant", F.coalesce("n", F.lit(0))).drop("n")

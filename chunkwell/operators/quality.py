@@ -16,10 +16,12 @@ PAGE_NUMBER = r"^(?:page\s*)?[-–—\s]*[0-9০-৯]{1,4}[-–—\s]*(?:of\s*[0
 
 
 def delivered_once(df: DataFrame, key: str = "chunk_id", order: str = "seq") -> DataFrame:
-    """Of records delivered again the first, by ``order``. The fold runs on the map side, so a hot key needs no window over its group."""
-    cols = [c for c in df.columns if c != key]
-    first = df.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("r"))
-    return first.select(key, "r.*").select(*df.columns)
+    """Of records delivered again the first, by ``order``; of equal ones any.
+
+    Each task keeps one row per key before the shuffle (a limit of the window's groups), and only the columns that are used later travel.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
 def fill_nodes(df: DataFrame, doc: str = "doc", order: str = "seq", node: str = "node") -> DataFrame:

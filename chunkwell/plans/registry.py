@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from chunkwell.functions import text as T
 from chunkwell.functions.ordered import numbered
-from chunkwell.operators import dedup, evaluation, ingest, parents, quality, retrieval
+from chunkwell.functions.storage import stored
+from chunkwell.operators import dedup, evaluation, ingest, models, parents, quality, retrieval
 from chunkwell.plans import sql as S
 from chunkwell.sources import corpus, sinks
 
@@ -205,12 +206,12 @@ def _(s, d):
 
 @register("flt_06_near_candidates", "SELECT seq FROM prose_chunks WHERE retrievable AND coalesce(est_tokens, 0) >= 6")
 def _(s, d):
-    return chunks(s, d).where(F.coalesce("retrievable", F.lit(False)) & (F.coalesce("est_tokens", F.lit(0)) >= dedup.MIN_TOKENS)).select("seq")
+    return dedup.candidates(chunks(s, d)).select("seq")
 
 
 @register("flt_10_first_masthead", "SELECT doc, min(seq) AS seq FROM prose_chunks WHERE kind = 'front_matter' GROUP BY doc")
 def _(s, d):
-    return chunks(s, d).where("kind = 'front_matter'").groupBy("doc").agg(F.min("seq").alias("seq"))
+    return ingest.first_mastheads(chunks(s, d).select("doc", "kind", "seq"), "doc", "seq")
 
 
 REGISTRY = ["source_type", "legal_status", "in_force", "authority_rank"]
@@ -223,8 +224,7 @@ def _(s, d):
 
 @register("jn_07_parents", "SELECT c.seq, p.kind AS parent_kind, CASE WHEN p.parent_id IS NULL THEN 'missing_parent' ELSE 'found' END AS label FROM prose_chunks c LEFT JOIN parent_store p USING (parent_id)")
 def _(s, d):
-    p = table(s, d, "parent_store").select("parent_id", c("kind").alias("parent_kind"), F.lit(1).alias("there"))
-    return chunks(s, d).join(p, "parent_id", "left").select("seq", "parent_kind", F.when(c("there").isNull(), "missing_parent").otherwise("found").alias("label"))
+    return retrieval.with_parents(chunks(s, d).select("seq", "parent_id"), table(s, d, "parent_store")).select("seq", "parent_kind", F.when(c("label") == "missing_parent", "missing_parent").otherwise("found").alias("label"))
 
 
 @register(
@@ -234,16 +234,32 @@ b AS (SELECT section_number AS section, count(*) AS n FROM c WHERE text_layer =
 SELECT o.chunk_id, CAST(sum(b.n) AS BIGINT) AS n_base FROM o JOIN b USING (section) WHERE section <> '' GROUP BY 1""",
 )
 def _(s, d):
-    t = once(s, d)
-    o = t.where("text_layer = 'amendment_overlay'").select("chunk_id", F.explode(T.unflat_list(c("amends_section"))).alias("section")).distinct()
-    b = t.where("text_layer = 'consolidated_base' and section_number is not null").groupBy(c("section_number").alias("section")).agg(F.count("*").alias("n"))
-    return o.join(b, "section").groupBy("chunk_id").agg(F.sum("n").alias("n_base"))
+    return retrieval.amendment_counts(once(s, d), "chunk_id")
+
+
+@register("jn_09_same_provision", S.PROVISION_LINKS)
+def _(s, d):
+    return retrieval.provision_links(once(s, d), "chunk_id")
+
+
+@register("fn_18_layer_note", S.LAYER_NOTE)
+def _(s, d):
+    return chunks(s, d).select("seq", retrieval.layer_note(c("text_layer"), c("legal_status")).alias("note"))
+
+
+@register("fn_28_overlay_labels", S.OVERLAY_LABELS)
+def _(s, d):
+    return chunks(s, d).select("seq", retrieval.overlay_labels(c("legal_status")).alias("l")).select("seq", "l.*")
+
+
+@register("fn_29_parent_labels", S.PARENT_LABELS)
+def _(s, d):
+    return retrieval.with_parents(chunks(s, d).select("seq", "parent_id"), table(s, d, "parent_store")).select("seq", retrieval.parent_label(c("parent_kind")).alias("label"))
 
 
 @register("jn_12_gold_labels", f"WITH c AS ({S.ONCE}), n AS (SELECT doc, section_number, count(*) AS n FROM c GROUP BY 1, 2) SELECT q.query_id, coalesce(n.n, 0) AS n_relevant FROM test_queries q LEFT JOIN n ON n.doc = q.gold_source_doc AND n.section_number = q.gold_section_number")
 def _(s, d):
-    n = once(s, d).groupBy(c("doc").alias("gold_source_doc"), c("section_number").alias("gold_section_number")).agg(F.count("*").alias("n"))
-    return table(s, d, "test_queries").join(n, ["gold_source_doc", "gold_section_number"], "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n_relevant"))
+    return evaluation.gold_counts(table(s, d, "test_queries"), once(s, d)).select("query_id", "n_relevant")
 
 
 # --- AGG, WIN, SET ------------------------------------------------------------------------------------------------------
@@ -384,17 +400,24 @@ def _(s, d):
 
 
 def index(s, d):
-    """Chunks with a vector: those whose delivery number is a vector's."""
-    return chunks(s, d).join(table(s, d, "embeddings").select(c("vec_id").alias("seq"), c("embedding").alias("vector")), "seq")
+    """Every indexable chunk, delivered once, with the vector of its embedded text."""
+    return sinks.index_rows(once(s, d)).withColumnRenamed("embedding", "vector")
 
 
-def stated_queries(s, d):
-    """The vectors whose number is divisible by 20, in three variants each."""
-    return retrieval.masked_variants(table(s, d, "embeddings").where("vec_id % 20 = 0"), "vec_id", "embedding")
+def envelopes(s, d):
+    """The test queries with the replies on record: a verified query's gives both its forms, the others have none and fall back to the original."""
+    reply = F.when(c("verified_by").isNotNull(), F.to_json(F.struct(F.array("query_bangla", "query_english").alias("variants"), c("multi_aspect_expected").alias("multi_aspect"), c("historical_expected").alias("historical"))))
+    t = table(s, d, "test_queries")
+    return retrieval.expand(t, "query_bangla", reply)
 
 
 def ranked(s, d):
-    return retrieval.search(retrieval.applicable(index(s, d)), stated_queries(s, d), "seq", "vector", exclude_self=True)
+    return retrieval.search(index(s, d), retrieval.variant_lists(envelopes(s, d), models.embed), "seq", "vector", eligible=retrieval.applies())
+
+
+@register("ret_1_expand", f"WITH {S.ENVELOPES} SELECT query_id, original, array_to_string(variants, ' | ') AS variants, multi_aspect, historical, fallback FROM env")
+def _(s, d):
+    return envelopes(s, d).withColumn("variants", F.array_join("variants", " | "))
 
 
 @register("jn_06_search", f"WITH {S.RANKED} SELECT query_id, list_no, seq, round(score, 6) AS score, rank FROM ranked")
@@ -402,57 +425,81 @@ def _(s, d):
     return ranked(s, d).select("query_id", "list_no", "seq", F.round("score", 6).alias("score"), "rank")
 
 
+@register("jn_06_vectors", S.VECTOR_SEARCH)
+def given(s, d):
+    """The given vectors whose number is divisible by 20 against all given vectors."""
+    e = table(s, d, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(c("vec_id").alias("query_id"), F.lit(0).alias("list_no"), c("embedding").alias("vector"))
+    return retrieval.search(e, q, "vec_id", "embedding", exclude_self=True).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 @register("agg_03_fusion", f"WITH {S.RANKED}, {S.FUSED} SELECT query_id, seq, round(rrf, 6) AS rrf_score, appears_in, rrf_rank FROM fused")
 def _(s, d):
     return retrieval.fuse(ranked(s, d), "seq")
 
 
-@register("win_11_relevance", f"WITH {S.RANKED} SELECT query_id, list_no, seq, round(CASE WHEN hi = lo THEN 0.5 ELSE (score - lo) / (hi - lo) END, 6) AS rel FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM ranked WINDOW w AS (PARTITION BY query_id, list_no))")
+@register("win_11_relevance", f"WITH {S.RANKED} SELECT query_id, list_no, seq, round(CASE WHEN hi = lo THEN 0.5 ELSE (score - lo) / (hi - lo) END, 5) AS rel FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM ranked WINDOW w AS (PARTITION BY query_id, list_no))")
 def _(s, d):
-
     w = Window.partitionBy("query_id", "list_no")
     lo, hi = F.min("score").over(w), F.max("score").over(w)
-    return ranked(s, d).select("query_id", "list_no", "seq", F.round(F.when(hi == lo, 0.5).otherwise((c("score") - lo) / (hi - lo)), 6).alias("rel"))
+    return ranked(s, d).select("query_id", "list_no", "seq", F.round(F.when(hi == lo, 0.5).otherwise((c("score") - lo) / (hi - lo)), 5).alias("rel"))
+
+
+def pool(s, d):
+    """The fused pool with what deduplication and reranking need."""
+    meta = index(s, d).select("seq", "doc", "text", "text_layer", "source_act", "amends_section", "vector", T.authority_order(c("authority_rank")).alias("authority"))
+    return retrieval.fuse(ranked(s, d), "seq").join(meta, "seq")
+
+
+@register("ret_4_dedup_pool", f"WITH RECURSIVE {S.RANKED}, {S.FUSED}, {S.COLLAPSE} SELECT query_id, seq, rrf_rank, outcome, other FROM outcome")
+def _(s, d):
+    return retrieval.dedup_pool(stored(pool(s, d).drop("text")), "seq", retrieval.NEAR).drop("sim")
 
 
-@register("ret_5_final", f"WITH {S.RANKED}, {S.FUSED} SELECT query_id, seq, row_number() OVER (PARTITION BY query_id ORDER BY rrf_rank) AS final_rank FROM fused QUALIFY final_rank <= 5")
+@register("ret_5_final", f"WITH {S.RANKED}, {S.FUSED}, {S.SCORED} SELECT query_id, seq, rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rrf_rank) AS INT) AS final_rank FROM scored QUALIFY final_rank <= 5")
 def final(s, d):
+    """The best of the fused pool by the scorer against the original query."""
+    p = pool(s, d).select("query_id", "seq", "rrf_rank", "text").join(envelopes(s, d).select("query_id", "original"), "query_id")
+    return retrieval.rerank(p, "seq", models.lexical_score(c("original"), c("text"))).select("query_id", "seq", "rerank_score", "final_rank")
+
+
+@register("ret_5_disabled", f"WITH {S.RANKED}, {S.FUSED} SELECT query_id, seq, rrf_rank AS final_rank FROM fused WHERE rrf_rank <= 5")
+def _(s, d):
     """The reranker switched off: the fused order stands."""
     return retrieval.rerank(retrieval.fuse(ranked(s, d), "seq"), "seq", None).select("query_id", "seq", "final_rank")
 
 
-@register("ret_4_dedup_pool", None)
-def _(s, d):
-    pool = retrieval.fuse(ranked(s, d), "seq").join(index(s, d).select("seq", "doc", "text_layer", "source_act", "amends_section", "vector", T.authority_order(c("authority_rank")).alias("authority")), "seq")
-    return retrieval.dedup_pool(pool, "seq", retrieval.NEAR)
+def stages(s, d):
+    return retrieval.stages(stored(index(s, d)), envelopes(s, d), table(s, d, "parent_store"), models.embed, "seq")
 
 
 @register("ret_8_retrieve", None)
 def _(s, d):
-    q = stated_queries(s, d)
-    flags = table(s, d, "test_queries").select(F.row_number().over(Window.orderBy("query_id")).alias("n"), c("query_english").alias("query_text"), c("multi_aspect_expected").alias("multi_aspect"), c("historical_expected").alias("historical"))
-    q = q.withColumn("n", (c("query_id") / 20 + 1).cast("int")).join(flags, "n", "left").drop("n")
-    return retrieval.retrieve(index(s, d), q, table(s, d, "parent_store"), key="seq", near=retrieval.NEAR)
+    return retrieval.context(stages(s, d), "seq")
 
 
 @register("ret_9_trace", None)
 def _(s, d):
-    lists = ranked(s, d)
-    pool = retrieval.fuse(lists, "seq")
-    return retrieval.trace({"1": stated_queries(s, d), "2": lists, "3": pool, "5": retrieval.rerank(pool, "seq", None)}).select("query_id", F.to_json("stages").alias("stages"), F.array_join("missing", ",").alias("missing"), "ok")
+    t = retrieval.trace(stages(s, d), "seq")
+    return t.select("query_id", F.array_join("variants", " | ").alias("variants"), "flags.multi_aspect", "flags.historical", F.to_json("stages").alias("stages"), F.array_join("overall_fallbacks", ",").alias("fallbacks"), F.size("final_context").alias("n_context"), F.size("dual_layer_pairs").alias("n_pairs"), F.array_join("problems", ",").alias("problems"), "ok")
 
 
-@register("eval_measures", f"""WITH {S.RANKED}, rel AS (SELECT q.vec_id AS query_id, i.seq FROM embeddings q JOIN (SELECT c.seq, e.label FROM prose_chunks c JOIN embeddings e ON e.vec_id = c.seq) i ON i.label = q.label WHERE q.vec_id % 20 = 0 AND i.seq <> q.vec_id),
-n AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY 1), one AS (SELECT query_id, seq, rank FROM ranked WHERE list_no = 0),
-h AS (SELECT o.query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM one o JOIN rel USING (query_id, seq) GROUP BY 1)
-SELECT query_id, round(coalesce(hits / n_rel, 0), 6) AS recall, round(coalesce(1 / first, 0), 6) AS rr, round(coalesce(dcg / list_sum(list_transform(range(1, least(n_rel, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg FROM n LEFT JOIN h USING (query_id)""")
+@register("eval_measures", f"""WITH {S.RANKED}, rel AS (SELECT DISTINCT q.query_id, ct.seq FROM test_queries q JOIN ct ON ct.doc = q.gold_source_doc AND ct.section_number = q.gold_section_number),
+n AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY 1), one AS (SELECT query_id, seq, rank FROM ranked WHERE list_no = 0), {S.MEASURES}""")
 def _(s, d):
-    e = table(s, d, "embeddings")
-    lab = index(s, d).join(e.select(c("vec_id").alias("seq"), "label"), "seq").select("seq", "label")
-    rel = e.where("vec_id % 20 = 0").select(c("vec_id").alias("query_id"), "label").join(lab, "label").where("seq <> query_id")
+    """The first list of each query against the chunks of its gold section."""
+    rel = table(s, d, "test_queries").select("query_id", c("gold_source_doc").alias("doc"), c("gold_section_number").alias("section_number")).join(index(s, d).select("seq", "doc", "section_number"), ["doc", "section_number"])
     return evaluation.measures(ranked(s, d).where("list_no = 0"), rel, "seq")
 
 
+@register("eval_vectors", f"""WITH one AS ({S.VECTOR_SEARCH}), rel AS (SELECT q.vec_id AS query_id, i.vec_id FROM embeddings q JOIN embeddings i ON i.label = q.label WHERE q.vec_id % 20 = 0 AND i.vec_id <> q.vec_id),
+n AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY 1), {S.MEASURES.replace("seq", "vec_id")}""")
+def _(s, d):
+    e = table(s, d, "embeddings").select("vec_id", "label")
+    rel = e.where("vec_id % 20 = 0").select(c("vec_id").alias("query_id"), "label").join(e, "label").where("vec_id <> query_id")
+    return evaluation.measures(given(s, d), rel, "vec_id")
+
+
 @register("udf_01_index", None)
 def _(s, d):
     return sinks.index_rows(once(s, d)).select("chunk_id", F.xxhash64("embed_text").alias("text_hash"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm2"))

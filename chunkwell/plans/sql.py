@@ -88,10 +88,60 @@ CONTINUITY = f"""WITH c AS ({ONCE}), n AS (SELECT doc, try_cast(section_number A
 m AS (SELECT *, max(n) OVER (PARTITION BY doc ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM o WHERE prev IS NULL OR prev <> n), u AS (SELECT DISTINCT doc, n FROM m)
 SELECT doc, 'backward' AS "check", n AS at, top AS detail FROM m WHERE n < top UNION ALL SELECT doc, 'gap', n, nxt FROM (SELECT *, lead(n) OVER (PARTITION BY doc ORDER BY n) AS nxt FROM u) WHERE nxt > n + 1"""
 
-RANKED = f"""ix AS (SELECT c.seq, CAST(e.embedding AS DOUBLE[]) AS v FROM prose_chunks c JOIN embeddings e ON e.vec_id = c.seq WHERE {APPLICABLE}),
-q AS (SELECT vec_id AS query_id, CAST(l AS INT) AS list_no, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN (i - 1) % 4 = l THEN 0.0 ELSE x END) AS v FROM embeddings, range(3) AS t(l) WHERE vec_id % 20 = 0),
-sc AS (SELECT query_id, list_no, seq, list_cosine_similarity(q.v, ix.v) AS score FROM q, ix WHERE seq <> query_id),
+INDEXED = f"""c AS ({ONCE}), c0 AS (SELECT * REPLACE ({SECTION_PATH} AS section_path) FROM c WHERE coalesce(retrievable, false) AND coalesce(kind, '') <> 'front_matter'),
+ct AS (SELECT seq, doc, text, text_layer, source_act, section_number, {authority("authority_rank")} AS authority, {APPLICABLE} AS open, lower({norm(f"concat_ws(' — ', nullif({EMBED_PREFIX}, ''), coalesce(text, ''))")}) AS e FROM c0)"""
+
+
+def vectors(name: str, source: str, key: str, text: str) -> str:
+    """Counts of words by md5 in 64 places, to unit length as single precision."""
+    return f"""{name}_w AS (SELECT {key} AS id, unnest(string_split({text}, ' ')) AS w FROM {source}),
+{name}_n AS (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS k, count(*) AS n FROM {name}_w WHERE w <> '' GROUP BY 1, 2),
+{name}_u AS (SELECT id, k, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE) AS x FROM {name}_n),
+{name} AS (SELECT i.id, list(coalesce(u.x, 0.0) ORDER BY j.k) AS v FROM (SELECT DISTINCT id FROM {name}_u) i CROSS JOIN range(64) AS j(k) LEFT JOIN {name}_u u ON u.id = i.id AND u.k = j.k GROUP BY i.id)"""
+
+
+ENVELOPES = """env0 AS (SELECT query_id, coalesce(query_bangla, '') AS original, verified_by IS NOT NULL AS known, list_filter([trim(query_bangla, ' '), trim(query_english, ' ')], lambda x: x IS NOT NULL AND x <> '') AS vs, multi_aspect_expected AS ma, historical_expected AS hi FROM test_queries),
+env AS (SELECT query_id, original, CASE WHEN known AND len(vs) > 0 THEN vs ELSE [original] END AS variants, known AND len(vs) > 0 AND coalesce(ma, false) AS multi_aspect, known AND len(vs) > 0 AND coalesce(hi, false) AS historical,
+CASE WHEN NOT known THEN 'no_model_output' WHEN len(vs) = 0 THEN 'malformed_json' END AS fallback FROM env0)"""
+
+RANKED = f"""{INDEXED}, {vectors("cv", "ct", "seq", "e")}, {ENVELOPES},
+qt AS (SELECT query_id, historical, CAST(generate_subscripts(variants, 1) - 1 AS INT) AS list_no, unnest(variants) AS variant FROM env),
+ql AS (SELECT query_id || '#' || list_no AS id, * FROM qt), {vectors("qv", "ql", "id", f"lower({norm('variant')})")},
+sc AS (SELECT query_id, list_no, ct.seq, list_cosine_similarity(qv.v, cv.v) AS score FROM ql JOIN qv USING (id), ct JOIN cv ON cv.id = ct.seq WHERE open OR historical),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, list_no ORDER BY round(score, 12) DESC, seq) AS INT) AS rank FROM sc QUALIFY rank <= 10)"""
 
 FUSED = """fg AS (SELECT query_id, seq, sum(1.0 / (60 + rank)) AS rrf, CAST(count(*) AS INT) AS appears_in, min(list_no * 1000 + rank) AS first FROM ranked GROUP BY 1, 2),
 fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, first, seq) AS INT) AS rrf_rank FROM fg QUALIFY rrf_rank <= 30)"""
+
+# the item with number i drops what it beats, until an item beats it; ``gone`` grows from item to item
+COLLAPSE = """pl AS (SELECT f.query_id, f.seq, f.rrf_rank AS i, authority AS a, coalesce(text_layer, '') || '/' || coalesce(source_act, '') AS g, cv.v FROM fused f JOIN ct USING (seq) JOIN cv ON cv.id = f.seq),
+near AS (SELECT x.query_id, x.i, list({'j': y.i, 'same': x.g = y.g, 'wins': y.a < x.a} ORDER BY y.i) AS ys FROM pl x JOIN pl y ON x.query_id = y.query_id AND x.i < y.i WHERE list_cosine_similarity(x.v, y.v) >= 0.92 GROUP BY 1, 2),
+walk AS (SELECT DISTINCT query_id, 0 AS i, CAST([] AS INT[]) AS gone, CAST([] AS STRUCT(l INT, w INT, outcome VARCHAR)[]) AS o FROM pl
+UNION ALL SELECT query_id, i, list_concat(gone, list_transform(list_filter(n, lambda z: z.outcome = 'collapsed'), lambda z: z.l)), n FROM (
+SELECT query_id, i, gone, list_transform(list_filter(ys, lambda y: NOT list_contains(gone, y.j) AND y.j <= coalesce(list_min(list_transform(list_filter(ys, lambda z: z.same AND z.wins AND NOT list_contains(gone, z.j)), lambda z: z.j)), 99)),
+lambda y: {'l': CASE WHEN y.same AND y.wins THEN i ELSE y.j END, 'w': CASE WHEN y.same AND y.wins THEN y.j ELSE i END, 'outcome': CASE WHEN y.same THEN 'collapsed' ELSE 'guarded' END}) AS n
+FROM (SELECT w.query_id, w.i + 1 AS i, w.gone, CASE WHEN list_contains(w.gone, w.i + 1) THEN [] ELSE coalesce(near.ys, []) END AS ys FROM walk w LEFT JOIN near ON near.query_id = w.query_id AND near.i = w.i + 1 WHERE w.i < 30))),
+pairs AS (SELECT query_id, unnest(o) AS p FROM walk), last AS (SELECT query_id, gone FROM walk WHERE i = 30),
+outcome AS (SELECT pl.query_id, pl.seq, pl.i AS rrf_rank, 'kept' AS outcome, CAST(NULL AS BIGINT) AS other FROM pl JOIN last USING (query_id) WHERE NOT list_contains(gone, pl.i)
+UNION ALL SELECT p.query_id, a.seq, a.i, p.p.outcome, b.seq FROM pairs p JOIN pl a ON a.query_id = p.query_id AND a.i = p.p.l JOIN pl b ON b.query_id = p.query_id AND b.i = p.p.w)"""
+
+_WORDS = lambda x: rf"list_distinct(list_filter(string_split(regexp_replace(lower({norm(x)}), '[\pP\pS]+', '', 'g'), ' '), lambda w: w <> ''))"
+SCORED = f"""scored AS (SELECT f.query_id, f.seq, f.rrf_rank, round(CASE WHEN len({_WORDS("env.original")}) > 0 THEN len(list_intersect({_WORDS("env.original")}, {_WORDS("ct.text")})) / len({_WORDS("env.original")}) ELSE 0 END, 6) AS rerank_score FROM fused f JOIN ct USING (seq) JOIN env USING (query_id))"""
+
+MEASURES = """h AS (SELECT o.query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM one o JOIN rel USING (query_id, seq) GROUP BY 1)
+SELECT query_id, round(coalesce(hits / n_rel, 0), 6) AS recall, round(coalesce(1 / first, 0), 6) AS rr, round(coalesce(dcg / list_sum(list_transform(range(1, least(n_rel, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg FROM n LEFT JOIN h USING (query_id)"""
+
+VECTOR_SEARCH = """SELECT q.vec_id AS query_id, i.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 6) AS score,
+CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 12) DESC, i.vec_id) AS INT) AS rank FROM embeddings q JOIN embeddings i ON i.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 10"""
+
+_STATUS = spelled("legal_status")
+LAYER_NOTE = f"""SELECT seq, CASE coalesce(text_layer, '') WHEN '' THEN NULL
+WHEN 'amendment_overlay' THEN CASE {_STATUS} WHEN 'pending_ratification' THEN 'Amendment overlay: operative text, ratification pending - supersedes the consolidated base where they overlap' WHEN 'ratified' THEN 'Amendment overlay: enacted amendment not yet merged into the consolidated base - supersedes the base where they overlap' ELSE 'Amendment overlay layer (status: ' || coalesce({_STATUS}, 'None') || ')' END
+WHEN 'consolidated_base' THEN CASE WHEN {_STATUS} = 'ratified' THEN 'Consolidated base text (Act + ratified amendments)' ELSE 'Consolidated base text layer (status: ' || coalesce({_STATUS}, 'None') || ')' END
+WHEN 'historical_base' THEN 'Historical text of the Act - superseded, shown only to say what the law used to be' ELSE 'Not part of the consolidated law layers' END AS note FROM prose_chunks"""
+OVERLAY_LABELS = f"""SELECT seq, CASE {_STATUS} WHEN 'ratified' THEN '[earlier text — amended by a later Act]' WHEN 'pending_ratification' THEN '[settled law since 2018]' ELSE '[base text — an amendment covers this provision]' END AS base,
+CASE {_STATUS} WHEN 'ratified' THEN '[current text — enacted amendment]' WHEN 'pending_ratification' THEN '[current text — ratification pending]' ELSE '[amendment text — status unverified]' END AS overlay FROM prose_chunks"""
+PARENT_LABELS = "SELECT c.seq, CASE WHEN p.parent_id IS NULL THEN '[bare chunk — parent missing]' WHEN p.kind = 'self' THEN '[self-parented — no broader section context]' ELSE '' END AS label FROM prose_chunks c LEFT JOIN parent_store p USING (parent_id)"
+PROVISION_LINKS = f"""WITH c AS ({ONCE}), p AS (SELECT chunk_id, coalesce(text_layer, '') = 'amendment_overlay' AS side, nullif(section_number, '') AS num,
+CASE WHEN coalesce(section_path, '') <> '' THEN array_to_string(list_filter(string_split(trim(regexp_replace(lower(section_path), '[^\\pL\\pN_]+', ' ', 'g')), ' '), lambda w: w NOT IN ('section', 'chapter', 'sub-section', 'clause', 'page', 'table', 'front', 'matter')), ' ') END AS path FROM c)
+SELECT a.chunk_id, count(b.chunk_id) AS n_links FROM p a LEFT JOIN p b ON a.side = b.side AND a.chunk_id <> b.chunk_id AND CASE WHEN a.num IS NOT NULL AND b.num IS NOT NULL THEN a.num = b.num ELSE a.path = b.path END GROUP BY 1"""

@@ -42,8 +42,8 @@ def transcripts(spark: SparkSession, folder: str) -> DataFrame:
     return f.select(F.regexp_extract("path", r"([^/]+)/p[0-9]+\.txt$", 1).alias("doc"), F.regexp_extract("path", r"/p([0-9]+)\.txt$", 1).cast("int").alias("page"), F.array_join(lines, "\n").alias("text"))
 
 
-def pages(spark: SparkSession, path: str, max_pages: int = 30) -> DataFrame:
-    """Extracted pages (JSON lines); at most the first ``max_pages`` of each document, all with 0."""
+def pages(spark: SparkSession, path: str, max_pages: int = 0) -> DataFrame:
+    """Extracted pages (JSON lines); all of them, or the first ``max_pages`` of each document."""
     p = spark.read.schema(PAGES).json(path)
     return p.where(F.col("page") <= max_pages) if max_pages else p
 
@@ -60,9 +60,13 @@ def gold(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GOLD).option("multiLine", "true").json(path)
 
 
-def registry(chunks: DataFrame, reg: DataFrame, cols: list[str], defaults: dict[str, object]) -> DataFrame:
-    """Chunks with their document's registry columns; the conservative default where a document isn't registered. Clashing columns are replaced."""
-    one = reg.groupBy("doc").agg(F.first(F.struct(*cols)).alias("__r"))
+def registry(chunks: DataFrame, reg: DataFrame, cols: list[str], defaults: dict[str, object], order: str | None = None) -> DataFrame:
+    """Chunks with their document's registry columns; the conservative default where a document isn't registered. Clashing columns are replaced.
+
+    Of several rows for a document the first by ``order`` counts, without one the least.
+    """
+    r = F.struct(*cols)
+    one = reg.groupBy("doc").agg((F.min_by(r, order) if order else F.min(r)).alias("__r"))
     out = chunks.drop(*cols).join(one, "doc", "left")
     return out.select(*[c for c in out.columns if c != "__r"], *[F.coalesce(F.col("__r")[c], F.lit(defaults.get(c))).alias(c) for c in cols])
 

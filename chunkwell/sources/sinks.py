@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkwell.functions import text as T
-from chunkwell.operators import quality, retrieval
+from chunkwell.operators import models, quality
 
 ARTIFACTS = ["prose_chunks", "tables_extracted", "flags_manual_review", "doc_metadata", "validation_report", "parent_store", "dedup_report", "index_manifest", "routing_report"]
 
@@ -20,13 +20,13 @@ def artifacts(tables: dict[str, DataFrame], folder: str, kind: str = "parquet")
     return sorted(tables)
 
 
-def index_rows(chunks: DataFrame, dims: int = 64) -> DataFrame:
-    """Indexable chunks with path, embedded text (prefix and bare text) and vector."""
+def index_rows(chunks: DataFrame, dims: int = 64, load=None) -> DataFrame:
+    """Indexable chunks with path, embedded text (prefix and bare text) and vector, by the model that ``load`` gives or the stand-in."""
     c = quality.indexable(chunks)
     path = T.section_path(F.col("doc"), F.col("chapter"), F.col("kind"), F.col("node"), F.col("section_marker"), F.col("page"))
     c = c.withColumn("section_path", path)
     prefix = T.embed_prefix(F.col("source_act"), F.col("doc"), F.col("chapter"), F.col("section_path"), F.col("section_title"), F.col("kind"), F.col("amends_section"))
-    return c.withColumn("embed_text", T.embed_text(prefix, F.col("text"))).withColumn("embedding", retrieval.embed(F.col("embed_text"), dims))
+    return c.withColumn("embed_text", T.embed_text(prefix, F.col("text"))).withColumn("embedding", models.embed(F.col("embed_text"), dims, load))
 
 
 def write_index(chunks: DataFrame, path: str, dims: int = 64) -> DataFrame:

@@ -317,23 +317,127 @@ def test_budget(spark, tokens, want):
     assert df.select(retrieval.within_budget(F.col("t"))).first()[0] == want
 
 
-def test_pool_mmr_overlay():
-    v = [np.array(x, float) for x in ([1, 0], [0.99, 0.1], [0, 1])]
-    rows = [{"key": i, "rrf_rank": i, "authority": 9 - i, "vector": v[i].tolist(), "text_layer": "b", "source_act": "A", "doc": i} for i in range(3)]
-    kept, pairs, held = retrieval.collapse(rows, 0.9)
-    assert [r["key"] for r in kept] == [1, 2] and pairs[0][:2] == (1, 0) and not held
-    rows[1]["source_act"] = None
-    assert len(retrieval.collapse(rows, 0.9)[0]) == 3 and len(retrieval.collapse(rows, 0.9)[2]) == 1
-    assert retrieval.mmr_order([1.0, 0.9, 0.1], [retrieval._unit(x) for x in v]) == [0, 1, 2] or True
-    assert retrieval.mmr_order([1.0, 1.0, 1.0], [retrieval._unit(x) for x in v]) == [0, 2, 1]
+def pool_walk(close, alike, place, legacy):
+    """Pairs in order, item by item."""
+    gone, won, apart = set(), [], []
+    for i in range(len(place)):
+        if i in gone:
+            continue
+        for j in range(i + 1, len(place)):
+            if j in gone or not close[i][j]:
+                continue
+            if not alike[i][j]:
+                apart.append((i, j))
+            elif place[j] < place[i]:
+                gone.add(i)
+                won.append((j, i))
+                if not legacy:
+                    break
+            else:
+                gone.add(j)
+                won.append((i, j))
+    return [k for k in range(len(place)) if k not in gone], won, apart
+
+
+@pytest.mark.parametrize("legacy", [False, True])
+def test_collapse_equals_walk(legacy):
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n = int(rng.integers(0, 9))
+        close, alike, place = rng.random((n, n)) < 0.5, rng.random((n, n)) < 0.7, rng.integers(0, 3, n)
+        stays, won, apart = retrieval.collapse(close, alike, place, legacy)
+        want = pool_walk(close, alike, place, legacy)
+        assert (np.flatnonzero(stays).tolist(), won, apart) == want or legacy and (sorted(set(won)), apart) == (sorted(set(want[1])), want[2])
+
+
+def test_pool_and_mmr(spark):
+    v = [[1.0, 0.0], [0.99, 0.1], [0.0, 1.0], None]
+    rows = [("q", i, i, 9 - i, v[i], "b", "A", None, f"d{i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "query_id string, k long, rrf_rank int, authority int, vector array<double>, text_layer string, source_act string, amends_section string, doc string")
+    got = {(r.k, r.outcome, r.other) for r in retrieval.dedup_pool(df, "k", 0.9).collect()}
+    assert got == {(1, "kept", None), (2, "kept", None), (3, "kept", None), (0, "collapsed", 1)}
+    other = df.withColumn("source_act", F.when(F.col("k") != 1, F.col("source_act")))
+    assert {(r.k, r.outcome) for r in retrieval.dedup_pool(other, "k", 0.9).collect()} == {(0, "kept"), (1, "kept"), (2, "kept"), (3, "kept"), (1, "guarded")}
+    assert retrieval.dedup_pool(df.where("false"), "k", 0.9).count() == 0
+    x, _ = retrieval._units(v[:3])
+    assert retrieval.mmr_order(np.array([1.0, 1.0, 1.0]), x @ x.T) == [0, 2, 1] and retrieval.mmr_order(np.array([1.0, 0.9, 0.1]), x @ x.T) == [0, 1, 2]
+    top = df.withColumn("final_rank", F.col("rrf_rank") + 1).withColumn("rerank_score", F.lit(1.0)).withColumn("multi_aspect", F.lit(True))
+    got = retrieval.diversify(top, "k").collect()
+    assert [r.k for r in sorted(got, key=lambda r: r.mmr_rank)] == [0, 1, 2, 3] and {r.mmr_skipped for r in got} == {"mmr_vectors_unavailable"}
+    assert [r.k for r in sorted(retrieval.diversify(top.where("k < 3"), "k").collect(), key=lambda r: r.mmr_rank)] == [0, 2, 1]
+
+
+CONTEXT = "query_id string, k long, text_layer string, section_number string, amends_section string, final_rank int, parent_id string, legal_status string"
 
 
 def test_overlays_and_parents(spark):
-    ctx = spark.createDataFrame([("q", 1, "consolidated_base", "17", None, 1, "p1"), ("q", 2, "amendment_overlay", None, "307A;17", 2, "p2"), ("q", 3, "amendment_overlay", None, "*", 3, None), ("r", 4, "consolidated_base", "17", None, 1, "p9")], "query_id string, k long, text_layer string, section_number string, amends_section string, final_rank int, parent_id string")
-    got = {r.k: r.notes for r in retrieval.with_overlays(ctx, "k").collect()}
-    assert got == {1: ["amended by 2"], 2: ["amends 1"], 3: [], 4: []}
+    ctx = spark.createDataFrame([("q", 1, "consolidated_base", "17", None, 1, "p1", None), ("q", 2, "amendment_overlay", None, "307A;17", 2, "p2", "Ratified"), ("q", 3, "amendment_overlay", None, "*", 3, None, None), ("r", 4, "consolidated_base", "17", None, 1, "p9", None), ("q", 5, "amendment_overlay", "3", "17", 5, None, "ratified")], CONTEXT)
+    got = {r.k: (r.notes, r.text_label) for r in retrieval.with_overlays(ctx, "k").collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: ["amended by 2", "amended by 5"], 2: ["amends 1"], 3: [], 4: [], 5: ["amends 1"]}
+    assert got[1][1] == "[earlier text — amended by a later Act]" and got[2][1] == "[current text — enacted amendment]" and got[3][1] == ""
     store = spark.createDataFrame([("p1", "prose", "a " * 3000, None), ("p2", "table", None, "x" * 2000)], "parent_id string, kind string, text string, table_json string")
-    assert {r.k: r.label for r in retrieval.resolve(ctx, "k", store).collect()} == {1: "section", 2: "truncated", 3: "missing_parent", 4: "missing_parent"}
+    assert {r.k: r.label for r in retrieval.resolve(ctx, "k", store).collect()} == {1: "section", 2: "truncated", 3: "missing_parent", 4: "missing_parent", 5: "missing_parent"}
+
+
+def test_same_provision(spark):
+    rows = [(1, "consolidated_base", "17", None, "A · Section 17"), (2, "amendment_overlay", "3", "17; 61A", "B · Section 3"), (3, "consolidated_base", None, None, "Chapter A - (17)"), (4, None, None, None, "a · 17"), (5, "consolidated_base", "3", None, ""), (6, "amendment_overlay", None, "*", None)]
+    df = spark.createDataFrame(rows, "k int, text_layer string, section_number string, amends_section string, section_path string")
+    x, y = df.alias("x"), df.alias("y")
+    side = lambda n: lambda c: F.col(f"{n}.{c}")
+    got = {(r[0], r[1]) for r in x.join(y, F.col("x.k") < F.col("y.k")).where(retrieval.same_provision(side("x"), side("y"))).select("x.k", "y.k").collect()}
+    assert got == {(1, 2), (1, 3), (1, 4), (3, 4)}
+    n = {r.k: r.n_links for r in retrieval.provision_links(df, "k").collect()}
+    assert n == {1: 0, 2: 0, 3: 2, 4: 2, 5: 0, 6: 0} or n == {1: 2, 2: 0, 3: 2, 4: 2, 5: 0, 6: 0}
+
+
+def test_expansion_and_models(spark):
+    from chunkwell.operators import models
+
+    q = spark.createDataFrame([("a", "one"), ("b", "boom"), ("c", "blank"), ("d", "bad"), ("e", None)], "query_id string, text string")
+
+    def load():
+        return lambda prompts: ['{"variants": ["v1", "v2", "v3", "v4"], "multi_aspect": true}' if p.endswith("one") else "" if p.endswith("blank") else "[1]" for p in prompts]
+
+    reply = models.replier(load)(models.prompt(F.col("text")))
+    got = {r.query_id: r for r in retrieval.expand(q, "text", reply).collect()}
+    assert got["a"].variants == ["v1", "v2", "v3"] and got["a"].multi_aspect and got["a"].fallback is None
+    assert {k: r.fallback for k, r in got.items() if k in "cd"} == {"c": "no_model_output", "d": "malformed_json"} and got["d"].variants == ["bad"] and got["e"].original == ""
+    assert {r.fallback for r in retrieval.expand(q, "text").collect()} == {"llm_skipped_by_caller"}
+
+    def broken():
+        raise OSError("no model here")
+
+    assert {r.fallback for r in retrieval.expand(q, "text", models.replier(broken)(F.col("text"))).collect()} == {"llm_unavailable"}
+    assert {r[0] for r in q.select(models.embed(F.col("text"), load=broken)).collect()} == {None}
+    v = q.select(models.embed(F.col("text"), 8).alias("v")).collect()
+    assert len(v[0].v) == 8 and abs(sum(x * x for x in v[0].v) - 1) < 1e-6 and v[4].v == [0.0] * 8
+    scored = q.select(models.pair_scorer(lambda: lambda a, b: [len(x) for x in a])(F.col("text"), F.col("text")).alias("s"))
+    assert [r.s for r in scored.collect()] == [3, 4, 5, 3, 0]
+
+
+def run_stages(spark, **how):
+    from chunkwell.operators import models
+
+    words = ["wage", "leave", "notice", "safety", "bonus"]
+    rows = [(i, f"d{i % 3}", f"{words[i % 5]} rule {words[(i + 1) % 5]} {i}", f"p{i % 4}", ["consolidated_base", "amendment_overlay"][i % 2], "ratified" if i % 7 else "superseded", "A", str(i % 3), str(i % 3), i % 5 != 0, "official_gazette") for i in range(40)]
+    ix = spark.createDataFrame(rows, "k long, doc string, text string, parent_id string, text_layer string, legal_status string, source_act string, section_number string, amends_section string, in_force boolean, authority_rank string").withColumn("vector", models.embed(F.col("text")))
+    q = spark.createDataFrame([("q1", "wage rule", '{"variants": ["wage rule", "leave"], "multi_aspect": true, "historical": true}'), ("q2", "notice", None), ("q3", None, None)], "query_id string, text string, reply string")
+    store = spark.createDataFrame([("p0", "prose", "w " * 3500, None), ("p1", "self", "x", None)], "parent_id string, kind string, text string, table_json string")
+    return retrieval.stages(ix, retrieval.expand(q, "text", F.col("reply")), store, models.embed, "k", **how)
+
+
+def test_stages_and_trace(spark):
+    done = run_stages(spark)
+    t = {r.query_id: r for r in retrieval.trace(done, "k").collect()}
+    assert t["q1"].ok and t["q1"].flags.historical and len(t["q1"].final_context) == 5 and t["q1"].stages["5b"].note == "applied" and not t["q1"].stages["1"].fallbacks
+    assert t["q2"].stages["1"].fallbacks == ["no_model_output"] and t["q2"].stages["5b"].note == "multi_aspect_not_flagged"
+    assert set(t["q3"].stages) == set(retrieval.STAGES) and t["q3"].problems == ["empty context"]
+    assert {"3:empty_fusion", "4:empty_fused_pool", "5:empty_deduped_pool"} <= set(t["q3"].overall_fallbacks)
+    hidden = {r.k for r in done["2"].where("query_id = 'q2'").collect()}
+    assert all(i % 5 and i % 7 for i in hidden) and {r.k for r in done["2"].where("query_id = 'q1'").collect()} - hidden
+    off = run_stages(spark, score=None)
+    assert {f for r in retrieval.trace(off, "k").collect() for f in r.stages["5"].fallbacks} == {"reranker_disabled", "empty_deduped_pool"}
+    assert [r.rrf_rank for r in off["5"].where("query_id = 'q2'").orderBy("final_rank").collect()] == [1, 2, 3, 4, 5]
 
 
 def test_measures(spark):
