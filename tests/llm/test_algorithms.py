@@ -167,7 +167,8 @@ def test_cut_texts(spark):
     ends = ["All is well.\nDated: 3 May 2031", "He went away […]", "He went aw…", "“and so on...”", "Paid in full.", "He paid Dr.", "It was re�", "He paid the", None, ""]
     rows += [(1000 + i, None, t) for i, t in enumerate(ends)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = {r.doc_id for r in truncation.judged(df, "doc_id", "source", "text").where("is_cut").collect()}
+    j = truncation.judged(df, "doc_id", "source", "text").collect()
+    got = {r.doc_id for r in j if r.is_cut}
     assert {x for x in got if x < 1000} == want
     assert {x for x in got if x >= 1000} == {1001, 1002, 1005, 1006, 1007}
     s = {r.source: r for r in truncation.shares(df, "doc_id", "source", "text").collect()}
@@ -183,7 +184,7 @@ def test_limit_below_longer_texts(spark):
         rows.append((i, "dump", t.encode()[:3000].decode(errors="replace") if i % 40 else t + "\n" + "শেষ হইল।" * i))
     cut = {i for i, _, t in rows if i % 40 and len(t.rstrip("\ufffd").encode()) > 2996}
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    r = truncation.limits(df, "source", "text").where("unit = 'bytes' and p_cut > 0.5").collect()
+    r = truncation.limits(truncation.endings(df, "doc_id", "source", "text")).where("unit = 'bytes' and p_cut > 0.5").collect()
     assert [x.lim for x in r] == [3000] and r[0].n_at == len(cut) > 20
     assert {x.doc_id for x in truncation.judged(df, "doc_id", "source", "text").where("p_limit > 0.5").collect()} == cut
 
@@ -196,3 +197,20 @@ def test_no_limit_by_chance():
         v, n = np.unique(np.exp(rnd.normal(4 if unit == "words" else 7, 0.7, 5000)).astype(int), return_counts=True)
         got = truncation._limit(pd.DataFrame({"src": "s", "unit": unit, "length": v, "n": n}))
         assert not (got["p_cut"] > 0.5).any()
+
+
+def test_ending_of_a_long_last_line(spark):
+    rows = [(1, "s", "Notice.\n" + "Dated " + "word " * 400 + "end"), (2, "s", "One line " * 200), (3, "s", "A.\n \nB […]\n\t ")]
+    e = {r.key: r for r in truncation.endings(spark.createDataFrame(rows, "doc_id long, source string, text string"), "doc_id", "source", "text").collect()}
+    part = lambda c: (truncation.MARKS[c // 36], truncation.FORMS[c // 9 % 4], truncation.BEFORE[c // 3 % 3])
+    assert [part(e[k].cell) for k in (1, 2, 3)] == [("none", "long", "done"), ("none", "long", "alone"), ("omitted", "brief", "done")]
+    assert (e[1].words, e[2].chars, e[3].chars) == (403, 1799, 6) and all(e[k].cut_cell is not None for k in (1, 2))
+
+
+def test_ending_ratio_takes_cuts_off():
+    inside = truncation.CELLS - 1  # unmarked, long, open, unknown
+    form = 4 * 36 + 1 * 9 + 1 * 3  # unmarked, of a closing form after a whole line
+    whole, cut, marks = np.zeros(truncation.CELLS), np.zeros(truncation.CELLS), np.zeros(truncation.CELLS)
+    whole[0], whole[inside], whole[form], cut[inside], cut[form], marks[inside] = 9000, 100, 900, 970, 30, 50
+    ratio, rate = truncation.ending_ratio(whole, cut, marks)
+    assert 0.008 < rate < 0.02 and ratio[inside] > 5 and ratio[form] < -0.5
