@@ -1,10 +1,10 @@
 """Containers of permitted capacities filled with texts sized in tokens: variable-capacity best fit.
 
 Texts larger than the largest permitted capacity are divided into full containers and a rest; all others stay whole. Items
-are dealt to shards of about ``SHARD_ITEMS`` by a hash of their key, and each shard is packed by best fit decreasing: an item goes
-to the open bin that it leaves with the least room; where none has room, a bin of the permitted size of least
-cost is opened. At last every bin is downsized to the smallest permitted size that holds its contents, and the last, badly
-filled bins of a shard are few. Bins with room are found in a bit set over remaining capacities, so an item costs constant time.
+are dealt to shards of about ``SHARD_ITEMS`` by a hash of their key, and each shard is packed by best fit: a bin is opened for the
+largest item left, and what goes in leaves the least room. All permitted capacities are tried, and the one of least cost
+per token that it would hold is opened; at last every bin is downsized to the smallest permitted size that holds its
+contents. The last, badly filled bins of a shard are few. Items are found in a bit set over sizes, so an item costs constant time.
 
 Null texts are no items; an empty text is an item of size 0. Keys are expected to be unique; a repeated row is an item of its own
 in the same shard. The tokenizer's file is a parameter and is read where the tasks run.
@@ -52,30 +52,56 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: str | None = Non
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").mapInArrow(go, f"key {kind}, n_tokens long").withColumnRenamed("key", key)
 
 
+def _filled(room: int, have: int, left: list[int]) -> tuple[list[int], int]:
+    """(sizes, room that stays) of a bin into which goes, as long as there is one, the item that leaves the least room."""
+    took: list[int] = []
+    while room > 0:
+        fits = have & ((1 << (room + 1)) - 1)
+        while fits and (s := fits.bit_length() - 1) and left[s] <= took.count(s):
+            fits &= ~(1 << s)  # all of this size are in the bin already
+        s = fits.bit_length() - 1
+        if s < 1:
+            break
+        took.append(s)
+        room -= s
+    return took, room
+
+
 def best_fit(sizes: list[int], capacities: list[int], cost: Callable[[int], float] = float) -> tuple[list[int], list[int]]:
-    """(bin of each item, capacity of each bin) for items given in order; every size must be within the largest capacity."""
+    """(bin of each item, capacity of each bin); every size must be within the largest capacity.
+
+    A bin is opened for the largest item that is left. For each permitted capacity that holds it the bin is filled by best fit from
+    what is left, and the capacity of least cost per token that would go in is opened so, of equal ones the largest.
+    Items of size 0 go into the last bin.
+    """
     caps = sorted(capacities)
-    open_bins: dict[int, list[int]] = {}
-    room = 0  # bit r is set where a bin has r left
-    used: list[int] = []
-    where = []
-    for s in sizes:
-        fits = room >> s
-        if fits:
-            r = s + ((fits & -fits).bit_length() - 1)
-            k = open_bins[r].pop()
-            if not open_bins[r]:
-                room &= ~(1 << r)
-            used[k] += s
-            left = r - s
-        else:
-            c = min((c for c in caps if c >= s), key=lambda c: (cost(c), c))
-            k, left = len(used), c - s
-            used.append(s)
-        where.append(k)
-        open_bins.setdefault(left, []).append(k)
-        room |= 1 << left
-    return where, [next(c for c in caps if c >= u) for u in used]
+    left, have = [0] * (caps[-1] + 1), 0  # items by size; bit s is set where a size has one
+    items: dict[int, list[int]] = {}
+    for i in range(len(sizes) - 1, -1, -1):
+        items.setdefault(sizes[i], []).append(i)
+        left[sizes[i]] += 1
+        have |= 1 << sizes[i]
+    where, bins = [0] * len(sizes), []
+
+    def put(s: int) -> None:
+        nonlocal have
+        where[items[s].pop()] = len(bins)
+        left[s] -= 1
+        if not left[s]:
+            have &= ~(1 << s)
+
+    while have > 1:
+        s = have.bit_length() - 1
+        put(s)
+        options = [(c, *_filled(c - s, have, left)) for c in caps if c >= s]
+        c, took, room = min(options, key=lambda o: (cost(o[0]) / (o[0] - o[2]), -o[0]))
+        for x in took:
+            put(x)
+        bins.append(c - room)
+    bins = bins or [0] * bool(sizes)
+    for i in items.get(0, []):
+        where[i] = len(bins) - 1
+    return where, [next(c for c in caps if c >= u) for u in bins]
 
 
 def pack(counts: DataFrame, key: str, plans: dict[str, list[int]], shard_items: int = SHARD_ITEMS) -> DataFrame:
