@@ -10,7 +10,8 @@ cumulative budget. The steps:
 2. The frequency of runs is counted in 2**20 buckets, a table of fixed size that only orders runs (rare ones first).
 3. In the segment that begins the chain the sets reach t themselves, so they share one of the first
    |A_i| - ceil(t |A_i|) + 1 runs in that order. Only these are dealt to tasks by hash, in packed blocks,
-   and records that share one become candidates. A hot run's records are split into blocks that are paired in separate tasks.
+   and records that share one become candidates. The entries of hot runs are dealt to tasks by record instead, split into
+   blocks, and joined block by block; what decides whether a chain may begin is part of the join's condition.
 4. Chains are tested on 64-bit sketches of the segments, whose differing bits never exceed the true distance.
 5. The few pairs that remain get the full Hamming check on their runs.
 
@@ -27,14 +28,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkwell.llm import lookalike
 from chunkwell.llm.common import stored
 from chunkwell.operators.graph import components
 
-BOXES, BUCKET_BITS, HASH_BYTES, HOT = 4, 20, 5, 2048
+BOXES, BUCKET_BITS, HASH_BYTES, HOT, COPIES = 4, 20, 5, 2048, 4096
 T, MIN_WORDS, RUN = 0.6, 40, 3
 ODD = np.uint64(0x9E3779B97F4A7C15)
 STRIP = r"[\pP\pS]+"
@@ -188,7 +189,11 @@ def _wide(b: bytes) -> np.ndarray:
 
 
 def _entries(rec: DataFrame, order: np.ndarray, t: float, parts: int) -> DataFrame:
-    """(part, packed entries): the filter prefix of every segment, dealt by hash. The segment is in the key's two highest bits."""
+    """(part, packed entries): the filter prefix of every segment, dealt by hash. The segment is in the key's two highest bits.
+
+    Entries of runs in hot buckets go to negative parts, by record, so that no key's entries meet in one task.
+    """
+    warm = int(math.log2(HOT + 1) * 6)
     given = rec.sparkSession.sparkContext.broadcast(order)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,23 +206,25 @@ def _entries(rec: DataFrame, order: np.ndarray, t: float, parts: int) -> DataFra
             f = freq[(_mix(h + np.uint64(3)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
             seg = row * BOXES + box
             o = np.lexsort(((f << np.uint64(40)) | h, seg))
-            seg, h = seg[o], h[o]
+            seg, h, f = seg[o], h[o], f[o]
             n = np.bincount(seg, minlength=len(b) * BOXES)
             first = np.concatenate(([0], np.cumsum(n)))[:-1]
             most = n - np.ceil(n * t - 1e-9).astype(np.int64) + 1
             take = np.arange(len(seg)) - first[seg] < most[seg]
-            seg, h = seg[take], h[take]
+            seg, h, f = seg[take], h[take], f[take]
             sketch = np.stack([b.column(3 + BOXES + i).to_numpy().view(np.uint64) for i in range(BOXES)], 1).ravel()[seg]
             block = b.column(0).to_numpy().view(np.uint64)[seg // BOXES]
             key = _mix(h * ODD + _mix(block)) >> np.uint64(66 - KEY_BITS) | ((seg % BOXES).astype(np.uint64) << np.uint64(KEY_BITS - 2))
             e = np.empty(len(seg), ENTRY)
             e["key"], e["rid"], e["sketch"] = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel(), b.column(1).to_numpy()[seg // BOXES], sketch
             e["n"], e["c"] = np.minimum(np.bincount(row, minlength=len(b))[seg // BOXES], 65535), np.minimum(n[seg], 255)
-            to = (_mix(key) % np.uint64(parts)).astype(np.int64)
+            by_record = -1 - (_mix(e["rid"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            to = np.where(f > warm, by_record, (_mix(key) % np.uint64(parts)).astype(np.int64))
             o = np.argsort(to, kind="stable")
             e, to = e[o], to[o]
-            cut = np.searchsorted(to, np.arange(parts + 1))
-            yield pa.RecordBatch.from_pydict({"part": pa.array([p for p in range(parts) if cut[p] < cut[p + 1]], pa.int32()), "e": pa.array([e[cut[p] : cut[p + 1]].tobytes() for p in range(parts) if cut[p] < cut[p + 1]], pa.binary())})
+            some, cut = np.unique(to, return_index=True)
+            cut = np.append(cut, len(to))
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "e": pa.array([e[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())})
 
     return rec.select("block", "rid", "runs", *SIG).where("runs is not null").mapInArrow(go, "part int, e binary")
 
@@ -231,30 +238,25 @@ def _begins(x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
     return size & ((apart <= (1 - t) / (1 + t) * (c + e) + 1e-9) | (np.maximum(c, e) == 255))
 
 
+PAIRED = "a long, b long, box int, n int, c int, sketch long"
+
+
 def _paired(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that share an entry's key and may begin a chain there, as (a < b, segment); hot keys' classes go out singly, in blocks."""
+    """Pairs of classes that share an entry's key and may begin a chain there, as (a < b, segment). Entries of hot runs go out singly, as (key, class, -1) with their sizes and sketch."""
     blobs: dict[int, list[bytes]] = {}
     for b in batches:
         for p, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             blobs.setdefault(p, []).append(e)
     for p in list(blobs):
         e = _wide(b"".join(blobs.pop(p)))
-        o = np.lexsort((e["rid"], e["key"]))
-        e = e[o]
+        e = e[np.lexsort((e["rid"], e["key"]))]
         new = np.ones(len(e), bool)
         new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["rid"][1:] != e["rid"][:-1])
         e = e[new]
         key, rid = e["key"], e["rid"]
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(e) else np.zeros(0, np.int64)
-        n = np.diff(np.append(edge, len(e)))
-        size = np.repeat(n, n)
-        keep = size > 1
-        e, key, rid, size = e[keep], key[keep], rid[keep], size[keep]
-        at = np.arange(len(key)) - np.searchsorted(key, key)
-        hot = size > HOT
-        if hot.any():
-            yield pa.RecordBatch.from_pydict({"a": key[hot].view(np.int64), "b": rid[hot], "box": (-1 - at[hot] // HOT).astype(np.int32)})
-            e, key, rid = e[~hot], key[~hot], rid[~hot]
+        if p < 0:
+            yield pa.RecordBatch.from_pydict({"a": key.view(np.int64), "b": rid, "box": np.full(len(e), -1, np.int32), "n": e["n"].astype(np.int32), "c": e["c"].astype(np.int32), "sketch": e["sketch"].view(np.int64)})
+            continue
         d = 1
         left = np.arange(len(key))
         while len(left):
@@ -263,23 +265,33 @@ def _paired(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBa
             for s in range(0, len(left), 1 << 18):
                 i = left[s : s + (1 << 18)]
                 i = i[_begins(e[i], e[i + d], t)]
-                yield pa.RecordBatch.from_pydict({"a": rid[i], "b": rid[i + d], "box": (key[i] >> np.uint64(KEY_BITS - 2)).astype(np.int32)})
+                none = pa.nulls(len(i), pa.int32())
+                yield pa.RecordBatch.from_pydict({"a": rid[i], "b": rid[i + d], "box": (key[i] >> np.uint64(KEY_BITS - 2)).astype(np.int32), "n": none, "c": none, "sketch": pa.nulls(len(i), pa.int64())})
             d += 1
 
 
+def _hot_pairs(hot: DataFrame, t: float) -> DataFrame:
+    """(a < b, segment) of the hot runs' records (key, rid, n, c, sketch) that may begin a chain: blocks of about HOT records, each met by each."""
+    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
+    rows = hot.join(blocks, "key").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    side = lambda s, i, j: rows.select("key", F.explode(F.sequence(i, j)).alias("other"), "part", *[F.col(c).alias(f"{s}{c}") for c in ("rid", "n", "c", "sketch")])
+    x = side("x", F.col("part"), F.col("blocks") - 1).select("key", F.col("part").alias("i"), F.col("other").alias("j"), "xrid", "xn", "xc", "xsketch")
+    y = side("y", F.lit(0), F.col("part")).select("key", F.col("other").alias("i"), F.col("part").alias("j"), "yrid", "yn", "yc", "ysketch")
+    size = (F.least("xn", "yn") >= F.greatest("xn", "yn") * F.lit(t) - 1e-9) | (F.greatest("xn", "yn") == 65535)
+    apart = F.bit_count(F.col("xsketch").bitwiseXOR(F.col("ysketch")))
+    begins = (apart <= F.lit((1 - t) / (1 + t)) * (F.col("xc") + F.col("yc")) + 1e-9) | (F.greatest("xc", "yc") == 255)
+    same = [x[k] == y[k] for k in ("key", "i", "j")]
+    met = x.join(y, same[0] & same[1] & same[2] & ((x["i"] < x["j"]) | (x["xrid"] < y["yrid"])) & size & begins)
+    return met.select(F.least("xrid", "yrid").alias("a"), F.greatest("xrid", "yrid").alias("b"), F.shiftrightunsigned(x["key"], KEY_BITS - 2).cast("int").alias("box"))
+
+
 def _candidates(rec: DataFrame, t: float) -> DataFrame:
     """Distinct pairs (a < b) of classes, with the segments in which they may begin a chain as bits of ``boxes``."""
     total = rec.where("runs is not null").agg(F.sum("n")).first()[0] or 0
     parts = max(int(rec.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 1_000_000))
-    pairs = stored(_entries(rec, frequencies(rec), t, parts).repartition(parts, "part").mapInArrow(lambda it: _paired(it, t), "a long, b long, box int"))
-    hot = pairs.where("box < 0").select(F.col("a").alias("key"), F.col("b").alias("rid"), (-1 - F.col("box")).alias("part"))
-    last = hot.groupBy("key").agg(F.max("part").alias("last"))
-    hot = hot.join(last, "key")
-    left = hot.select("key", F.col("rid").alias("a"), F.col("part").alias("i"), F.explode(F.sequence("part", "last")).alias("j"))
-    right = hot.select("key", F.col("rid").alias("b"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"))
-    met = left.join(right, ["key", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
-    more = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.shiftrightunsigned("key", KEY_BITS - 2).cast("int").alias("box"))
-    return pairs.where("box >= 0").unionByName(more).groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, box)")).alias("boxes"))
+    pairs = stored(_entries(rec, frequencies(rec), t, parts).repartition(parts, "part").mapInArrow(lambda it: _paired(it, t), PAIRED))
+    more = _hot_pairs(pairs.where("box < 0").select(F.col("a").alias("key"), F.col("b").alias("rid"), "n", "c", "sketch"), t)
+    return pairs.where("box >= 0").select("a", "b", "box").unionByName(more).groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, box)")).alias("boxes"))
 
 
 def _chain(t: float) -> Column:
@@ -324,13 +336,23 @@ def similar_classes(rec: DataFrame, t: float = T) -> DataFrame:
 
 
 def pairs_of(rec: DataFrame, links: DataFrame) -> DataFrame:
-    """(key_a < key_b) of all records, copies among themselves included."""
+    """(key_a < key_b) of all records, copies among themselves included. Classes of many copies are split into blocks of about COPIES, which meet in separate tasks."""
     m = rec.select("key", "rid").distinct()
-    cross = links.join(m.select(F.col("rid").alias("a"), F.col("key").alias("x")), "a").join(m.select(F.col("rid").alias("b"), F.col("key").alias("y")), "b")
+    copies = m.groupBy("rid").agg(F.count("*").alias("copies"))
+    big = copies.where(F.col("copies") > COPIES).select("rid", F.ceil(F.col("copies") / COPIES).cast("int").alias("blocks"))
+    m = m.join(big, "rid", "left").select("key", "rid", F.coalesce("blocks", F.lit(1)).alias("blocks")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    at = lambda side: big.select(F.col("rid").alias(side), F.col("blocks").alias(f"n_{side}"))
+    each = lambda side: F.explode(F.sequence(F.lit(0), F.coalesce(f"n_{side}", F.lit(1)) - 1)).alias(f"part_{side}")
+    met = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", "n_b", each("a")).select("a", "b", "part_a", each("b"))
+    side = lambda s, k: m.select(F.col("rid").alias(s), F.col("part").alias(f"part_{s}"), F.col("key").alias(k))
+    cross = met.join(side("a", "x"), ["a", "part_a"]).join(side("b", "y"), ["b", "part_b"])
     # classes without copies, most of them, take no part in the join of copies
-    twice = m.join(m.groupBy("rid").agg(F.count("*").alias("copies")).where("copies > 1").select("rid"), "rid", "left_semi")
-    same = twice.select("rid", F.col("key").alias("x")).join(twice.select("rid", F.col("key").alias("y")), "rid").where("x < y")
-    return cross.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).unionByName(same.select(F.col("x").alias("key_a"), F.col("y").alias("key_b"))).where("key_a < key_b").distinct()
+    twice = m.join(copies.where("copies > 1").select("rid"), "rid", "left_semi")
+    x = twice.select("rid", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("blocks") - 1)).alias("j"), F.col("key").alias("x"))
+    y = twice.select("rid", F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"), F.col("key").alias("y"))
+    same = x.join(y, ["rid", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    both = cross.select("x", "y").unionByName(same.select("x", "y"))
+    return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).where("key_a < key_b").distinct()
 
 
 def groups(rec: DataFrame, links: DataFrame) -> DataFrame:
@@ -357,16 +379,37 @@ def _place(c: str, order: list) -> Column:
     return got
 
 
+def _rank(key: str, text: str) -> list[Column]:
+    """The order in which a group's records survive: trust, then completeness of the text, then the key."""
+    return [_place("authority_rank", AUTHORITY), _place("legal_status", LEGAL), _place("translation_status", TRANSLATION), -F.coalesce(F.length(text), F.lit(0)), F.col(key)]
+
+
 def survivors(df: DataFrame, key: str, text: str, member: DataFrame) -> DataFrame:
-    """Group by group the best record: ``group_id``, ``key`` and the best known value of each field.
+    """(group_id, key) of the best record of each group.
+
+    By authority, legal status, translation, longer text, smaller key; unknown spellings and nulls come last. Each task keeps one
+    record per group before the shuffle (a limit of the window's groups), so a hot group is no burden. Repeated rows count once.
+    """
+    some = df.select(*dict.fromkeys([key, text, "authority_rank", "legal_status", "translation_status"]))
+    rank = {f"r{i}": c for i, c in enumerate(_rank(key, text))}
+    j = some.select(key, *[c.alias(n) for n, c in rank.items()]).join(member.withColumnRenamed("key", key), key)
+    w = Window.partitionBy("group_id").orderBy(*rank)
+    return j.withColumn("n", F.row_number().over(w)).where("n = 1").select("group_id", key)
+
+
+def merged(df: DataFrame, key: str, text: str, member: DataFrame) -> DataFrame:
+    """``survivors`` with the best known value of each field of their groups, and the number of members.
 
-    By authority, legal status, translation, longer text, smaller key; unknown spellings and nulls come last.
-    Ranks are folded by ``min`` of a struct, so a group of any size is combined on the map side.
+    Ranked fields have their best value; dates the most precise, then the most trusted, then the latest; others that of the first record that
+    knows one. Values are folded by ``min`` of structs, combined on the map side.
     """
-    more = [c for c in ("source_act", "section_number", "effective_date", "section_title", "source_type") if c in df.columns]
-    some = df.select(*dict.fromkeys([key, text, "authority_rank", "legal_status", "translation_status", *more]))
+    more = [c for c in ("source_act", "section_number", "section_title", "source_type") if c in df.columns]
+    dates = [c for c in ("effective_date",) if c in df.columns]
+    some = df.select(*dict.fromkeys([key, text, "authority_rank", "legal_status", "translation_status", *more, *dates]))
     j = some.join(member.withColumnRenamed("key", key), key)
-    rank = F.struct(_place("authority_rank", AUTHORITY), _place("legal_status", LEGAL), _place("translation_status", TRANSLATION), -F.coalesce(F.length(text), F.lit(0)), F.col(key))
+    rank = F.struct(*_rank(key, text))
     best = lambda c, order: F.min(F.struct(_place(c, order).alias("p"), rank.alias("r"), _plain(c).alias("v")))["v"].alias(c)
     known = lambda c: F.min(F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.struct(rank.alias("r"), F.col(c).alias("v"))))["v"].alias(c)
-    return j.groupBy("group_id").agg(F.min(rank)[f"{key}"].alias(key), F.countDistinct(key).alias("n_members"), best("authority_rank", AUTHORITY), best("legal_status", LEGAL), best("translation_status", TRANSLATION), *[known(c) for c in more])
+    date = lambda c: F.max(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(F.length(c).alias("n"), (-_place("authority_rank", AUTHORITY)).alias("p"), F.col(c).alias("v"))))["v"].alias(c)
+    values = j.groupBy("group_id").agg(F.countDistinct(key).alias("n_members"), best("authority_rank", AUTHORITY), best("legal_status", LEGAL), best("translation_status", TRANSLATION), *[known(c) for c in more], *[date(c) for c in dates])
+    return survivors(df, key, text, member).join(values, "group_id")

@@ -94,12 +94,13 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_records(spark, d).select("chunk_id")
+    rec, links = _near(spark, d)
+    return neardup.survivors(table(spark, d, CHUNKS), "chunk_id", "text", neardup.groups(rec, links)).select("chunk_id")
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
     rec, links = _near(spark, d)
-    return neardup.survivors(table(spark, d, CHUNKS), "chunk_id", "text", neardup.groups(rec, links))
+    return neardup.merged(table(spark, d, CHUNKS), "chunk_id", "text", neardup.groups(rec, links))
 
 
 def p8_bins(spark: SparkSession, d: str) -> DataFrame:

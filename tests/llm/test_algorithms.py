@@ -40,8 +40,10 @@ def near(spark, rows):
 
 def test_pairs_equal_brute_force(spark, monkeypatch):
     for seed, hot in ((1, 2048), (2, 3)):
-        monkeypatch.setattr(neardup, "HOT", hot)  # the second run takes the way of hot runs
+        monkeypatch.setattr(neardup, "HOT", hot)  # the second run takes the way of hot runs and of many copies
+        monkeypatch.setattr(neardup, "COPIES", 4096 if hot > 3 else 1)
         rows = corpus(random.Random(seed))
+        rows += [(f"e{i}", *rows[i % 3][1:]) for i in range(20)]
         rec, links = near(spark, rows)
         assert {tuple(r) for r in neardup.pairs_of(rec, links).collect()} == brute_pairs(rows)
 
@@ -69,10 +71,13 @@ def test_groups_and_survivors(spark):
 
 def test_survivor_order(spark):
     rows = [("a", "long text here", "Official Gazette", "ratified", None), ("b", "longer text here", "official-gazette", "Ratified ", None), ("c", "x", "advocacy_report", "ratified", "original_bangla"), ("d", None, None, None, None)]
-    df = spark.createDataFrame(rows, "k string, text string, authority_rank string, legal_status string, translation_status string")
+    rows = [(*r, d) for r, d in zip(rows, ("2031", "2030-05", "2032-01-02", None), strict=True)]
+    df = spark.createDataFrame(rows, "k string, text string, authority_rank string, legal_status string, translation_status string, effective_date string")
     member = spark.createDataFrame([(r[0], 1) for r in rows], "key string, group_id long")
-    got = neardup.survivors(df, "k", "text", member).first()
-    assert got.k == "b" and got.n_members == 4 and got.translation_status == "original_bangla"
+    assert [tuple(r) for r in neardup.survivors(df.unionByName(df), "k", "text", member).collect()] == [(1, "b")]
+    got = neardup.merged(df, "k", "text", member).first()
+    assert got.k == "b" and got.n_members == 4 and got.translation_status == "original_bangla" and got.effective_date == "2032-01-02"
+    assert neardup.survivors(df.where("false"), "k", "text", member).count() == 0
 
 
 def test_no_records(spark):
