@@ -198,8 +198,8 @@ def words_of(text: str, reader: lookalike.Reader) -> list[str]:
 def leaked(docs: DataFrame, key: str, text: str, passages: DataFrame, item: str, passage: str, run: int = RUN) -> DataFrame:
     """``key``, ``item`` and the first and last word (from 0, words without letter or digit left out) of each leaked span."""
     kind, item_kind = docs.schema[key].dataType.simpleString(), passages.schema[item].dataType.simpleString()
-    latin = lookalike.latin_bigrams(docs, text)
-    reader = lookalike.Reader(latin)
+    scores = lookalike.bigrams(docs, text)
+    reader = lookalike.Reader(scores)
     blocks: list[list] = [[]]
     for r in passages.select(item, passage).where(F.col(passage).isNotNull()).distinct().toLocalIterator():
         if len(blocks[-1]) == BLOCK:
@@ -213,7 +213,7 @@ def leaked(docs: DataFrame, key: str, text: str, passages: DataFrame, item: str,
         given = sc.broadcast(Phrases(block, run))
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p, reader, known = given.value, lookalike.Reader(latin), {}
+            p, reader, known = given.value, lookalike.Reader(scores), {}
             seq, where, size = [], [], 0
 
             def flush() -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,14 @@
 """One consistent form for text that looks the same but differs in its characters.
 
 First compatibility forms (full width, ligatures, radicals, presentation forms), unusual spaces, ignorable characters and
-sequences that have a composed form are replaced. Then every word that holds a letter with a look-alike in another
-script becomes a lattice of its possible readings, and Viterbi picks the reading of highest score under character
-bigrams of each script; changing the script within a word, and replacing a letter, cost extra, so a word really
-written in another script stays. The bigrams of Latin letters are counted over all texts beforehand; the counts
-(27 x 27) are all that reaches the driver. Joiners are kept where they change how a word is drawn.
-
-Nulls give no row in ``changed`` and stay null in ``normalized``; an empty text is its own form. Texts are processed whole.
+sequences that have a composed form are replaced. Then every word of Latin, Cyrillic or Greek letters that mixes these scripts, or holds
+a Cyrillic or Greek letter with a look-alike, becomes a lattice of its possible readings in all three scripts, and Viterbi
+picks the reading of highest score under the character bigrams of each script; changing the script within a word, and replacing
+a letter, cost extra, so that a word really written in its script stays, and one with a foreign letter gets its own script's. The
+bigrams of each script are counted over all texts beforehand, within words of one script; the counts (a table of fixed size) are
+all that reaches the driver. Joiners are kept where they change how a word is drawn.
+
+Nulls give no row in ``changed``; an empty text is its own form. Texts are processed whole.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ JOINERS = re.compile(
     "(?<=র)‍(?=্)|(?<=[্्])[‌‍](?=[ঀ-৿ऀ-ॿ]|$|[^\\w])|(?<=[ؠ-ۓ])[‌‍](?=[ؠ-ۓ])|(?<=[☀-➿\U0001f300-\U0001faff️])‍(?=[☀-➿\U0001f300-\U0001faff])|[‌‍]"
 )
 SEQUENCES = {"অা": "আ", "৷": "।"}
-SWITCH, REPLACE = -9.0, -1.5
+SWITCH, REPLACE, UNKNOWN = -9.0, -1.5, -3.5
 
 
 @lru_cache(maxsize=1)
@@ -93,19 +94,30 @@ def _ranges(points: list[int]) -> str:
 def gate_pattern() -> str:
     """An RE2 pattern that every text with a case matches."""
     r = _rules()
-    letters = sorted(map(ord, CYRILLIC + GREEK + OTHER))
+    letters = [*range(0x370, 0x400), *range(0x400, 0x530), *map(ord, OTHER)]
     points = sorted({*r["single"], *r["inert"], *r["seconds"], *letters, 0x200C, 0x200D, 0x9F7})
     return f"[{_ranges(points)}]|ে[াৗ]|অা"
 
 
+_PAIRS = [(x, y) for a, b in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS)) for x, y in zip(a, b, strict=True)]
 _ALIKE: dict[str, tuple[str, ...]] = {}
-for _a, _b in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (OTHER, OTHER_AS)):
-    for _x, _y in zip(_a, _b, strict=True):
-        _ALIKE[_x] = (*_ALIKE.get(_x, ()), _y)
+for _x, _y in zip(OTHER, OTHER_AS, strict=True):
+    _ALIKE[_x] = (_y,)
+for _x, _y in _PAIRS:
+    same = [z for p in _PAIRS if p[1] == _y for z in p]  # the Latin letter and all that look like it
+    for _z in {_x, _y}:
+        _ALIKE[_z] = tuple(dict.fromkeys([*_ALIKE.get(_z, ()), *(q for q in same if q != _z)]))
 _SUSPECT = re.compile("[" + CYRILLIC + GREEK + OTHER + "]")
+_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f" + OTHER + "]")
 _HAN_PUNCT = re.compile("((?<=[㐀-鿿」』])[！，：；？（）]|[！，：；？（）](?=[㐀-鿿「『]))")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
+#: The letters that bigrams are counted of: Latin, Cyrillic (basic and the rest of its block) and Greek, in small letters; 0 is what stands between words.
+ALPHABETS = {"LATIN": [chr(c) for c in range(0x61, 0x7B)], "CYRILLIC": [chr(c) for c in range(0x430, 0x460)], "GREEK": [chr(c) for c in range(0x3B1, 0x3CA)]}
+LETTERS = {c: k for k, c in enumerate((c for a in ALPHABETS.values() for c in a), 1)}
+SIZE = len(LETTERS) + 1
+_EDGES = np.cumsum([1, *map(len, ALPHABETS.values())])
+
 
 @lru_cache(maxsize=4096)
 def _script(c: str) -> str:
@@ -114,34 +126,49 @@ def _script(c: str) -> str:
     return U.name(c, "?").split(" ")[0]
 
 
-#: What fills the alphabets of scripts whose bigrams aren't counted: a uniform choice among so many letters.
-_UNIFORM = -math.log(32)
+@lru_cache(maxsize=4096)
+def _letter(c: str) -> int:
+    """The number of a letter without its accents; 0 for all others."""
+    return LETTERS.get(U.normalize("NFD", c.lower())[:1], 0) or LETTERS.get(c.lower(), 0)
+
+
+@lru_cache(maxsize=1)
+def _numbers() -> np.ndarray:
+    """Letter number by code point, of all that UTF-8 writes in one or two bytes."""
+    return np.array([_letter(chr(o)) if chr(o).isalpha() else 0 for o in range(0x800)], np.int16)
 
 
 class Reader:
-    """Normalises texts with given Latin bigram log probabilities (27 x 27, index 0 is the word boundary)."""
+    """Normalises texts with given bigram log probabilities (SIZE x SIZE)."""
 
-    def __init__(self, latin: np.ndarray):
-        self.latin = latin.tolist()
+    def __init__(self, bigrams: np.ndarray):
+        self.bigrams = bigrams.tolist()
 
     def _step(self, a: str, b: str) -> float:
         sa, sb = _script(a) if a else "", _script(b) if b else ""
         if sa and sb and sa != sb:
             return SWITCH
-        if "LATIN" in (sa or sb, sb or sa):
-            i = ord(a.lower()) - 96 if a else 0
-            j = ord(b.lower()) - 96 if b else 0
-            if 0 <= i < 27 and 0 <= j < 27:
-                return self.latin[i][j]
-        return _UNIFORM
+        i, j = _letter(a) if a else 0, _letter(b) if b else 0
+        if a and not i or b and not j:
+            return UNKNOWN
+        return self.bigrams[i][j]
 
     def word(self, w: str, prior: dict[str, float]) -> str:
+        """The best reading; where several score alike the one with fewest replacements, then the first in the order of the options."""
         lattice = [(c, *_ALIKE.get(c, ())) for c in w]
         best = {c: ((0.0 if c == w[0] else REPLACE) + self._step("", c) + prior.get(_script(c), -6.0), c) for c in lattice[0]}
         for k, options in enumerate(lattice[1:], 1):
             best = {c: max((s + self._step(p, c) + (0.0 if c == w[k] else REPLACE), path + c) for p, (s, path) in best.items()) for c in options}
         return max((s + self._step(c, ""), path) for c, (s, path) in best.items())[1]
 
+    def _word(self, m: re.Match, prior: dict[str, float]) -> str:
+        w = m.group()
+        if not _FOREIGN.search(w) or not (_SUSPECT.search(w) or any(_script(c) != _script(w[0]) for c in w)):
+            return w
+        if all(c not in _ALIKE for c in w):
+            return w
+        return self.word(w, prior)
+
     def form(self, text: str) -> str:
         """The consistent form; equal to the text where nothing is a case."""
         if _HAN_PUNCT.search(text):  # full-width punctuation is the usual form beside Chinese characters
@@ -154,14 +181,14 @@ class Reader:
         for a, b in SEQUENCES.items():
             text = text.replace(a, b)
         text = U.normalize("NFC", text)
-        if _SUSPECT.search(text):
+        if _FOREIGN.search(text):
             sure: dict[str, int] = {}
             for c in text:
                 if c.isalpha() and c not in _ALIKE:
                     sure[_script(c)] = sure.get(_script(c), 0) + 1
             total = sum(sure.values()) + 1
             prior = {s: math.log((n + 0.01) / total) for s, n in sure.items()}
-            text = _WORD.sub(lambda m: self.word(m.group(), prior) if _SUSPECT.search(m.group()) else m.group(), text)
+            text = _WORD.sub(lambda m: self._word(m, prior), text)
         return text
 
 
@@ -180,34 +207,64 @@ def _joiner(m: re.Match) -> str:
     return ""
 
 
-def latin_bigrams(df: DataFrame, text: str) -> np.ndarray:
-    """Log probabilities of Latin letters after one another, counted over every text; add-one smoothing."""
+def _count(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Bigrams of the letters of UTF-8 texts that lie end to end in ``data``, each text from one offset to the next."""
+    start = np.flatnonzero((data & 0xC0) != 0x80)  # of characters
+    lead = data[start].astype(np.int64)
+    nxt = data[np.minimum(start + 1, len(data) - 1)].astype(np.int64)
+    point = np.where(lead < 0x80, lead, np.where((lead >= 0xC2) & (lead < 0xE0), (lead & 0x1F) << 6 | nxt & 0x3F, 0))
+    known = _numbers()[point]
+    # what is a letter of a script that isn't counted parts words as any other character does
+    edge = np.searchsorted(start, off[1:-1])
+    x = np.insert(known, edge, 0)
+    x = np.concatenate(([0], x, [0])).astype(np.int64)
+    a, b = x[:-1], x[1:]
+    side = np.searchsorted(_EDGES, np.arange(SIZE), side="right")
+    fits = (a == 0) | (b == 0) | (side[a] == side[b])
+    # a word that mixes scripts says nothing
+    word = np.cumsum(a == 0)
+    mixed = np.zeros(int(word[-1]) + 1, bool)
+    mixed[word[~fits]] = True
+    keep = ~mixed[word] & (a + b > 0)
+    return np.bincount(a[keep] * SIZE + b[keep], minlength=SIZE * SIZE)
+
+
+def bigram_scores(n: np.ndarray) -> np.ndarray:
+    """Log probabilities from counts (SIZE x SIZE): of a letter after another within a script, and after a word's edge; add-one smoothing."""
+    out = np.full((SIZE, SIZE), SWITCH)
+    for lo, hi in zip(_EDGES, _EDGES[1:], strict=False):
+        own = np.r_[0, lo:hi]
+        x = n[np.ix_(own, own)] + 1.0
+        x[0, 0] = 0.0
+        with np.errstate(divide="ignore"):
+            p = np.log(x / x.sum(1, keepdims=True))
+        p[0, 0] = 0.0
+        out[np.ix_(own, own)] = p
+    return out
+
+
+def bigrams(df: DataFrame, text: str) -> np.ndarray:
+    """Log probabilities of letters after one another in each script, counted over every text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls = np.zeros(256, np.uint16)
-        for k in range(26):
-            cls[65 + k] = cls[97 + k] = k + 1
-        total = np.zeros(729, np.int64)
+        total = np.zeros(SIZE * SIZE, np.int64)
         for b in batches:
             col = b.column(0).cast(pa.large_binary())
             off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
-            if not len(off) or off[-1] == off[0]:
-                continue
-            x = cls[np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]]]
-            total += np.bincount(x[:-1] * 27 + x[1:], minlength=729)
-        yield pa.RecordBatch.from_pydict({"k": np.arange(729, dtype=np.int32), "n": total})
+            if len(off) and off[-1] > off[0]:
+                total += _count(np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]], off - off[0])
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"k": k.astype(np.int32), "n": total[k]})
 
     got = df.select(F.col(text).cast("string")).where(F.col(text).isNotNull()).mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    n = np.ones(729)
+    n = np.zeros(SIZE * SIZE)
     for k, v in got:
-        n[k] += v
-    n = n.reshape(27, 27)
-    n[0, 0] = 1  # what stands between words
-    return np.log(n / n.sum(1, keepdims=True))
+        n[k] = v
+    return bigram_scores(n.reshape(SIZE, SIZE))
 
 
-def _rows(cols: list[list], latin: np.ndarray, garbled: bool) -> Iterator[tuple]:
-    reader = Reader(latin)
+def _rows(cols: list[list], scores: np.ndarray, garbled: bool) -> Iterator[tuple]:
+    reader = Reader(scores)
     wrong = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m.group(1), 16):04x}", mojibake.candidate_pattern()))
     for key, text in zip(*cols, strict=True):
         new = reader.form(text)
@@ -215,9 +272,9 @@ def _rows(cols: list[list], latin: np.ndarray, garbled: bool) -> Iterator[tuple]
             yield key, new
 
 
-def changed(df: DataFrame, key: str, text: str, latin: np.ndarray | None = None, garbled: bool = False) -> DataFrame:
+def changed(df: DataFrame, key: str, text: str, scores: np.ndarray | None = None, garbled: bool = False) -> DataFrame:
     """``key`` and ``form`` of each row whose text isn't in the one form; texts with garbled stretches only with ``garbled``."""
     kind = df.schema[key].dataType.simpleString()
     some = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
-    latin = latin_bigrams(df, text) if latin is None else latin
-    return arrow_map(some, _rows, f"key {kind}, form string", gate=(1, gate_pattern()), latin=latin, garbled=garbled).withColumnRenamed("key", key)
+    scores = bigrams(df, text) if scores is None else scores
+    return arrow_map(some, _rows, f"key {kind}, form string", gate=(1, gate_pattern()), scores=scores, garbled=garbled).withColumnRenamed("key", key)

@@ -2,9 +2,11 @@
 
 States are ``clean``, one state per encoding pair (UTF-8 bytes read in another encoding) and ``lost`` for
 replacement characters. In the state of a pair only whole UTF-8 units can be emitted, i.e. characters whose bytes in
-the wrong encoding form one UTF-8 sequence; a unit's emission score depends on the character it restores to.
+the wrong encoding form one UTF-8 sequence; a unit's emission score depends on the character it restores to and on its neighbours.
+Where the wrong encoding has two bytes a character, units don't end where characters do: the pair's state carries the bytes of the
+unit that is still open, so garbled text may begin and end anywhere, also between clean characters of the same script.
 Viterbi labels the characters, each labelled span gets its state's inverse transform, and the result is labelled
-again, since text can be garbled twice. Characters that no garbled state can emit are clean on any path, so the
+again until nothing is garbled any more, since text can be garbled several times; every round makes it shorter. Characters that no garbled state can emit are clean on any path, so the
 search runs only inside the stretches between them; a text without such a stretch is passed over by one
 pattern match per batch, before it becomes a Python object.
 
@@ -25,11 +27,10 @@ from chunkwell.llm.common import arrow_map
 
 #: Encodings in which UTF-8 bytes may have been read, most likely first.
 SINGLE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "koi8_r", "iso8859_15")
-DOUBLE = ("gbk",)
+DOUBLE = "gbk"
 LOST = "lost"
 LOST_CHAR = "�"
 START, STAY, END = -5.0, -0.05, -1.0
-MAX_ROUNDS = 3
 
 
 def _single_map(enc: str) -> dict[str, int]:
@@ -44,6 +45,16 @@ def _single_map(enc: str) -> dict[str, int]:
     return out
 
 
+@lru_cache(maxsize=65536)
+def _double_bytes(c: str) -> bytes:
+    """The two bytes that stand for a character in the double-byte encoding; none where it has none or one."""
+    try:
+        b = c.encode(DOUBLE)
+    except UnicodeEncodeError:
+        return b""
+    return b if len(b) == 2 else b""
+
+
 @lru_cache(maxsize=1)
 def _tables() -> dict:
     maps = {e: _single_map(e) for e in SINGLE}
@@ -55,6 +66,7 @@ def _tables() -> dict:
         lead3 = f"[{cls(0xE0, 0xEF)}]"
         units[e] = re.compile(f"[{cls(0xC2, 0xDF)}]{cont}|{lead3}{real}{cont}|{lead3}{cont}{real}|[{cls(0xF0, 0xF4)}]{real}{real}{real}")
     emit = set().union(*maps.values()) | {LOST_CHAR}
+    emit |= {c for c in map(chr, range(0xA1, 0x10000)) if not 0x3400 <= ord(c) <= 0x9FFF and _double_bytes(c)}
     island = re.compile("[" + "".join(re.escape(c) for c in sorted(emit)) + "㐀-鿿豈-﫿-]{1,}")
     return {"maps": maps, "units": units, "island": island}
 
@@ -134,7 +146,9 @@ def _restored_score(c: str) -> float:
     k, o = _class(c), ord(c)
     if k in ("indic", "arabic", "punct"):
         return -3.0
-    if k == "han" or 0x3000 <= o <= 0x303F or 0xFF00 <= o <= 0xFFEF:
+    if k == "han":
+        return -3.5 if _common_han(c) else -7.0
+    if 0x3000 <= o <= 0x30FF or 0xFF00 <= o <= 0xFFEF:
         return -3.5
     if c in "‌‍​₹£€²°§«»º ﻿©®½·":
         return -5.0
@@ -157,27 +171,26 @@ def _unit_text(piece: str, m: dict[str, int]) -> str | None:
         return None
 
 
-def _han_units(text: str, s: int, e: int) -> Iterator[tuple[int, int, str, float]]:
-    """Runs read in a double-byte encoding: a run is a unit if all its bytes are UTF-8, but for a cut at a lost character."""
-    for enc in DOUBLE:
-        for m in re.finditer(f"[^\x00-\x7f{LOST_CHAR}]+{LOST_CHAR}?", text[s:e]):
-            piece = m.group()
-            lost = piece.endswith(LOST_CHAR)
-            try:
-                b = piece.rstrip(LOST_CHAR).encode(enc)
-            except UnicodeEncodeError:
-                continue
-            try:
-                out = b.decode("utf-8")
-            except UnicodeDecodeError as x:
-                if not (lost and x.reason == "unexpected end of data"):
-                    continue
-                out = b[: x.start].decode("utf-8") + LOST_CHAR
-            else:
-                if lost:
-                    out += LOST_CHAR
-            score = sum(-4.0 if c == LOST_CHAR else _restored_score(c) if ord(c) > 127 else -2.0 for c in out)
-            yield s + m.start(), s + m.end(), out, score
+def _read(open_: bytes, more: bytes) -> tuple[str, bytes] | None:
+    """(characters that are complete now, bytes of the one that is open) after more bytes of UTF-8; nothing if they can't go on so."""
+    b = open_ + more
+    try:
+        return b.decode("utf-8"), b""
+    except UnicodeDecodeError as x:
+        if x.reason != "unexpected end of data":
+            return None
+        return b[: x.start].decode("utf-8"), b[x.start :]
+
+
+def _double_steps(c: str, open_: bytes) -> tuple[str, bytes, float] | None:
+    """(what is complete, bytes still open, score) when a character of the double-byte reading comes after open bytes."""
+    if c == LOST_CHAR:  # the rest of an open unit is lost
+        return (LOST_CHAR, b"", -4.0) if open_ else None
+    got = _read(open_, _double_bytes(c)) if _double_bytes(c) else None
+    if got is None:
+        return None
+    # an ASCII letter can be the second byte
+    return got[0], got[1], sum(_restored_score(x) if ord(x) > 127 else -2.0 for x in got[0])
 
 
 def _label(text: str) -> list[tuple[int, int, str, str]]:
@@ -192,53 +205,60 @@ def _label(text: str) -> list[tuple[int, int, str, str]]:
             for u in pat.finditer(text, s, e):
                 c = _unit_text(u.group(), m)
                 if c is not None:
-                    steps.setdefault(u.start(), []).append((u.end(), enc, c, -4.0 if c == LOST_CHAR else _restored_score(c)))
-        if text[s:e].find(LOST_CHAR) >= 0:
-            for m2 in re.finditer(LOST_CHAR, text[s:e]):
-                steps.setdefault(s + m2.start(), []).append((s + m2.end(), LOST, LOST_CHAR, -6.0))
-        if any("㐀" <= c <= "鿿" for c in text[s:e]):
-            for us, ue, out, score in _han_units(text, s, e):
-                steps.setdefault(us, []).append((ue, DOUBLE[0], out, score))
-        if not steps:
+                    beside = _class(c) == "han" and "ascii" in (_class(text[u.start() - 1]) if u.start() else "", _class(text[u.end()]) if u.end() < len(text) else "")
+                    steps.setdefault(u.start(), []).append((u.end(), enc, c, -4.0 if c == LOST_CHAR else _restored_score(c) - 6.0 * beside))
+        for i in range(s, e):
+            if text[i] == LOST_CHAR:
+                steps.setdefault(i, []).append((i + 1, LOST, LOST_CHAR, -6.0))
+        double = any("㐀" <= c <= "鿿" for c in text[s:e])
+        if not steps and not double:
             continue
-        # best[i]: state -> (score, previous position, previous state, what the step stands for)
-        best: list[dict[str, tuple]] = [{} for _ in range(e - s + 1)]
-        best[0]["clean"] = (0.0, -1, "", "")
+        # best[i]: state -> (score, previous position, previous state, what the step stands for); a state is a pair and the bytes that are open
+        best: list[dict[tuple, tuple]] = [{} for _ in range(e - s + 1)]
+        clean_ = ("clean", b"")
+        best[0][clean_] = (0.0, -1, None, "")
+
+        def reach(at: int, state: tuple, score: float, frm: int, before: tuple, out: str | None, best=best, s=s) -> None:
+            old = best[at - s].get(state)
+            if old is None or score > old[0]:
+                best[at - s][state] = (score, frm, before, out)
+
         for i in range(s, e):
             here = best[i - s]
-            if not here:
-                continue
-            clean = here.get("clean")
-            # leaving a garbled state costs nothing but END
+            # leaving a garbled state that has no byte open costs nothing but END
             for st, v in list(here.items()):
-                if st != "clean" and (clean is None or v[0] + END > clean[0]):
-                    clean = (v[0] + END, i, st, None)
+                if st != clean_ and not st[1]:
+                    reach(i, clean_, v[0] + END, i, st, None)
+            clean = here.get(clean_)
             if clean is not None:
-                here["clean"] = clean
                 sc = clean[0] + _clean_score(text[i], _class(text[i - 1]) if i else "", _class(text[i + 1]) if i + 1 < len(text) else "")
-                if text[i] == LOST_CHAR:
-                    sc -= 20.0
-                old = best[i + 1 - s].get("clean")
-                if old is None or sc > old[0]:
-                    best[i + 1 - s]["clean"] = (sc, i, "clean", text[i])
-            for end, st, out, score in steps.get(i, ()):
-                a = here[st][0] + STAY if st in here else -1e9
-                b = clean[0] + START if clean is not None else -1e9
-                sc = max(a, b) + score
-                old = best[end - s].get(st)
-                if old is None or sc > old[0]:
-                    best[end - s][st] = (sc, i, st if a >= b else "clean", out)
-        last = best[e - s]
-        state = max(last, key=lambda k: last[k][0] + (0 if k == "clean" else END))
+                reach(i + 1, clean_, sc - 20.0 * (text[i] == LOST_CHAR), i, clean_, text[i])
+            for end, enc, out, score in steps.get(i, ()):
+                st = (enc, b"")
+                stay, start = here[st][0] + STAY if st in here else -1e9, clean[0] + START if clean is not None else -1e9
+                if max(stay, start) > -1e8:
+                    reach(end, st, max(stay, start) + score, i, st if stay >= start else clean_, out)
+            if double:
+                ways = [(st, v[0] + STAY) for st, v in here.items() if st[0] == DOUBLE]
+                if clean is not None:
+                    ways.append((clean_, clean[0] + START))
+                for st, score in ways:
+                    got = _double_steps(text[i], st[1])
+                    if got:
+                        reach(i + 1, (DOUBLE, got[1]), score + got[2], i, st, got[0])
+        last = {st: v for st, v in best[e - s].items() if not st[1]}
+        if not last:
+            continue
+        state = max(last, key=lambda k: last[k][0] + (0 if k == clean_ else END))
         pos = e
-        while pos > s or best[pos - s][state][1] == pos:
+        while state is not None:
             _, prev, before, out = best[pos - s][state]
-            if state != "clean":
-                spans.append((prev, pos, state, out))
             if prev < 0:
                 break
+            if state != clean_ and out is not None:
+                spans.append((prev, pos, state[0], out))
             pos, state = prev, before
-    spans.sort()
+    spans.sort(key=lambda x: x[:2])
     return spans
 
 
@@ -247,7 +267,7 @@ def restore(text: str | None) -> tuple[str | None, int, bool]:
     if not text:
         return text, 0, True
     count = 0
-    for _ in range(MAX_ROUNDS):
+    while True:
         spans = _label(text)
         if not spans:
             break

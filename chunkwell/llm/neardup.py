@@ -100,13 +100,13 @@ def records(df: DataFrame, key: str, text: str, block: list[Column], min_words:
 
     The runs are left out where the same task has already given them for the class.
     """
-    latin = lookalike.latin_bigrams(df, text)
+    scores = lookalike.bigrams(df, text)
     gate = lookalike.gate_pattern()
     same = [F.coalesce(F.concat(F.lit("v"), b.cast("string")), F.lit("n")) for b in block]
     some = df.select(F.col(key).cast("string"), F.xxhash64(*same).alias("block"), F.col(text).alias("text")).where("text is not null")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, seen = lookalike.Reader(latin), set()
+        reader, seen = lookalike.Reader(scores), set()
         for b in (whole.slice(k, 2500) for whole in batches for k in range(0, len(whole), 2500)):
             texts = b.column(2)
             odd = pc.match_substring_regex(texts, gate)

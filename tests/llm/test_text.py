@@ -11,7 +11,7 @@ from chunkwell.llm import furniture, lookalike, mojibake, segment, sentences
 
 BN = "শ্রমিকের মৃত্যু হইলে মজুরি প্রদান করিবেন।"
 EN = "The crèche attendant’s résumé — “kept” for review."
-READER = lookalike.Reader(np.log(np.full((27, 27), 1 / 27)))
+READER = lookalike.Reader(lookalike.bigram_scores(np.zeros((lookalike.SIZE, lookalike.SIZE))))
 
 
 @pytest.mark.parametrize("enc", ["cp1252", "latin-1", "mac_roman", "cp437", "cp1251"])
@@ -30,6 +30,33 @@ def test_garbled_twice_and_lost():
     assert mojibake.restore("the labour attach茅 shall")[0] == "the labour attaché shall"
 
 
+def test_garbled_many_times():
+    t = "café"
+    for _ in range(6):
+        t = t.encode().decode("latin-1")
+    assert mojibake.restore(t)[0] == "café" and mojibake.restore(t)[2]
+
+
+def test_double_byte_state():
+    common = [bytes([a, b]).decode("gb2312") for a in range(0xB0, 0xD7) for b in range(0xA1, 0xFF)]
+    rnd = random.Random(1)
+    for _ in range(1500):
+        w = rnd.choice(common) + rnd.choice(common)
+        try:
+            wrong = w.encode().decode("gbk")
+        except UnicodeDecodeError:
+            continue
+        assert mojibake.restore(wrong)[0] == w
+        assert mojibake.restore("必须" + wrong + "登记")[0] == "必须" + w + "登记"
+    assert mojibake.restore("宸ヨ祫") == ("工资", 3, True)  # with kana
+    assert mojibake.restore("必须鍔冲姩登记") == ("必须劳动登记", 3, True)
+    assert mojibake.restore("鈥淎sk the clerk鈥檚 desk")[0] == "“Ask the clerk’s desk"
+    for _ in range(500):
+        clean = "".join(rnd.choice(common) for _ in range(12))
+        assert mojibake.restore(clean)[1] == 0
+    assert mojibake.restore("dеаrnеѕѕ bеѕіdе")[1] == 0  # Cyrillic look-alikes
+
+
 def test_clean_text_stays():
     for t in [BN, EN, "São Pellê keeps columns Â, Ê and Î under Ünter-Ålda", "the words договор and фабрика", "每名承包人必须明确登记", "λόγος", "", None]:
         assert mojibake.restore(t) == (t, 0, True)
@@ -55,6 +82,25 @@ def test_pieces_cover_fit_and_overlap():
         assert all(max(1, round(1.3 * len(text[a:b].split()))) <= 350 for a, b, _ in got)
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [("рaботa", "работа"), ("договор рaбочий", "договор рабочий"), ("Мoсква", "Москва"), ("νόμoς", "νόμος"), ("wаge dеаrnеѕѕ", "wage dearness"), ("the сор", "the cop"), ("дaл слово", "дал слово")],
+)
+def test_words_get_their_own_script(text, want):
+    assert READER.form(text) == want and READER.form(want) == want
+
+
+def test_bigrams(spark):
+    texts = ["Ab ba", "ab", "аб вб", "aб", "ba", None, ""]  # the fourth mixes scripts
+    got = lookalike.bigrams(spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "t")
+    n = np.zeros((lookalike.SIZE, lookalike.SIZE))
+    for w in ["ab", "ba", "ab", "аб", "вб", "ba"]:
+        k = [0, *(lookalike.LETTERS[c] for c in w), 0]
+        for a, b in zip(k, k[1:], strict=False):
+            n[a, b] += 1
+    assert np.allclose(got, lookalike.bigram_scores(n))
+
+
 def test_split_frame(spark):
     df = spark.createDataFrame([("a", "w " * 400, "1", "x"), ("b", "", "1", "x"), ("c", None, None, "x"), ("d", "short", None, "x"), ("e", "z" * 5000, None, "x")], "id string, t string, node string, piece string")
     got = segment.split_oversized(df, "id", "t", "node", 350, 0.15).groupBy("id").count().collect()
