@@ -21,7 +21,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkwell.llm import lookalike
@@ -259,3 +259,11 @@ def leaked(docs: DataFrame, key: str, text: str, passages: DataFrame, item: str,
         return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").mapInArrow(go, schema)
 
     return reduce(DataFrame.unionByName, [job(b) for b in blocks]).withColumnRenamed("key", key).withColumnRenamed("item", item)
+
+
+def removal_spans(spans: DataFrame, key: str, item: str) -> DataFrame:
+    """``key``, first_word, last_word and n_items: the words of each document to be removed, spans of all items that overlap or touch merged. A group is one document's spans."""
+    before = Window.partitionBy(key).orderBy("first_word", "last_word", item).rowsBetween(Window.unboundedPreceding, -1)
+    new = F.coalesce(F.col("first_word") > F.max("last_word").over(before) + 1, F.lit(True))
+    runs = spans.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(Window.partitionBy(key).orderBy("first_word", "last_word", item)))
+    return runs.groupBy(key, "run").agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.countDistinct(item).alias("n_items")).drop("run")

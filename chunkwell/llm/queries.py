@@ -121,6 +121,11 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_passages"), "item_id", "text")
 
 
+def p9_removal(spark: SparkSession, d: str) -> DataFrame:
+    """The words that each document loses, whatever item they come from."""
+    return leakage.removal_spans(p9_spans(spark, d), "doc_id", "item_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.judged(table(spark, d, "documents"), "doc_id", "source", "text").where("is_cut").select("doc_id")
 

@@ -219,3 +219,9 @@ def test_ending_ratio_takes_cuts_off():
     whole[0], whole[inside], whole[form], cut[inside], cut[form], marks[inside] = 9000, 100, 900, 970, 30, 50
     ratio, rate = truncation.ending_ratio(whole, cut, marks)
     assert 0.008 < rate < 0.02 and ratio[inside] > 5 and ratio[form] < -0.5
+
+
+def test_removal_spans(spark):
+    rows = [(1, 7, 0, 11), (1, 8, 5, 20), (1, 7, 21, 40), (1, 7, 60, 71), (2, 9, 3, 14)]
+    got = leakage.removal_spans(spark.createDataFrame(rows, "doc_id long, item_id long, first_word long, last_word long"), "doc_id", "item_id").collect()
+    assert {tuple(r) for r in got} == {(1, 0, 40, 2), (1, 60, 71, 1), (2, 3, 14, 1)}

@@ -160,7 +160,7 @@ def test_frequent_sequences_of_any_length(spark):
 
 
 def test_sentences():
-    d = sentences.Divider(np.zeros((3, sentences.ROWS * sentences.BUCKETS), np.float32))
+    d = sentences.Divider((np.zeros((3, sentences.ROWS * sentences.BUCKETS), np.float32), sentences.length_scores(np.zeros((2, sentences.LENGTHS)))))
 
     def cut(t):
         e, s, out = d.ends(t), 0, []
@@ -177,6 +177,21 @@ def test_sentences():
     assert cut("") == [] and cut("  \n") == [] and cut("no mark") == ["no mark"]
 
 
+def test_sentences_over_many_marks():
+    stats = np.zeros((3, sentences.ROWS * sentences.BUCKETS), np.float32)
+    stats[1] = -9.0  # nothing opens a sentence, so no closing quotation ends one
+    d = sentences.Divider((stats, sentences.length_scores(np.zeros((2, sentences.LENGTHS)))))
+    t = "the sign “go!” " * 900 + "stays. " + "x" * 500 + ". Next."
+    assert d.ends(t) == [t.index("stays.") + 6, len(t) - 6, len(t)]
+
+
+def test_length_scores():
+    n = np.zeros((2, sentences.LENGTHS))
+    n[0, 20], n[1, 1] = 1000, 1000
+    got = sentences.length_scores(n)
+    assert got[0, 20] == 0 and got[0, 20] > got[0, 15] and got[1].argmax() == 1 and got.min() >= sentences.LENGTH_LEAST
+
+
 def test_sentence_frame(spark):
     df = spark.createDataFrame([("a", "One. Two."), ("b", None), ("c", ""), ("d", "x. " * 5000)], "k string, text string")
     s = sentences.statistics(df, "text")
