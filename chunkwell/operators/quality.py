@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkwell.functions import text as T
-from chunkwell.functions.ordered import numbered
+from chunkwell.functions.ordered import WIDTH, numbered
 
 FURNITURE_TOKENS, FURNITURE_PAGES, FURNITURE_SHARE, PARENTLESS_SHARE = 10, 3, 0.4, 0.5
 # Fixed value: what a page number looks like on a line of its own.
@@ -31,12 +31,19 @@ def fill_nodes(df: DataFrame, doc: str = "doc", order: str = "seq", node: str =
 
 
 def continuity(df: DataFrame, doc: str, number: str, order: str) -> DataFrame:
-    """Section numbers out of order: (doc, check, at, detail) for each backward jump and each gap."""
-    w = Window.partitionBy("doc").orderBy("ord")
-    n = df.select(F.col(doc).alias("doc"), F.col(number).cast("int").alias("n"), F.col(order).alias("ord")).where("n is not null")
-    n = n.withColumn("prev", F.lag("n").over(w)).where("prev is null or prev <> n")
-    top = F.max("n").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    jumps = n.withColumn("top", top).where("n < top").select("doc", F.lit("backward").alias("check"), F.col("n").alias("at"), F.col("top").alias("detail"))
+    """Section numbers out of order: (doc, check, at, detail) for each backward jump and each gap.
+
+    Rows (``order`` a whole number) are compared within buckets of the order; what crosses buckets is carried over one row each, so a hot
+    document is spread. Gaps are looked for among a document's distinct numbers.
+    """
+    n = df.select(F.col(doc).alias("doc"), F.col(number).try_cast("int").alias("n"), F.col(order).alias("ord")).where("n is not null").withColumn("b", F.floor(F.col("ord") / WIDTH))
+    each = n.groupBy("doc", "b").agg(F.max_by("n", "ord").alias("last"), F.max("n").alias("top"))
+    earlier = Window.partitionBy("doc").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    start = each.select(F.col("doc").alias("d"), F.col("b").alias("c"), F.last("last").over(earlier).alias("last0"), F.max("top").over(earlier).alias("top0"))
+    here = Window.partitionBy("doc", "b").orderBy("ord")
+    n = n.join(start, n["doc"].eqNullSafe(start["d"]) & (n["b"] == start["c"]))
+    n = n.withColumn("prev", F.coalesce(F.lag("n").over(here), "last0")).withColumn("top", F.greatest(F.max("n").over(here.rowsBetween(Window.unboundedPreceding, -1)), "top0"))
+    jumps = n.where("(prev is null or prev <> n) and n < top").select("doc", F.lit("backward").alias("check"), F.col("n").alias("at"), F.col("top").alias("detail"))
     d = n.select("doc", "n").distinct()
     gaps = d.withColumn("nxt", F.lead("n").over(Window.partitionBy("doc").orderBy("n"))).where("nxt > n + 1").select("doc", F.lit("gap").alias("check"), F.col("n").alias("at"), F.col("nxt").alias("detail"))
     return jumps.unionByName(gaps)
@@ -97,6 +104,13 @@ def rejected_table(df: DataFrame) -> DataFrame:
     return df.where("not kept").select(F.lit("table_validation_failed").alias("kind"), "doc", "page", F.array_join("reasons", "; ").alias("reason"))
 
 
+def all_flags(*producers: DataFrame) -> DataFrame:
+    """The flags of all producers (furniture and blocked documents, rejected grids, unreadable pages) in one table; what one lacks is null."""
+    cols = {"kind": "string", "node": "string", "text": "string", "doc": "string", "page": "int", "reason": "string"}
+    fit = lambda f: f.select(*[(F.col(c) if c in f.columns else F.lit(None)).cast(t).alias(c) for c, t in cols.items()])
+    return reduce(DataFrame.unionByName, [fit(f) for f in producers])
+
+
 def index_bound(df: DataFrame, reports: DataFrame) -> DataFrame:
     """Retrievable chunks of documents that aren't blocked."""
     return df.where("retrievable").join(reports.where("not blocked").select("doc"), "doc", "left_semi")

@@ -282,7 +282,10 @@ def _(s, d):
 
 @register("agg_04_furniture", S.FURNITURE)
 def _(s, d):
-    return quality.furniture(chunks(s, d)).where("is_furniture").select("seq")
+    """Of each chunk's lines, taken as short chunks of their own."""
+    lines = once(s, d).select("chunk_id", "doc", "page", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    lines = lines.select("chunk_id", "doc", "page", (c("at") + 1).alias("line_no"), c("line").alias("text"), F.lit(True).alias("retrievable"), T.estimate_tokens(c("line")).alias("est_tokens"))
+    return quality.furniture(lines).where("is_furniture").select("chunk_id", "line_no")
 
 
 @register("agg_05_report", S.REPORT)
@@ -350,6 +353,18 @@ def _(s, d):
     return once(s, d).where("coalesce(text, '') = ''").orderBy("seq").limit(200).select("chunk_id", "seq")
 
 
+PAGES = "words array<struct<text:string,x0:double,x1:double,top:double,bottom:double>>, tables array<struct<x0:double,x1:double,top:double,bottom:double,rows:array<array<string>>>>"
+
+
+@register("tbl_17_dispatch", f"WITH l AS (SELECT doc_id, {S.TEXT_LABEL} AS label FROM documents) SELECT doc_id, CASE WHEN label IN ('prose', 'mixed') THEN 'prose' ELSE 'flag' END AS branch, label AS route, 0 AS kept FROM l WHERE label <> 'empty'")
+def _(s, d):
+    """Documents as pages without grids: a page of tables that gave none is flagged."""
+    words, tables = (F.lit(None).cast(t.split(" ", 1)[1]) for t in PAGES.split(", "))
+    got = ingest.dispatch(table(s, d, "documents").select(c("doc_id").alias("doc"), F.lit(1).alias("page"), "text", words.alias("words"), tables.alias("tables"), ingest.text_label(c("text")).alias("label")))
+    branch = got["prose"].select("doc", F.lit("prose").alias("branch")).unionByName(got["flags"].select("doc", F.lit("flag").alias("branch")))
+    return branch.join(got["stats"], "doc").select(c("doc").alias("doc_id"), "branch", "route", "kept")
+
+
 # --- TBL: folds with feedback, checked against brute force in the tests ---------------------------------------------------
 
 

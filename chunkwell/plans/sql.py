@@ -1,4 +1,4 @@
-"""Pieces of the SQL that checks the queries, written independently of the DataFrame code."""
+"""Pieces of the SQL that checks the queries, written independently of the DataFrame code; the fixed patterns and words are repeated here."""
 
 from __future__ import annotations
 
@@ -70,9 +70,10 @@ FROM (SELECT list_filter(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\n|\
 EXACT = f"""WITH c AS ({ONCE}), r AS (SELECT chunk_id, CASE WHEN {norm("text")} <> '' THEN lower({norm("text")}) ELSE 'empty ' || chunk_id END AS h, coalesce(text_layer, '') AS a, coalesce(source_act, '') AS b, coalesce(amends_section, '') AS d, {authority("authority_rank")} AS rank, coalesce(est_tokens, 0) AS n, seq FROM c),
 w AS (SELECT *, first_value(chunk_id) OVER (PARTITION BY h, a, b, d ORDER BY rank, n DESC, seq) AS winner FROM r) SELECT chunk_id, winner, winner <> chunk_id AS is_duplicate FROM w"""
 
-FURNITURE = f"""WITH b AS (SELECT seq, doc, page, lower({norm("text")}) AS t, coalesce(retrievable, true) AND coalesce(est_tokens, 99) <= 10 AND {norm("text")} <> '' AS cand FROM prose_chunks),
+FURNITURE = f"""WITH c AS ({ONCE}), q AS (SELECT chunk_id, doc, page, string_split(text, chr(10)) AS a FROM c WHERE text IS NOT NULL), l AS (SELECT chunk_id, doc, page, CAST(unnest(range(1, len(a) + 1)) AS INT) AS line_no, unnest(a) AS line FROM q),
+b AS (SELECT chunk_id, line_no, doc, page, lower({norm("line")}) AS t, {tokens("line")} <= 10 AND {norm("line")} <> '' AS cand FROM l),
 p AS (SELECT doc, count(DISTINCT page) AS n FROM b GROUP BY 1), s AS (SELECT doc, t, count(DISTINCT coalesce(page, -1)) AS k FROM b WHERE cand GROUP BY 1, 2)
-SELECT b.seq FROM b JOIN p USING (doc) JOIN s USING (doc, t) WHERE cand AND (k >= greatest(3, floor(0.4 * n)) OR regexp_matches(t, '^(?:page\\s*)?[-–—\\s]*[0-9০-৯]{{1,4}}[-–—\\s]*(?:of\\s*[0-9]+)?$'))"""
+SELECT b.chunk_id, b.line_no FROM b JOIN p USING (doc) JOIN s USING (doc, t) WHERE cand AND (k >= greatest(3, floor(0.4 * n)) OR regexp_matches(t, '^(?:page\\s*)?[-–—\\s]*[0-9০-৯]{{1,4}}[-–—\\s]*(?:of\\s*[0-9]+)?$'))"""
 
 REPORT = f"""WITH c AS ({ONCE}), a AS (SELECT doc, count(*) AS items, count(*) FILTER (WHERE kind = 'leaf') AS leaves, count(*) FILTER (WHERE kind = 'leaf' AND contains(coalesce(node, ''), '(') AND coalesce(section_marker, '') = '') AS parentless_leaves,
 count_if(coalesce(node, '') = '') AS blank_nodes, count_if({norm("text")} = '') AS empty_texts, count_if(kind = 'front_matter') AS front_matter, count_if(kind = 'front_matter' AND retrievable) AS rf,
@@ -81,7 +82,7 @@ f AS (SELECT *, parentless_leaves > leaves * 0.5 AS bad, blank_nodes + empty_tex
 SELECT doc, items, leaves, parentless_leaves, blank_nodes, empty_texts, front_matter, furniture_stripped, sections_seen, items + 5 AS checks_total, checks_failed, checks_failed = 0 AS ok, checks_failed > 0 AS blocked, round(1 - checks_failed / greatest(1, items + 5), 3) AS pass_rate FROM f"""
 
 PAGE_EVIDENCE = f"""WITH w AS (SELECT doc, page, unnest(string_split({norm("text")}, ' ')) AS w FROM prose_chunks), g AS (SELECT doc, page, w, count(*) AS n FROM w WHERE w <> '' GROUP BY 1, 2, 3)
-SELECT doc, page, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(n * length(w)) + sum(n) - 1 AS BIGINT) AS n_chars, round(sum(CASE WHEN length(w) = 1 AND regexp_matches(w, '\\pL') THEN n ELSE 0 END) / sum(n), 6) AS one_letter_share,
+SELECT doc, page, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(n * length(w)) + sum(n) - 1 AS BIGINT) AS n_chars, round(sum(CASE WHEN length(w) <= 1 THEN n ELSE 0 END) / sum(n), 6) AS one_letter_share,
 round(max(n) / sum(n), 6) AS top_token_share, round(sum(CASE WHEN regexp_matches(w, '[†‡]') THEN n ELSE 0 END) / sum(n), 6) AS dagger_share, round(sum(CASE WHEN contains(w, '(cid:') THEN n ELSE 0 END) / sum(n), 6) AS cid_share FROM g GROUP BY 1, 2"""
 
 CONTINUITY = f"""WITH c AS ({ONCE}), n AS (SELECT doc, try_cast(section_number AS INT) AS n, seq FROM c), o AS (SELECT *, lag(n) OVER (PARTITION BY doc ORDER BY seq) AS prev FROM n WHERE n IS NOT NULL),
