@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +116,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: The letters that bigrams are counted of: Latin, Cyrillic (basic and the rest of its block) and Greek, in small letters; 0 is what stands between words.
 ALPHABETS = {"LATIN": [chr(c) for c in range(0x61, 0x7B)], "CYRILLIC": [chr(c) for c in range(0x430, 0x460)], "GREEK": [chr(c) for c in range(0x3B1, 0x3CA)]}
 LETTERS = {c: k for k, c in enumerate((c for a in ALPHABETS.values() for c in a), 1)}
-SIZE = len(LETTERS) + 1
+SIZE, GONE = len(LETTERS) + 1, 255
 _EDGES = np.cumsum([1, *map(len, ALPHABETS.values())])
 
 
@@ -207,26 +208,35 @@ def _joiner(m: re.Match) -> str:
     return ""
 
 
-def _count(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Bigrams of the letters of UTF-8 texts that lie end to end in ``data``, each text from one offset to the next."""
-    start = np.flatnonzero((data & 0xC0) != 0x80)  # of characters
-    lead = data[start].astype(np.int64)
-    nxt = data[np.minimum(start + 1, len(data) - 1)].astype(np.int64)
-    point = np.where(lead < 0x80, lead, np.where((lead >= 0xC2) & (lead < 0xE0), (lead & 0x1F) << 6 | nxt & 0x3F, 0))
-    known = _numbers()[point]
-    # what is a letter of a script that isn't counted parts words as any other character does
-    edge = np.searchsorted(start, off[1:-1])
-    x = np.insert(known, edge, 0)
-    x = np.concatenate(([0], x, [0])).astype(np.int64)
+@lru_cache(maxsize=1)
+def _byte_letters() -> np.ndarray:
+    """Letter number by byte; GONE for bytes that don't begin a character."""
+    out = np.zeros(256, np.uint8)
+    out[:128] = _numbers()[:128]
+    out[0x80:0xC0] = GONE
+    return out
+
+
+def _count(texts: pa.Array) -> np.ndarray:
+    """Bigrams of the letters within words of one script; what is no letter of a counted script parts words."""
+    col = pc.binary_join_element_wise(texts.cast(pa.large_string()), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())).cast(pa.large_binary())
+    off = np.frombuffer(col.buffers()[1], np.int64)
+    data = np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[len(col)]]
+    x = _byte_letters()[data]
+    two = np.flatnonzero((data >= 0xC3) & (data < 0xE0))
+    x[two] = _numbers()[(data[two].astype(np.int64) & 0x1F) << 6 | data[two + 1] & 0x3F]
+    x = x[x != GONE]
+    keep = x > 0
+    keep[1:] |= x[:-1] > 0
+    x = np.concatenate(([0], x[keep])).astype(np.int64)  # letters, and one separator after each word
     a, b = x[:-1], x[1:]
     side = np.searchsorted(_EDGES, np.arange(SIZE), side="right")
-    fits = (a == 0) | (b == 0) | (side[a] == side[b])
-    # a word that mixes scripts says nothing
-    word = np.cumsum(a == 0)
-    mixed = np.zeros(int(word[-1]) + 1, bool)
-    mixed[word[~fits]] = True
-    keep = ~mixed[word] & (a + b > 0)
-    return np.bincount(a[keep] * SIZE + b[keep], minlength=SIZE * SIZE)
+    crossing = np.flatnonzero((a > 0) & (b > 0) & (side[a] != side[b]))
+    code = a * SIZE + b
+    if len(crossing):  # a word that mixes scripts says nothing
+        word = np.cumsum(a == 0)
+        code = code[~np.isin(word, word[crossing])]
+    return np.bincount(code, minlength=SIZE * SIZE)
 
 
 def bigram_scores(n: np.ndarray) -> np.ndarray:
@@ -249,10 +259,9 @@ def bigrams(df: DataFrame, text: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE * SIZE, np.int64)
         for b in batches:
-            col = b.column(0).cast(pa.large_binary())
-            off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
-            if len(off) and off[-1] > off[0]:
-                total += _count(np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]], off - off[0])
+            if len(b):
+                total += _count(b.column(0))
+        total[0] = 0
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"k": k.astype(np.int32), "n": total[k]})
 
