@@ -368,7 +368,7 @@ def _(s, d):
 # --- TBL: folds with feedback, checked against brute force in the tests ---------------------------------------------------
 
 
-@register("tbl_03_masthead", None)
+@register("tbl_03_masthead", S.MASTHEAD_CUT)
 def _(s, d):
     return chunks(s, d).select("seq", ingest.masthead_cut(c("text")).alias("cut")).where("cut > 0")
 
@@ -383,12 +383,12 @@ def _(s, d):
     return walked(s, d).select("doc", "page", "block", "kind", "node", c("section_marker").alias("section"), "text")
 
 
-@register("tbl_06_packing", None)
+@register("tbl_06_packing", S.packing("lines"))
 def _(s, d):
     return ingest.pack(table(s, d, "documents"), "doc_id", "text")
 
 
-@register("tbl_06_sentences", None)
+@register("tbl_06_sentences", S.packing("sentences"))
 def _(s, d):
     return ingest.pack(table(s, d, "documents"), "doc_id", "text", by="sentences")
 
@@ -398,12 +398,12 @@ def _(s, d):
     return dedup.near(once(s, d))
 
 
-@register("tbl_11_parents", None)
+@register("tbl_11_parents", S.PARENTS)
 def _(s, d):
-    return parents.build(once(s, d))[1]
+    return parents.build(once(s, d))[1].withColumn("pages", F.array_join("pages", ","))
 
 
-@register("tbl_12_tables", None)
+@register("tbl_12_tables", S.TABLES)
 def _(s, d):
     """Grids built from the lines of orders."""
     li = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.array(c("l_returnflag"), c("l_quantity").cast("int").cast("string"), F.format_number("l_extendedprice", 2)).alias("r")))).alias("x"))

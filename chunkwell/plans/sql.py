@@ -146,3 +146,51 @@ PARENT_LABELS = "SELECT c.seq, CASE WHEN p.parent_id IS NULL THEN '[bare chunk 
 PROVISION_LINKS = f"""WITH c AS ({ONCE}), p AS (SELECT chunk_id, coalesce(text_layer, '') = 'amendment_overlay' AS side, nullif(section_number, '') AS num,
 CASE WHEN coalesce(section_path, '') <> '' THEN array_to_string(list_filter(string_split(trim(regexp_replace(lower(section_path), '[^\\pL\\pN_]+', ' ', 'g')), ' '), lambda w: w NOT IN ('section', 'chapter', 'sub-section', 'clause', 'page', 'table', 'front', 'matter')), ' ') END AS path FROM c)
 SELECT a.chunk_id, count(b.chunk_id) AS n_links FROM p a LEFT JOIN p b ON a.side = b.side AND a.chunk_id <> b.chunk_id AND CASE WHEN a.num IS NOT NULL AND b.num IS NOT NULL THEN a.num = b.num ELSE a.path = b.path END GROUP BY 1"""
+
+INSTRUMENT = r"(?i)gazette|rules|act\b|ordinance|order\b|notification|s\.?r\.?o\.?"
+STRONG = r"(?i)registered\s+no|published\s+by\s+the\s+authority|translated\s+from|gazette\s+notification|people[''’]?s\s+republic"
+MASTHEAD_CUT = f"""WITH RECURSIVE t AS (SELECT seq, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')[1:25] AS a FROM prose_chunks WHERE text IS NOT NULL),
+l0 AS (SELECT seq, CAST(generate_subscripts(a, 1) - 1 AS INT) AS i, trim(unnest(a), ' ') AS line FROM t),
+l AS (SELECT seq, i, regexp_matches(line, '{MASTHEAD}') AS m, upper(line) = line AND regexp_matches(line, '\\pL') AND length(line) <= 90 AND regexp_matches(line, '{INSTRUMENT}') AS u, regexp_matches(line, '{STRONG}') AS s FROM l0),
+w AS (SELECT seq, 0 AS i, 0 AS cut, false AS strong, false AS done FROM t
+UNION ALL SELECT seq, i + 1, CASE WHEN hit AND NOT stop THEN i + 1 ELSE cut END, strong OR (hit AND NOT stop AND s), stop FROM (
+SELECT w.*, l.s, l.m OR (cut > 0 AND l.u) AS hit, done OR (NOT (l.m OR (cut > 0 AND l.u)) AND (cut > 0 OR w.i >= 2)) AS stop FROM w JOIN l USING (seq, i)))
+SELECT * FROM (SELECT seq, max_by(CASE WHEN strong THEN cut ELSE 0 END, i) AS cut FROM w GROUP BY seq) WHERE cut > 0"""
+
+_COST = lambda w: f"greatest(1, CAST(round_even(({w}) * CAST(1.3 AS DOUBLE), 0) AS INT))"
+_SENTENCES = lambda x: rf"string_split(regexp_replace(trim(regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g'), ' '), '([.!?।॥]){SPACE}+', '\1' || chr(1), 'g'), chr(1))"
+
+
+def packing(by: str) -> str:
+    """Units are walked one by one: each document's streams of lines between oversized ones and of sentences of these, or of all its sentences."""
+    lines = f"""li AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS o, unnest(string_split(text, chr(10))) AS line FROM long),
+lb AS (SELECT *, {tokens("line")} > 350 AS big, sum(CASE WHEN {tokens("line")} > 350 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY o) AS g FROM li),
+st AS (SELECT doc_id, min(o) AS o, 0 AS least, list(line ORDER BY o) AS u FROM lb WHERE NOT big GROUP BY doc_id, g UNION ALL SELECT doc_id, o, 1, {_SENTENCES("line")} FROM lb WHERE big)"""
+    streams = lines if by == "lines" else f"st AS (SELECT doc_id, 1 AS o, 1 AS least, {_SENTENCES('text')} AS u FROM long)"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, text FROM documents WHERE {norm("text")} <> ''), long AS (SELECT * FROM d WHERE {tokens("text")} > 350), {streams},
+n AS (SELECT row_number() OVER () AS sid, *, list_transform(u, lambda x: {words("x")}) AS ws FROM st), m AS (SELECT *, list_transform(range(len(ws) + 1), lambda i: CAST(coalesce(list_sum(ws[1:i]), 0) AS INT)) AS w FROM n),
+walk AS (SELECT sid, 0 AS k, 0 AS s, 0 AS size, -1 AS a, -1 AS b FROM m
+UNION ALL SELECT sid, k + 1, CASE WHEN flush THEN s2 ELSE s END, CASE WHEN flush THEN CASE WHEN s2 < k THEN {_COST("w[k + 1] - w[s2 + 1]")} ELSE 0 END ELSE size END + {_COST("ws[k + 1]")}, CASE WHEN flush THEN s ELSE -1 END, CASE WHEN flush THEN k ELSE -1 END FROM (
+SELECT x.*, m.w, m.ws, k > s AND size + {_COST("m.ws[k + 1]")} > 350 AS flush, k - greatest(least, CAST(floor((k - s) * CAST(0.15 AS DOUBLE)) AS INT)) AS s2 FROM walk x JOIN m USING (sid) WHERE k < len(m.ws))),
+p AS (SELECT sid, a, b FROM walk WHERE a >= 0 UNION ALL SELECT walk.sid, s, k FROM walk JOIN m USING (sid) WHERE k = len(ws)),
+q AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o, b) AS piece, count(*) OVER (PARTITION BY doc_id) AS n_pieces, array_to_string(u[a + 1:b], ' ') AS text FROM p JOIN m USING (sid))
+SELECT doc_id, CAST(piece AS INT) AS piece, CAST(n_pieces AS INT) AS n_pieces, CASE WHEN n_pieces > 1 THEN piece || '/' || n_pieces END AS split_part, text FROM q
+UNION ALL SELECT doc_id, 1, 1, NULL, text FROM d WHERE {tokens("text")} <= 350"""
+
+
+_ID = lambda *x: "'par' || substr(sha1(" + " || chr(1) || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in x) + "), 1, 16)"
+PARENTS = f"""WITH RECURSIVE c AS ({ONCE}), k AS (SELECT *, coalesce(CASE WHEN est_tokens > 0 THEN est_tokens END, {tokens("text")}) AS t, coalesce(section_marker, '') AS m FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc, m ORDER BY seq) AS i FROM k WHERE m <> ''),
+w AS (SELECT seq, doc, m, i, 1 AS n, t AS used, 1 AS part FROM o WHERE i = 1
+UNION ALL SELECT o.seq, o.doc, o.m, o.i, CASE WHEN w.n >= 40 OR used + o.t > 5000 THEN 1 ELSE w.n + 1 END, CASE WHEN w.n >= 40 OR used + o.t > 5000 THEN o.t ELSE used + o.t END, part + CASE WHEN w.n >= 40 OR used + o.t > 5000 THEN 1 ELSE 0 END FROM w JOIN o ON o.doc = w.doc AND o.m = w.m AND o.i = w.i + 1),
+g AS (SELECT w.doc, w.m, part, min_by(section_title, CASE WHEN section_title <> '' THEN seq END) AS title, min_by(chapter, CASE WHEN chapter <> '' THEN seq END) AS chapter, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY seq) AS text,
+array_to_string(list_sort(list_distinct(list(page))), ',') AS pages, count(*) AS n, CAST(sum(t) AS INT) AS tokens, count(*) OVER (PARTITION BY w.doc, w.m) AS parts FROM w JOIN k USING (seq) GROUP BY 1, 2, 3)
+SELECT {_ID("'prose'", "doc", "m", "part")} AS parent_id, 'prose' AS kind, doc, m AS section_marker, CASE WHEN parts > 1 THEN coalesce(title, '') || ' (part ' || part || '/' || parts || ')' ELSE coalesce(title, '') END AS section_title, chapter, text, coalesce(pages, '') AS pages, CAST(n AS INT) AS n_children, tokens AS est_tokens FROM g
+UNION ALL SELECT {_ID("'self'", "doc", "seq")}, 'self', doc, '', coalesce(section_title, ''), chapter, text, coalesce(CAST(page AS VARCHAR), ''), 1, t FROM k WHERE m = ''"""
+
+TABLES = """WITH r0 AS (SELECT l_orderkey, l_linenumber, l_returnflag AS f, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q, format('{:,.2f}', l_extendedprice) AS p FROM lineitem),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, f, q, p) AS i FROM r0), r2 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, f ORDER BY i) AS k FROM r1),
+r AS (SELECT *, f || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END AS label FROM r2),
+j AS (SELECT *, '"' || label || '":{"Quantity":{"i":' || q || '},"Price":' || CASE WHEN contains(p, ',') THEN '{"s":"' || p || '"}' ELSE '{"d":' || CAST(CAST(p AS DOUBLE) AS VARCHAR) || '}' END || '}' AS cell FROM r)
+SELECT l_orderkey, 'Structured data table with 3 columns: Flag, Quantity, Price. It contains ' || count(*) || ' data rows and ' || (3 * count(*) + 3) || ' populated cells; sample values: Flag, Quantity, Price, ' || min_by(f, i) || ', ' || min_by(q, i) || '.' AS summary,
+string_agg(label, '|' ORDER BY i) AS labels, '{' || string_agg(cell, ',' ORDER BY i) || '}' AS data_json, true AS kept FROM j GROUP BY l_orderkey"""
