@@ -115,3 +115,16 @@ def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     selfs = own.select("parent_id", F.lit("self").alias("kind"), "doc", F.lit("").alias("section_marker"), F.coalesce("section_title", F.lit("")).alias("section_title"), "chapter", "text", F.when(F.col("page").isNotNull(), F.array("page")).otherwise(F.array().cast("array<int>")).alias("pages"), F.lit(1).alias("n_children"), F.col("t").cast("int").alias("est_tokens"))
     children = own.select("seq", "parent_id").unionByName(inside.select("seq", "parent_id"))
     return children, groups.unionByName(selfs)
+
+
+def sections(chunks: DataFrame) -> DataFrame:
+    """(doc, section_marker, n_children, title, chapter, pages, chars) of every section; ``build`` joins the texts, in bounded parts, of which only the length is needed here."""
+    t = chunks.where("coalesce(section_marker, '') <> ''")
+    first = lambda x: F.min_by(x, F.when(F.col(x) != "", F.col("seq")))
+    return t.groupBy("doc", "section_marker").agg(
+        F.count("*").alias("n_children"),
+        first("section_title").alias("title"),
+        first("chapter").alias("chapter"),
+        F.array_join(F.array_sort(F.collect_set("page")), ",").alias("pages"),
+        (F.sum(F.length(F.coalesce("text", F.lit("")))) + (F.count("*") - 1) * 2).alias("chars"),
+    )

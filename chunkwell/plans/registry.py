@@ -89,29 +89,34 @@ HEADINGS = [
 ]
 
 
-@register("fn_10_amended", "SELECT * FROM (VALUES " + ", ".join(f"('{h}', {'NULL' if v is None else repr(v)})" for h, v in HEADINGS) + ") AS t(heading, amends)")
+@register("fn_10_amended", "SELECT * FROM (VALUES " + ", ".join(f"('{h}', {'NULL' if v is None else repr(v)})" for h, v in HEADINGS) + f") AS t(heading, amends) UNION ALL SELECT section_title, {S.AMENDED} FROM (SELECT DISTINCT section_title FROM prose_chunks)")
 def _(s, d):
-    return s.createDataFrame([(h,) for h, _ in HEADINGS], "heading string").select("heading", T.amends_field(c("heading")).alias("amends"))
+    given = s.createDataFrame([(h,) for h, _ in HEADINGS], "heading string").unionByName(chunks(s, d).select(c("section_title").alias("heading")).distinct())
+    return given.select("heading", T.amends_field(c("heading")).alias("amends"))
 
 
 simple("fn_12_topics", {"tags": (lambda: F.array_join(T.topic_tags(c("text")), ";"), "array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in ws) + f" THEN '{t}' END" for t, ws in T.TOPICS.items()) + "], lambda x: x IS NOT NULL)[1:3], ';')")})
 simple("fn_13_path", {"path": (lambda: T.section_path(c("doc"), c("chapter"), c("kind"), c("node"), c("section_marker"), c("page")), S.SECTION_PATH)})
 simple("fn_14_prefix", {"prefix": (lambda: T.embed_prefix(c("source_act"), c("doc"), c("chapter"), c("section_path"), c("section_title"), c("kind"), c("amends_section")), S.EMBED_PREFIX)})
 simple("fn_15_embed_text", {"embed_text": (lambda: T.embed_text(c("source_act"), c("text")), "concat_ws(' — ', nullif(source_act, ''), coalesce(text, ''))")})
-FLAT = ["doc", "page", "kind", "est_tokens", "source_act", "legal_status", "in_force", "topic_tags"]
+FLAT = {"doc": "", "page": -1, "kind": "", "node": "", "chapter": "", "section_marker": "", "section_title": "", "est_tokens": -1, "source_type": "", "source_act": "", "effective_date": "", "legal_status": "", "in_force": "", "authority_rank": "", "translation_status": "", "text_layer": "", "section_number": "", "amends_section": "", "text_source": "", "retrievable": "", "topic_tags": ""}
 
 
-@register("fn_16_flat", "SELECT seq, coalesce(doc, '') AS doc, coalesce(page, -1) AS page, coalesce(kind, '') AS kind, coalesce(est_tokens, -1) AS est_tokens, coalesce(source_act, '') AS source_act, coalesce(legal_status, '') AS legal_status, coalesce(CAST(in_force AS VARCHAR), '') AS in_force, coalesce(array_to_string(topic_tags, '; '), '') AS topic_tags FROM prose_chunks")
+def flat_sql(n: str) -> str:
+    return f"coalesce({n}, -1) AS {n}" if FLAT[n] == -1 else f"coalesce(array_to_string({n}, '; '), '') AS {n}" if n == "topic_tags" else f"coalesce(CAST({n} AS VARCHAR), '') AS {n}"
+
+
+@register("fn_16_flat", "SELECT seq, " + ", ".join(map(flat_sql, FLAT)) + " FROM prose_chunks")
 def _(s, d):
     t = chunks(s, d)
-    return t.select("seq", *T.flat_metadata(t, FLAT))
+    return t.select("seq", *T.flat_metadata(t, list(FLAT)))
 
 
-@register("fn_17_unflat", "SELECT seq, coalesce(len(topic_tags), 0) AS n_tags, coalesce(page, -1) AS page, coalesce(in_force, false) AS in_force FROM prose_chunks")
+@register("fn_17_unflat", "SELECT seq, coalesce(array_to_string(topic_tags, '|'), '') AS tags, coalesce(page, -1) AS page, coalesce(est_tokens, -1) AS est_tokens, coalesce(in_force, false) AS in_force, coalesce(retrievable, false) AS retrievable FROM prose_chunks")
 def _(s, d):
     t = chunks(s, d)
-    flat = t.select("seq", *[x.cast("string").alias(n) for x, n in zip(T.flat_metadata(t, FLAT), FLAT, strict=True)])
-    return flat.select("seq", F.size(T.unflat_list(c("topic_tags"))).alias("n_tags"), T.unflat_int(c("page")).alias("page"), T.unflat_bool(c("in_force")).alias("in_force"))
+    flat = t.select("seq", *[x.cast("string").alias(n) for x, n in zip(T.flat_metadata(t, list(FLAT)), FLAT, strict=True)])
+    return flat.select("seq", F.array_join(T.unflat_list(c("topic_tags")), "|").alias("tags"), *[T.unflat_int(c(x)).alias(x) for x in ("page", "est_tokens")], *[T.unflat_bool(c(x)).alias(x) for x in ("in_force", "retrievable")])
 
 
 simple("fn_20_hash", {"h": (lambda: T.text_hash(c("text")), f"sha1(lower({S.norm('text')}))")})
@@ -133,10 +138,10 @@ def _(s, d):
     return e.select("k", F.array_join("e.variants", ";").alias("variants"), "e.multi_aspect", "e.historical", "e.degraded")
 
 
-simple("fn_26_amends_list", {"n_amends": (lambda: F.size(T.unflat_list(c("amends_section"))), "len(list_filter(list_transform(string_split(coalesce(amends_section, ''), ';'), lambda x: trim(x)), lambda x: x <> ''))")})
-simple("fn_30_parent_content", {"chars": (lambda: F.length(T.parent_content(c("kind"), c("text"), c("table_json"))), "length(CASE WHEN kind = 'table' THEN coalesce(table_json, '') ELSE coalesce(text, '') END)")}, "parent_id", "parent_store")
+simple("fn_26_amends_list", {"amends": (lambda: F.array_join(T.unflat_list(c("amends_section")), "|"), "array_to_string(list_filter(list_transform(string_split(coalesce(amends_section, ''), ';'), lambda x: trim(x)), lambda x: x <> ''), '|')")})
+simple("fn_30_parent_content", {"content": (lambda: T.parent_content(c("kind"), c("text"), c("table_json")), "CASE WHEN kind = 'table' THEN coalesce(table_json, '') ELSE coalesce(text, '') END")}, "parent_id", "parent_store")
 simple("fn_31_parent_tokens", {"tokens": (lambda: T.content_tokens(c("kind"), c("text"), c("table_json")), f"CASE WHEN kind = 'table' THEN greatest(1, CAST(round_even(length(coalesce(table_json, '')) / 4.0, 0) AS INT)) ELSE {S.tokens('text')} END")}, "parent_id", "parent_store")
-simple("fn_33_masthead_fields", {"ministry": (lambda: T.masthead_fields(c("text"))["issuing_authority"], f"nullif({S.norm(chr(39).join(['regexp_extract(text, ', '(?i)(Ministry[ \\t\\n\\f\\r]+of[^\\n.]*)', ', 1)']))}, '')"), "registration": (lambda: T.masthead_fields(c("text"))["registration_no"], r"nullif(regexp_replace(regexp_replace(regexp_extract(text, '(?i)Registered\s+No\.?\s*([A-Za-z]+\s*-\s*\S+|\S+)', 1), '-\s+', '-', 'g'), '\.+$', ''), '')")})
+register("fn_33_masthead_fields", S.MASTHEAD_FIELDS)(lambda s, d: chunks(s, d).select("seq", T.masthead_fields(c("text")).alias("f")).select("seq", "f.*"))
 simple("fn_36_section_number", {"num": (lambda: T.section_number(c("section_marker")), "nullif(regexp_extract(coalesce(section_marker, ''), '^([0-9]{1,3})', 1), '')")})
 
 
@@ -147,13 +152,13 @@ def _(s, d):
 
 
 def doc_lines(s, d):
-    t = table(s, d, "documents")
-    return ingest.line_table(t.withColumn("page", F.lit(1)), "doc_id", "page", "text")
+    """The lines of every chunk, a chunk taken as a page of its document."""
+    return ingest.line_table(once(s, d), "doc", "seq", "text")
 
 
-@register("fn_35_line_kinds", f"WITH {S.LINES} SELECT doc, line_no, kind, mark FROM l2")
+@register("fn_35_line_kinds", f"WITH {S.LINES} SELECT doc, page, line_no, kind, mark FROM l2")
 def _(s, d):
-    return doc_lines(s, d).select("doc", "line_no", "kind", "mark")
+    return doc_lines(s, d).select("doc", "page", "line_no", "kind", "mark")
 
 
 # --- FLT, JN ---------------------------------------------------------------------------------------------------------
@@ -293,11 +298,9 @@ def _(s, d):
     return quality.report(once(s, d)).select("doc", "items", "leaves", "parentless_leaves", "blank_nodes", "empty_texts", "front_matter", "furniture_stripped", "sections_seen", "checks_total", "checks_failed", "ok", "blocked", "pass_rate")
 
 
-@register("agg_06_sections", f"WITH c AS ({S.ONCE}) SELECT doc, section_marker, count(*) AS n_children, min(page) AS first_page, length(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY seq)) AS chars FROM c WHERE coalesce(section_marker, '') <> '' GROUP BY 1, 2")
+@register("agg_06_sections", f"WITH c AS ({S.ONCE}) SELECT doc, section_marker, count(*) AS n_children, min_by(section_title, CASE WHEN section_title <> '' THEN seq END) AS title, min_by(chapter, CASE WHEN chapter <> '' THEN seq END) AS chapter, coalesce(array_to_string(list_sort(list_distinct(list(page))), ','), '') AS pages, length(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY seq)) AS chars FROM c WHERE coalesce(section_marker, '') <> '' GROUP BY 1, 2")
 def _(s, d):
-    t = once(s, d).where("coalesce(section_marker, '') <> ''")
-    # the length of the joined text needs no text to be gathered; parents.build joins those of bounded parts
-    return t.groupBy("doc", "section_marker").agg(F.count("*").alias("n_children"), F.min("page").alias("first_page"), (F.sum(F.length(F.coalesce("text", F.lit("")))) + (F.count("*") - 1) * 2).alias("chars"))
+    return parents.sections(once(s, d))
 
 
 @register("agg_08_totals", "SELECT count(*) AS n, count(DISTINCT doc) AS docs, count(*) FILTER (WHERE retrievable) AS retrievable, count(*) FILTER (WHERE kind = 'leaf') AS leaves, sum(est_tokens) AS tokens FROM prose_chunks")
@@ -329,7 +332,7 @@ def _(s, d):
 
 @register("win_01_hierarchy", S.HIERARCHY)
 def _(s, d):
-    return ingest.hierarchy(doc_lines(s, d)).select("doc", "line_no", "chapter", "section_marker", "node", "block")
+    return ingest.hierarchy(doc_lines(s, d)).select("doc", "page", "line_no", "chapter", "section_marker", "node", "block")
 
 
 @register("tbl_14_nodes", f"WITH c AS ({S.ONCE}) SELECT chunk_id, CASE WHEN coalesce(node, '') = '' THEN printf('blk%03d', row_number() OVER (PARTITION BY doc ORDER BY seq)) ELSE node END AS node FROM c")

@@ -46,8 +46,8 @@ EMBED_PREFIX = """(SELECT string_agg(x, ' · ' ORDER BY i) FROM (SELECT x, min(i
 [coalesce(nullif(source_act, ''), doc), CASE WHEN trim(coalesce(chapter, '')) <> doc THEN trim(coalesce(chapter, '')) END], string_split(coalesce(section_path, ''), ' · '),
 [CASE WHEN kind = 'leaf' THEN section_title END, CASE WHEN coalesce(amends_section, '') <> '' THEN 'amends Bangladesh Labour Act, 2006 section ' || replace(amends_section, ';', ', ') END]) AS l)) WHERE x IS NOT NULL AND x <> '' GROUP BY x))"""
 
-LINES = rf"""l0 AS (SELECT doc_id AS doc, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
-l1 AS (SELECT doc, CAST(unnest(range(len(a))) AS INT) AS line_no, trim(unnest(a), ' ') AS line FROM l0),
+LINES = rf"""l0 AS (SELECT doc, seq AS page, string_split(text, chr(10)) AS a FROM ({ONCE}) WHERE text IS NOT NULL),
+l1 AS (SELECT doc, page, CAST(unnest(range(len(a))) AS INT) AS line_no, trim(unnest(a), ' ') AS line FROM l0),
 l2 AS (SELECT *, CASE WHEN regexp_matches(line, '^>') THEN 'quote' WHEN regexp_matches(line, '^\|') THEN 'table_row' WHEN regexp_matches(line, '^(?:[০-৯]{{1,3}}।|[0-9]{{1,3}}\.)') THEN 'section'
 WHEN regexp_matches(line, '^\((?:[০-৯]{{1,2}}[ক-হ]?|[0-9]{{1,2}})\)') THEN 'subsection' WHEN regexp_matches(line, '^\((?:[অ-৥]{{1,4}}|[a-z]{{1,2}})\)') THEN 'clause'
 WHEN regexp_matches(line, '^(?:PART|CHAPTER)\b') THEN 'chapter' WHEN regexp_matches(line, '^(?:Provided|তবে শর্ত)') THEN 'proviso' ELSE 'text' END AS kind,
@@ -58,9 +58,9 @@ last_value(CASE WHEN kind = 'chapter' THEN line END IGNORE NULLS) OVER w AS chap
 coalesce(last_value(CASE WHEN kind = 'section' THEN mark WHEN kind = 'chapter' THEN '' END IGNORE NULLS) OVER w, '') AS section_marker,
 coalesce(last_value(CASE WHEN kind IN ('section', 'chapter', 'table_row') THEN '' WHEN kind = 'subsection' THEN '(' || mark || ')' END IGNORE NULLS) OVER w, '') AS base,
 coalesce(last_value(CASE WHEN kind = 'clause' THEN '(' || mark || ')' WHEN kind = 'proviso' THEN '(proviso)' WHEN kind IN ('section', 'subsection', 'chapter', 'table_row') THEN '' END IGNORE NULLS) OVER w, '') AS suffix,
-CAST(sum(CASE WHEN kind <> 'text' THEN 1 ELSE 0 END) OVER w AS BIGINT) + CASE WHEN first_value(kind) OVER w = 'text' THEN 1 ELSE 0 END AS block
-FROM l2 WINDOW w AS (PARTITION BY doc ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT doc, line_no, chapter, section_marker, section_marker || CASE WHEN suffix <> '' THEN suffix ELSE base END AS node, block FROM h"""
+CAST(sum(CASE WHEN kind <> 'text' THEN 1 ELSE 0 END) OVER p AS BIGINT) + CASE WHEN first_value(kind) OVER p = 'text' THEN 1 ELSE 0 END AS block
+FROM l2 WINDOW w AS (PARTITION BY doc ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY doc, page ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT doc, page, line_no, chapter, section_marker, section_marker || CASE WHEN suffix <> '' THEN suffix ELSE base END AS node, block FROM h"""
 
 _LIKE = f"""len(list_filter(ls, lambda x: len(list_filter(string_split({norm("x")}, ' '), lambda w: w <> '')) >= 4 AND len(list_filter(string_split({norm("x")}, ' '), lambda w: w <> '')) * 6 < length(x) - 4))"""
 TEXT_LABEL = f"""(SELECT CASE WHEN {norm("text")} = '' THEN 'empty' WHEN {_LIKE} >= 3 AND {_LIKE} > len(ls) * 0.3 THEN 'table'
@@ -194,3 +194,15 @@ r AS (SELECT *, f || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END AS label
 j AS (SELECT *, '"' || label || '":{"Quantity":{"i":' || q || '},"Price":' || CASE WHEN contains(p, ',') THEN '{"s":"' || p || '"}' ELSE '{"d":' || CAST(CAST(p AS DOUBLE) AS VARCHAR) || '}' END || '}' AS cell FROM r)
 SELECT l_orderkey, 'Structured data table with 3 columns: Flag, Quantity, Price. It contains ' || count(*) || ' data rows and ' || (3 * count(*) + 3) || ' populated cells; sample values: Flag, Quantity, Price, ' || min_by(f, i) || ', ' || min_by(q, i) || '.' AS summary,
 string_agg(label, '|' ORDER BY i) AS labels, '{' || string_agg(cell, ',' ORDER BY i) || '}' AS data_json, true AS kept FROM j GROUP BY l_orderkey"""
+
+AMENDED = r"CASE WHEN regexp_matches(coalesce(section_title, ''), '২০০৬\s*সনের\s*৪২\s*নং\s*আইন') THEN 'named' END"
+
+_FIELDS = {
+    "gazette_name": r"(?i)(The\s+Bangladesh\s+Gazette[^.\n]*?)(?:\s+Published\b|\.|\s*$)",
+    "title_line": r"(?i)((?:The\s+)?Bangladesh\s+(?:Labour\s+)?(?:Rules|Act|Ordinance)[^.\n]{0,60})",
+    "publication_date": r"((?:Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)[^,\n]*,\s*[A-Za-z]+\s+\d{1,2},\s*\d{4})",
+    "issuing_authority": r"(?i)(Ministry\s+of[^\n.]*)",
+    "dated_reference": r"(?i)Dated\s*:\s*(.+)",
+}
+_field = lambda p: norm(f"regexp_extract(text, '{p}', 1)")
+MASTHEAD_FIELDS = r"""SELECT seq, nullif(regexp_replace(regexp_replace(regexp_extract(text, '(?i)Registered\s+No\.?\s*([A-Za-z]+\s*-\s*\S+|\S+)', 1), '-\s+', '-', 'g'), '\.+$', ''), '') AS registration_no, """ + ", ".join(f"nullif({_field(p)}, '') AS {n}" for n, p in _FIELDS.items()) + " FROM prose_chunks"
