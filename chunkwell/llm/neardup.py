@@ -171,8 +171,8 @@ def frequencies(rec: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-#: A key is 46 bits of hash below the segment's number; the rest describes the class in that segment, sizes cut off at their type's limit.
-ENTRY = np.dtype([("key", "V6"), ("rid", "<i8"), ("sketch", "<u8"), ("n", "<u2"), ("c", "u1")])
+#: A key is 46 bits of hash below the segment's number; the rest describes the class in that segment, the sketch folded to half its bits, sizes cut off at their type's limit.
+ENTRY = np.dtype([("key", "V6"), ("rid", "<i8"), ("sketch", "<u4"), ("n", "<u2"), ("c", "u1")])
 KEY_BITS = 48
 WIDE = np.dtype([("key", "<u8"), *[(k, t) for k, (t, _) in list(ENTRY.fields.items())[1:]]])
 
@@ -216,7 +216,8 @@ def _entries(rec: DataFrame, order: np.ndarray, t: float, parts: int) -> DataFra
             block = b.column(0).to_numpy().view(np.uint64)[seg // BOXES]
             key = _mix(h * ODD + _mix(block)) >> np.uint64(66 - KEY_BITS) | ((seg % BOXES).astype(np.uint64) << np.uint64(KEY_BITS - 2))
             e = np.empty(len(seg), ENTRY)
-            e["key"], e["rid"], e["sketch"] = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel(), b.column(1).to_numpy()[seg // BOXES], sketch
+            e["key"], e["rid"] = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel(), b.column(1).to_numpy()[seg // BOXES]
+            e["sketch"] = (sketch | sketch >> np.uint64(32)) & np.uint64(0xFFFFFFFF)
             e["n"], e["c"] = np.minimum(np.bincount(row, minlength=len(b))[seg // BOXES], 65535), np.minimum(n[seg], 255)
             by_record = -1 - (_mix(e["rid"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
             to = np.where(f > warm, by_record, (_mix(key) % np.uint64(parts)).astype(np.int64))
@@ -255,7 +256,7 @@ def _paired(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBa
         e = e[new]
         key, rid = e["key"], e["rid"]
         if p < 0:
-            yield pa.RecordBatch.from_pydict({"a": key.view(np.int64), "b": rid, "box": np.full(len(e), -1, np.int32), "n": e["n"].astype(np.int32), "c": e["c"].astype(np.int32), "sketch": e["sketch"].view(np.int64)})
+            yield pa.RecordBatch.from_pydict({"a": key.view(np.int64), "b": rid, "box": np.full(len(e), -1, np.int32), "n": e["n"].astype(np.int32), "c": e["c"].astype(np.int32), "sketch": e["sketch"].astype(np.int64)})
             continue
         d = 1
         left = np.arange(len(key))
