@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -200,11 +201,6 @@ def leaked(docs: DataFrame, key: str, text: str, passages: DataFrame, item: str,
     kind, item_kind = docs.schema[key].dataType.simpleString(), passages.schema[item].dataType.simpleString()
     scores = lookalike.bigrams(docs, text)
     reader = lookalike.Reader(scores)
-    blocks: list[list] = [[]]
-    for r in passages.select(item, passage).where(F.col(passage).isNotNull()).distinct().toLocalIterator():
-        if len(blocks[-1]) == BLOCK:
-            blocks.append([])
-        blocks[-1].append((r[0], words_of(r[1], reader)))
     gate = lookalike.gate_pattern()
     schema = f"key {kind}, item {item_kind}, first_word long, last_word long"
     sc = docs.sparkSession.sparkContext
@@ -258,7 +254,12 @@ def leaked(docs: DataFrame, key: str, text: str, passages: DataFrame, item: str,
 
         return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").mapInArrow(go, schema)
 
-    return reduce(DataFrame.unionByName, [job(b) for b in blocks]).withColumnRenamed("key", key).withColumnRenamed("item", item)
+    # one block's words at a time are held by the driver
+    stated = passages.select(item, passage).where(F.col(passage).isNotNull()).distinct().toLocalIterator()
+    jobs = []
+    while block := [(r[0], words_of(r[1], reader)) for r in islice(stated, BLOCK)]:
+        jobs.append(job(block))
+    return reduce(DataFrame.unionByName, jobs or [job([])]).withColumnRenamed("key", key).withColumnRenamed("item", item)
 
 
 def removal_spans(spans: DataFrame, key: str, item: str) -> DataFrame:

@@ -7,11 +7,12 @@ segment of every pair in question begins a chain round the ring of which each be
 cumulative budget. The steps:
 
 1. One pass over the texts turns each into runs of 40-bit hashes, written once to the shared folder.
-2. The frequency of runs is counted in 2**20 buckets, a table of fixed size that only orders runs (rare ones first).
+2. The frequency of runs is counted in 2**20 buckets (up to 2**23 where there are more than 2**37 runs), a table that only orders runs (rare ones first).
 3. In the segment that begins the chain the sets reach t themselves, so they share one of the first
    |A_i| - ceil(t |A_i|) + 1 runs in that order. Only these are dealt to tasks by hash, in packed blocks,
-   and records that share one become candidates. The entries of hot runs are dealt to tasks by record instead, split into
-   blocks, and joined block by block; what decides whether a chain may begin is part of the join's condition.
+   and records that share one become candidates. The entries of hot runs are split into blocks instead, and joined block by
+   block; what decides whether a chain may begin is part of the join's condition. Entries of runs so common that they could
+   overwhelm a task are dealt by record from the start.
 4. Chains are tested on 64-bit sketches of the segments, whose differing bits never exceed the true distance.
 5. The few pairs that remain get the full Hamming check on their runs.
 
@@ -35,7 +36,7 @@ from chunkwell.llm import lookalike
 from chunkwell.llm.common import stored
 from chunkwell.operators.graph import components
 
-BOXES, BUCKET_BITS, HASH_BYTES, HOT, COPIES = 4, 20, 5, 2048, 4096
+BOXES, HASH_BYTES, HOT, COMMON, COPIES = 4, 5, 2048, 1 << 20, 4096
 T, MIN_WORDS, RUN = 0.6, 40, 3
 ODD = np.uint64(0x9E3779B97F4A7C15)
 STRIP = r"[\pP\pS]+"
@@ -146,15 +147,19 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(n)), n), unpack(b"".join(col.to_pylist()))
 
 
-def frequencies(rec: DataFrame) -> np.ndarray:
-    """Counts of runs in 2**BUCKET_BITS buckets over all records, as bytes on a logarithmic scale: 1 MB whatever the input."""
-    size, slices = 1 << BUCKET_BITS, 64
+def _bucket(h: np.ndarray, size: int) -> np.ndarray:
+    return (_mix(h + np.uint64(3)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def frequencies(rec: DataFrame, size: int) -> np.ndarray:
+    """Counts of runs in ``size`` buckets (a power of two) over all records, as bytes on a logarithmic scale."""
+    slices = 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
             _, h = _flat(b.column(0))
-            total += np.bincount((_mix(h + np.uint64(3)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=size)
+            total += np.bincount(_bucket(h, size), minlength=size)
         part = total.astype("<i8").reshape(slices, -1)
         yield pa.RecordBatch.from_pydict({"part": np.arange(slices, dtype=np.int32), "n": pa.array([p.tobytes() for p in part], pa.binary())})
 
@@ -191,9 +196,9 @@ def _wide(b: bytes) -> np.ndarray:
 def _entries(rec: DataFrame, order: np.ndarray, t: float, parts: int) -> DataFrame:
     """(part, packed entries): the filter prefix of every segment, dealt by hash. The segment is in the key's two highest bits.
 
-    Entries of runs in hot buckets go to negative parts, by record, so that no key's entries meet in one task.
+    Entries of runs in buckets of more than COMMON go to negative parts, by record, so that no key's entries overwhelm a task.
     """
-    warm = int(math.log2(HOT + 1) * 6)
+    warm = int(math.log2(COMMON + 1) * 6)
     given = rec.sparkSession.sparkContext.broadcast(order)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +208,7 @@ def _entries(rec: DataFrame, order: np.ndarray, t: float, parts: int) -> DataFra
             if not len(row):
                 continue
             box = _box(h)
-            f = freq[(_mix(h + np.uint64(3)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
+            f = freq[_bucket(h, len(freq))].astype(np.uint64)
             seg = row * BOXES + box
             o = np.lexsort(((f << np.uint64(40)) | h, seg))
             seg, h, f = seg[o], h[o], f[o]
@@ -241,8 +246,8 @@ def _begins(x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
 PAIRED = "a long, b long, box int, n int, c int, sketch long"
 
 
-def _paired(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that share an entry's key and may begin a chain there, as (a < b, segment). Entries of hot runs go out singly, as (key, class, -1) with their sizes and sketch."""
+def _paired(batches: Iterator[pa.RecordBatch], t: float, most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes that share an entry's key and may begin a chain there, as (a < b, segment). Entries of runs of more than ``most`` records go out singly, as (key, class, -1) with their sizes and sketch."""
     blobs: dict[int, list[bytes]] = {}
     for b in batches:
         for p, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -253,10 +258,14 @@ def _paired(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBa
         new = np.ones(len(e), bool)
         new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["rid"][1:] != e["rid"][:-1])
         e = e[new]
+        edge = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1]))) if len(e) else np.zeros(0, np.int64)
+        size = np.repeat(np.diff(np.append(edge, len(e))), np.diff(np.append(edge, len(e))))
+        hot = (size > most) | (p < 0)
+        if hot.any():
+            x = e[hot]
+            yield pa.RecordBatch.from_pydict({"a": x["key"].view(np.int64), "b": x["rid"], "box": np.full(len(x), -1, np.int32), "n": x["n"].astype(np.int32), "c": x["c"].astype(np.int32), "sketch": x["sketch"].view(np.int64)})
+        e = e[~hot & (size > 1)]
         key, rid = e["key"], e["rid"]
-        if p < 0:
-            yield pa.RecordBatch.from_pydict({"a": key.view(np.int64), "b": rid, "box": np.full(len(e), -1, np.int32), "n": e["n"].astype(np.int32), "c": e["c"].astype(np.int32), "sketch": e["sketch"].view(np.int64)})
-            continue
         d = 1
         left = np.arange(len(key))
         while len(left):
@@ -289,7 +298,9 @@ def _candidates(rec: DataFrame, t: float) -> DataFrame:
     """Distinct pairs (a < b) of classes, with the segments in which they may begin a chain as bits of ``boxes``."""
     total = rec.where("runs is not null").agg(F.sum("n")).first()[0] or 0
     parts = max(int(rec.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 1_000_000))
-    pairs = stored(_entries(rec, frequencies(rec), t, parts).repartition(parts, "part").mapInArrow(lambda it: _paired(it, t), PAIRED))
+    hot = HOT
+    size = 1 << min(23, max(20, int(total).bit_length() - 17))
+    pairs = stored(_entries(rec, frequencies(rec, size), t, parts).repartition(parts, "part").mapInArrow(lambda it: _paired(it, t, hot), PAIRED))
     more = _hot_pairs(pairs.where("box < 0").select(F.col("a").alias("key"), F.col("b").alias("rid"), "n", "c", "sketch"), t)
     return pairs.where("box >= 0").select("a", "b", "box").unionByName(more).groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, box)")).alias("boxes"))
 

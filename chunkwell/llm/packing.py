@@ -138,6 +138,23 @@ def packed(df: DataFrame, key: str, text: str, plans: dict[str, list[int]], toke
     return pack(stored(token_counts(df, key, text, tokenizer)), key, plans)
 
 
+def part_texts(bins: DataFrame, df: DataFrame, key: str, text: str, tokenizer: str | None = None) -> DataFrame:
+    """``bins`` with ``piece``, the bytes of each part (UTF-8; a divided text may be cut inside a character). Parts of one text, in order, join to it again."""
+    kind = df.schema[key].dataType.simpleString()
+    j = bins.select(*bins.columns).join(df.select(F.col(key).alias("__k"), F.col(text).alias("__t")).where("__t is not null").dropDuplicates(["__k"]), F.col(key) == F.col("__k"))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoding(tokenizer)
+        for b in batches:
+            plan, bin_id, cap, k, no, start, n, t = (c.to_pylist() for c in b.columns)
+            cut = [enc.decode_bytes(enc.encode_ordinary(x)[s : s + m]) for x, s, m in zip(t, start, n, strict=True)]
+            cols = [*b.columns[:7], pa.array(cut, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["plan", "bin_id", "bin_capacity", "key", "part_no", "token_start", "tokens", "piece"])
+
+    cols = ["plan", "bin_id", "bin_capacity", key, "part_no", "token_start", "tokens", "__t"]
+    return j.select(*cols).mapInArrow(go, f"plan string, bin_id string, bin_capacity long, key {kind}, part_no long, token_start long, tokens long, piece binary").withColumnRenamed("key", key)
+
+
 def fill(bins: DataFrame) -> DataFrame:
     """Per plan: items, bins, tokens, capacity in all and the share of it that is used."""
     each = bins.groupBy("plan", "bin_id", "bin_capacity").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))

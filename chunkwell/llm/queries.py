@@ -139,4 +139,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": sql.P2_FOUND, "p3_found": sql.P3_FOUND}
+    return {"p2_found": sql.P2_FOUND, "p3_found": sql.P3_FOUND, "p3_cleaned": sql.P3_CLEANED, "p4_found": sql.P4_FOUND, "p5_found": sql.P5_FOUND, "p9_found": sql.P9_FOUND}

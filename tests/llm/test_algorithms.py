@@ -39,8 +39,9 @@ def near(spark, rows):
 
 
 def test_pairs_equal_brute_force(spark, monkeypatch):
-    for seed, hot in ((1, 2048), (2, 3)):
-        monkeypatch.setattr(neardup, "HOT", hot)  # the second run takes the way of hot runs and of many copies
+    for seed, hot, common in ((1, 2048, 1 << 20), (2, 3, 1 << 20), (3, 3, 2)):
+        monkeypatch.setattr(neardup, "HOT", hot)  # the second run takes the way of hot runs and of many copies, the third deals common ones by record
+        monkeypatch.setattr(neardup, "COMMON", common)
         monkeypatch.setattr(neardup, "COPIES", 4096 if hot > 3 else 1)
         rows = corpus(random.Random(seed))
         rows += [(f"e{i}", *rows[i % 3][1:]) for i in range(20)]
@@ -225,3 +226,42 @@ def test_removal_spans(spark):
     rows = [(1, 7, 0, 11), (1, 8, 5, 20), (1, 7, 21, 40), (1, 7, 60, 71), (2, 9, 3, 14)]
     got = leakage.removal_spans(spark.createDataFrame(rows, "doc_id long, item_id long, first_word long, last_word long"), "doc_id", "item_id").collect()
     assert {tuple(r) for r in got} == {(1, 0, 40, 2), (1, 60, 71, 1), (2, 3, 14, 1)}
+
+
+def test_parts_join_to_their_text(spark):
+    texts = {1: "শ্রমিক মজুরি পাইবেন। " * 60, 2: "short text", 3: "", 4: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, t string")
+    bins = packing.packed(df, "doc_id", "t", {"small": [64], "joint": [64, 128]})
+    got = {}
+    for r in packing.part_texts(bins, df, "doc_id", "t").collect():
+        got.setdefault((r.plan, r.doc_id), []).append((r.part_no, bytes(r.piece)))
+    for plan in ("small", "joint"):
+        assert {k[1]: b"".join(x for _, x in sorted(v)).decode() for k, v in got.items() if k[0] == plan} == {k: v for k, v in texts.items() if v is not None}
+
+
+def test_joint_capacities_waste_no_more_than_single_ones():
+    rnd = random.Random(2)
+    for _ in range(20):
+        sizes = [min(512, int(rnd.lognormvariate(4, 1)) + 1) for _ in range(400)]
+        room = lambda caps: sum(packing.best_fit(sizes, caps)[1])  # noqa: E731, B023
+        assert room([128, 256, 512]) <= room([512])
+
+
+def test_passages_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK", 2)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    items = [(k, " ".join(words[k * 10 : k * 10 + 14])) for k in range(4)] + [(9, None)]
+    got = leakage.leaked(docs, "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").collect()
+    assert sorted((r.item_id, r.first_word, r.last_word) for r in got) == [(k, k * 10, k * 10 + 13) for k in range(4)]
+    assert leakage.leaked(docs, "doc_id", "text", spark.createDataFrame([], "item_id long, text string"), "item_id", "text").count() == 0
+
+
+def test_sql_skeleton_of_copies():
+    import duckdb
+
+    from chunkwell.llm import sql
+
+    con = duckdb.connect()
+    for a, b in [("ｗａｇｅ", "wage"), ("wаgе", "wage"), ("ofﬁce", "office"), ("a b", "a b"), ("t​he", "the"), ("কো", "কো")]:
+        assert con.execute(f"select {sql.skeleton('x')} = {sql.skeleton('y')} from (select '{a}' as x, '{b}' as y)").fetchone()[0]
