@@ -374,6 +374,37 @@ def test_components(spark):
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    path = [(i, i + 1) for i in range(400)] + [(5000, k) for k in range(5001, 5400)]  # long, and hot
+    got = dict(graph.components(spark.createDataFrame(path, "a long, b long")).collect())
+    assert {got[k] for k in range(401)} == {0} and {got[k] for k in range(5000, 5400)} == {5000}
+
+
+def test_scratch_is_shared_and_released(spark, tmp_path):
+    import os
+
+    from chunkwell.functions import storage
+
+    df = storage.stored(spark.range(5))
+    assert df.count() == 5 and df._stored_at.startswith(spark.conf.get("spark.checkpoint.dir"))
+    storage.release(df)
+    assert not os.path.exists(df._stored_at.removeprefix("file://"))
+
+    class Cluster:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Cluster()
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        storage._folder(Session())
 
 
 def test_search_and_fusion(spark):
@@ -513,8 +544,10 @@ def run_stages(spark, **how):
     return retrieval.stages(ix, retrieval.expand(q, "text", F.col("reply")), store, models.embed, "k", **how)
 
 
-def test_stages_and_trace(spark):
+def test_stages_and_trace(spark, tmp_path):
     done = run_stages(spark)
+    sinks.write_traces(retrieval.trace(done, "k"), str(tmp_path / "traces"))
+    assert sorted(p.name for p in (tmp_path / "traces").glob("query_id=*")) == ["query_id=q1", "query_id=q2", "query_id=q3"]
     t = {r.query_id: r for r in retrieval.trace(done, "k").collect()}
     assert t["q1"].ok and t["q1"].flags.historical and len(t["q1"].final_context) == 5 and t["q1"].stages["5b"].note == "applied" and not t["q1"].stages["1"].fallbacks
     assert t["q2"].stages["1"].fallbacks == ["no_model_output"] and t["q2"].stages["5b"].note == "multi_aspect_not_flagged"
@@ -534,6 +567,17 @@ def test_measures(spark):
     assert got["r"] == (0, 0, 0) and got["q"][:2] == (0.5, 0.5)
 
 
+def test_pages_are_all_read(spark, tmp_path):
+    (tmp_path / "p.json").write_text("\n".join(f'{{"doc": "d", "page": {i}, "text": "t"}}' for i in range(1, 41)))
+    assert corpus.pages(spark, str(tmp_path / "p.json")).count() == 40 and corpus.pages(spark, str(tmp_path / "p.json"), 30).count() == 30
+
+
+def test_first_delivery(spark):
+    df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("a", 1, "y"), (None, 5, "z"), ("b", 2, None)], "chunk_id string, seq long, text string")
+    assert {tuple(r) for r in quality.delivered_once(df).collect()} == {("a", 1, "y"), (None, 5, "z"), ("b", 2, None)} and quality.delivered_once(df).count() == 3
+    assert quality.delivered_once(df.where("false")).count() == 0
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs" / "A b.TXT").write_bytes("héllo".encode() + b"\xff")
