@@ -22,7 +22,9 @@ def _folder(spark: SparkSession) -> str:
 def scratch(spark: SparkSession) -> str:
     """A fresh path in the shared folder, deleted when the application ends."""
     path = f"{_folder(spark)}/chunkwell/{uuid.uuid4().hex}"
-    _fs(spark, path)[0].deleteOnExit(_fs(spark, path)[1])
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)  # only of what is there
     return path
 
 
