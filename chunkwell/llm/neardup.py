@@ -7,14 +7,15 @@ segment of every pair in question begins a chain round the ring of which each be
 cumulative budget. The steps:
 
 1. One pass over the texts turns each into runs of 40-bit hashes, written once to the shared folder.
-2. The frequency of runs is counted in 2**20 buckets (up to 2**23 where there are more than 2**37 runs), a table that only orders runs (rare ones first).
-3. In the segment that begins the chain the sets reach t themselves, so they share one of the first
-   |A_i| - ceil(t |A_i|) + 1 runs in that order. Only these are dealt to tasks by hash, in packed blocks,
-   and records that share one become candidates. The entries of hot runs are split into blocks instead, and joined block by
+2. The frequency of runs is counted in 2**20 buckets (up to 2**23 where there are more than 2**30 runs), a table that only orders runs (rare ones first).
+3. In the segment that begins the chain the sets reach t themselves, so they share k of the first
+   |A_i| - ceil(t |A_i|) + k runs in that order, for any k up to ceil(t |A_i|); k grows with |A_i|. Only these are dealt to tasks by
+   hash, in packed blocks, one segment after the other, each one's files deleted before the next, and records that share k
+   of them become candidates. The entries of hot runs are split into blocks instead, and joined block by
    block; what decides whether a chain may begin is part of the join's condition. Entries of runs so common that they could
    overwhelm a task are dealt by record from the start.
 4. Chains are tested on 64-bit sketches of the segments, whose differing bits never exceed the true distance.
-5. The few pairs that remain get the full Hamming check on their runs.
+5. The few pairs that remain get the full Hamming check on their runs, in slices where there are many.
 
 Records with equal sets are one class throughout, whatever its number of copies; no candidate is ever capped.
 Null and short texts (fewer than ``min_words`` words) take no part. Null blocking keys equal one another.
@@ -24,19 +25,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunkwell.functions.storage import release
 from chunkwell.llm import lookalike
 from chunkwell.llm.common import stored
 from chunkwell.operators.graph import components
 
-BOXES, HASH_BYTES, HOT, COMMON, COPIES = 4, 5, 2048, 1 << 20, 4096
+BOXES, HASH_BYTES, HOT, COMMON, COPIES, STEP, SLICES = 4, 5, 2048, 1 << 20, 4096, 16, 2
 T, MIN_WORDS, RUN = 0.6, 40, 3
 ODD = np.uint64(0x9E3779B97F4A7C15)
 STRIP = r"[\pP\pS]+"
@@ -93,11 +97,12 @@ def _box(h: np.ndarray) -> np.ndarray:
 
 
 SIG = [*(f"c{i}" for i in range(BOXES)), *(f"m{i}" for i in range(BOXES))]
-RECORD = "key string, block long, rid long, n int, runs binary, " + ", ".join([f"c{i} int" for i in range(BOXES)] + [f"m{i} long" for i in range(BOXES)])
+RUNS = [f"r{i}" for i in range(BOXES)]
+RECORD = "key string, block long, rid long, n int, " + ", ".join([f"r{i} binary" for i in range(BOXES)] + [f"c{i} int" for i in range(BOXES)] + [f"m{i} long" for i in range(BOXES)])
 
 
 def records(df: DataFrame, key: str, text: str, block: list[Column], min_words: int = MIN_WORDS, run: int = RUN) -> DataFrame:
-    """One stored row per delivered record of enough words: its class ``rid``, its runs, and the sketches of its segments.
+    """One stored row per delivered record of enough words: its class ``rid``, the runs of its segments, and their sketches.
 
     The runs are left out where the same task has already given them for the class.
     """
@@ -121,6 +126,8 @@ def records(df: DataFrame, key: str, text: str, block: list[Column], min_words:
             start = np.concatenate(([0], np.cumsum(n)))
             box = _box(h)
             counts = np.bincount(row * BOXES + box, minlength=len(b) * BOXES).reshape(-1, BOXES)
+            packed = [_pack(h[box == i]).tobytes() for i in range(BOXES)]
+            at = np.concatenate((np.zeros((1, BOXES), np.int64), np.cumsum(counts, 0))) * HASH_BYTES
             bits = np.uint64(1) << (_mix(h + ODD) >> np.uint64(58))
             sketch = np.zeros(len(b) * BOXES, np.uint64)
             np.bitwise_or.at(sketch, row * BOXES + box, bits)
@@ -128,15 +135,15 @@ def records(df: DataFrame, key: str, text: str, block: list[Column], min_words:
             block_ = b.column(1).to_numpy().view(np.uint64)
             mixed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(h * ODD + np.uint64(7)))))
             rid = _mix((mixed[start[1:]] - mixed[start[:-1]]) * ODD + n.astype(np.uint64) + _mix(block_)).view(np.int64)
-            packed = _pack(h).tobytes()
-            runs = []
-            for i in range(len(b)):
-                r = int(rid[i])
-                runs.append(None if r in seen else packed[start[i] * HASH_BYTES : start[i + 1] * HASH_BYTES])
+            new = []
+            for r in rid.tolist():
+                new.append(r not in seen)
                 seen.add(r)
-            cols = [b.column(0), b.column(1), pa.array(rid), pa.array(n.astype(np.int32)), pa.array(runs, pa.binary())]
+            cols = [b.column(0), b.column(1), pa.array(rid), pa.array(n.astype(np.int32))]
+            for x, ends in zip(packed, at.T.tolist(), strict=True):
+                cols.append(pa.array([x[p:q] if given else None for given, p, q in zip(new, ends, ends[1:], strict=False)], pa.binary()))
             cols += [pa.array(counts[:, i].astype(np.int32)) for i in range(BOXES)] + [pa.array(sketch[:, i].copy().view(np.int64)) for i in range(BOXES)]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "block", "rid", "n", "runs", *SIG]).filter(pc.greater(cols[3], 0))
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "block", "rid", "n", *RUNS, *SIG]).filter(pc.greater(cols[3], 0))
 
     return stored(some.mapInArrow(go, RECORD))
 
@@ -151,25 +158,26 @@ def _bucket(h: np.ndarray, size: int) -> np.ndarray:
     return (_mix(h + np.uint64(3)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
-def frequencies(rec: DataFrame, size: int) -> np.ndarray:
-    """Counts of runs in ``size`` buckets (a power of two) over all records, as bytes on a logarithmic scale."""
+def frequencies(rec: DataFrame, size: int, total: int) -> np.ndarray:
+    """Counts of all ``total`` runs in ``size`` buckets (a power of two), as bytes on a logarithmic scale. Few enough tasks that their tables are small beside the runs."""
     slices = 64
+    tasks = min(4096, max(rec.sparkSession.sparkContext.defaultParallelism, total * HASH_BYTES // (16 * size)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        each = np.zeros(size, "<u4")
         for b in batches:
-            _, h = _flat(b.column(0))
-            total += np.bincount(_bucket(h, size), minlength=size)
-        part = total.astype("<i8").reshape(slices, -1)
+            for runs in b.columns:
+                np.add.at(each, _bucket(_flat(runs)[1], size), 1)
+        part = each.reshape(slices, -1)
         yield pa.RecordBatch.from_pydict({"part": np.arange(slices, dtype=np.int32), "n": pa.array([p.tobytes() for p in part], pa.binary())})
 
     def add(pdf):
         import pandas as pd
 
-        total = sum(np.frombuffer(x, "<i8") for x in pdf["n"])
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [np.minimum(np.log2(total + 1) * 6, 255).astype(np.uint8).tobytes()]})
+        n = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["n"])
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [np.minimum(np.log2(n + 1) * 6, 255).astype(np.uint8).tobytes()]})
 
-    got = rec.select("runs").where("runs is not null").coalesce(4096).mapInArrow(count, "part int, n binary").groupBy("part").applyInPandas(add, "part int, n binary").collect()
+    got = rec.select(*RUNS).where("r0 is not null").coalesce(tasks).mapInArrow(count, "part int, n binary").groupBy("part").applyInPandas(add, "part int, n binary").collect()
     out = np.zeros((slices, size // slices), np.uint8)
     for part, n in got:
         out[part] = np.frombuffer(n, np.uint8)
@@ -193,13 +201,17 @@ def _wide(b: bytes) -> np.ndarray:
     return out
 
 
-def _entries(rec: DataFrame, order: np.ndarray, t: float, parts: int) -> DataFrame:
-    """(part, packed entries): the filter prefix of every segment, dealt by hash. The segment is in the key's two highest bits.
+def _shared(c: np.ndarray, t: float) -> np.ndarray:
+    """Runs that a segment of ``c`` runs must share, within the prefixes, with one that reaches t: one more for every STEP runs."""
+    return np.minimum(1 + c // STEP, np.ceil(c * t - 1e-9).astype(np.int64))
+
+
+def _entries(rec: DataFrame, given: Broadcast, t: float, parts: int, box: int) -> DataFrame:
+    """(part, packed entries): the filter prefix of the segment ``box``, dealt by hash. The segment is in the key's two highest bits.
 
     Entries of runs in buckets of more than COMMON go to negative parts, by record, so that no key's entries overwhelm a task.
     """
     warm = int(math.log2(COMMON + 1) * 6)
-    given = rec.sparkSession.sparkContext.broadcast(order)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = given.value
@@ -207,22 +219,19 @@ def _entries(rec: DataFrame, order: np.ndarray, t: float, parts: int) -> DataFra
             row, h = _flat(b.column(2))
             if not len(row):
                 continue
-            box = _box(h)
             f = freq[_bucket(h, len(freq))].astype(np.uint64)
-            seg = row * BOXES + box
-            o = np.lexsort(((f << np.uint64(40)) | h, seg))
-            seg, h, f = seg[o], h[o], f[o]
-            n = np.bincount(seg, minlength=len(b) * BOXES)
-            first = np.concatenate(([0], np.cumsum(n)))[:-1]
-            most = n - np.ceil(n * t - 1e-9).astype(np.int64) + 1
-            take = np.arange(len(seg)) - first[seg] < most[seg]
-            seg, h, f = seg[take], h[take], f[take]
-            sketch = np.stack([b.column(3 + BOXES + i).to_numpy().view(np.uint64) for i in range(BOXES)], 1).ravel()[seg]
-            block = b.column(0).to_numpy().view(np.uint64)[seg // BOXES]
-            key = _mix(h * ODD + _mix(block)) >> np.uint64(66 - KEY_BITS) | ((seg % BOXES).astype(np.uint64) << np.uint64(KEY_BITS - 2))
-            e = np.empty(len(seg), ENTRY)
-            e["key"], e["rid"], e["sketch"] = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel(), b.column(1).to_numpy()[seg // BOXES], sketch
-            e["n"], e["c"] = np.minimum(np.bincount(row, minlength=len(b))[seg // BOXES], 65535), np.minimum(n[seg], 255)
+            o = np.lexsort(((f << np.uint64(40)) | h, row))
+            row, h, f = row[o], h[o], f[o]
+            c = np.bincount(row, minlength=len(b))
+            first = np.concatenate(([0], np.cumsum(c)))[:-1]
+            most = c - np.ceil(c * t - 1e-9).astype(np.int64) + _shared(c, t)
+            take = np.arange(len(row)) - first[row] < most[row]
+            row, h, f = row[take], h[take], f[take]
+            block = b.column(0).to_numpy().view(np.uint64)[row]
+            key = _mix(h * ODD + _mix(block)) >> np.uint64(66 - KEY_BITS) | np.uint64(box << (KEY_BITS - 2))
+            e = np.empty(len(row), ENTRY)
+            e["key"], e["rid"], e["sketch"] = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel(), b.column(1).to_numpy()[row], b.column(4).to_numpy().view(np.uint64)[row]
+            e["n"], e["c"] = np.minimum(b.column(3).to_numpy()[row], 65535), np.minimum(c[row], 255)
             by_record = -1 - (_mix(e["rid"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
             to = np.where(f > warm, by_record, (_mix(key) % np.uint64(parts)).astype(np.int64))
             o = np.argsort(to, kind="stable")
@@ -231,7 +240,7 @@ def _entries(rec: DataFrame, order: np.ndarray, t: float, parts: int) -> DataFra
             cut = np.append(cut, len(to))
             yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "e": pa.array([e[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())})
 
-    return rec.select("block", "rid", "runs", *SIG).where("runs is not null").mapInArrow(go, "part int, e binary")
+    return rec.where("r0 is not null").select("block", "rid", f"r{box}", "n", f"m{box}").mapInArrow(go, "part int, e binary")
 
 
 def _begins(x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
@@ -243,11 +252,11 @@ def _begins(x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
     return size & ((apart <= (1 - t) / (1 + t) * (c + e) + 1e-9) | (np.maximum(c, e) == 255))
 
 
-PAIRED = "a long, b long, box int, n int, c int, sketch long"
+PAIRED = "a long, b long, need int, n int, c int, sketch long"
 
 
 def _paired(batches: Iterator[pa.RecordBatch], t: float, most: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that share an entry's key and may begin a chain there, as (a < b, segment). Entries of runs of more than ``most`` records go out singly, as (key, class, -1) with their sizes and sketch."""
+    """Pairs of classes that share an entry's key and may begin a chain there, as (a < b, the number of keys that they must share). Entries of runs of more than ``most`` records go out singly, as (key, class, -1) with their sizes and sketch."""
     blobs: dict[int, list[bytes]] = {}
     for b in batches:
         for p, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -263,7 +272,7 @@ def _paired(batches: Iterator[pa.RecordBatch], t: float, most: int) -> Iterator[
         hot = (size > most) | (p < 0)
         if hot.any():
             x = e[hot]
-            yield pa.RecordBatch.from_pydict({"a": x["key"].view(np.int64), "b": x["rid"], "box": np.full(len(x), -1, np.int32), "n": x["n"].astype(np.int32), "c": x["c"].astype(np.int32), "sketch": x["sketch"].view(np.int64)})
+            yield pa.RecordBatch.from_pydict({"a": x["key"].view(np.int64), "b": x["rid"], "need": np.full(len(x), -1, np.int32), "n": x["n"].astype(np.int32), "c": x["c"].astype(np.int32), "sketch": x["sketch"].view(np.int64)})
         e = e[~hot & (size > 1)]
         key, rid = e["key"], e["rid"]
         d = 1
@@ -275,12 +284,13 @@ def _paired(batches: Iterator[pa.RecordBatch], t: float, most: int) -> Iterator[
                 i = left[s : s + (1 << 18)]
                 i = i[_begins(e[i], e[i + d], t)]
                 none = pa.nulls(len(i), pa.int32())
-                yield pa.RecordBatch.from_pydict({"a": rid[i], "b": rid[i + d], "box": (key[i] >> np.uint64(KEY_BITS - 2)).astype(np.int32), "n": none, "c": none, "sketch": pa.nulls(len(i), pa.int64())})
+                need = _shared(np.minimum(e["c"][i], e["c"][i + d]).astype(np.int64), t).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"a": rid[i], "b": rid[i + d], "need": need, "n": none, "c": none, "sketch": pa.nulls(len(i), pa.int64())})
             d += 1
 
 
 def _hot_pairs(hot: DataFrame, t: float) -> DataFrame:
-    """(a < b, segment) of the hot runs' records (key, rid, n, c, sketch) that may begin a chain: blocks of about HOT records, each met by each."""
+    """(a < b, needed keys) of the hot runs' records (key, rid, n, c, sketch) that may begin a chain: blocks of about HOT records, each met by each."""
     blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
     rows = hot.join(blocks, "key").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     side = lambda s, i, j: rows.select("key", F.explode(F.sequence(i, j)).alias("other"), "part", *[F.col(c).alias(f"{s}{c}") for c in ("rid", "n", "c", "sketch")])
@@ -289,20 +299,37 @@ def _hot_pairs(hot: DataFrame, t: float) -> DataFrame:
     size = (F.least("xn", "yn") >= F.greatest("xn", "yn") * F.lit(t) - 1e-9) | (F.greatest("xn", "yn") == 65535)
     apart = F.bit_count(F.col("xsketch").bitwiseXOR(F.col("ysketch")))
     begins = (apart <= F.lit((1 - t) / (1 + t)) * (F.col("xc") + F.col("yc")) + 1e-9) | (F.greatest("xc", "yc") == 255)
+    c = F.least("xc", "yc")
+    need = F.least(1 + F.floor(c / STEP), F.ceil(c * F.lit(t) - 1e-9)).cast("int")
     same = [x[k] == y[k] for k in ("key", "i", "j")]
     met = x.join(y, same[0] & same[1] & same[2] & ((x["i"] < x["j"]) | (x["xrid"] < y["yrid"])) & size & begins)
-    return met.select(F.least("xrid", "yrid").alias("a"), F.greatest("xrid", "yrid").alias("b"), F.shiftrightunsigned(x["key"], KEY_BITS - 2).cast("int").alias("box"))
+    return met.select(F.least("xrid", "yrid").alias("a"), F.greatest("xrid", "yrid").alias("b"), need.alias("need"))
+
+
+def _total(rec: DataFrame) -> int:
+    return rec.where("r0 is not null").agg(F.sum("n")).first()[0] or 0
 
 
 def _candidates(rec: DataFrame, t: float) -> DataFrame:
-    """Distinct pairs (a < b) of classes, with the segments in which they may begin a chain as bits of ``boxes``."""
-    total = rec.where("runs is not null").agg(F.sum("n")).first()[0] or 0
-    parts = max(int(rec.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 1_000_000))
+    """Distinct pairs (a < b) of classes, with the segments in which they may begin a chain as bits of ``boxes``.
+
+    One segment at a time: its entries are deleted before those of the next are dealt, and only pairs that share enough of them are kept.
+    """
+    spark = rec.sparkSession
+    total = _total(rec)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BOXES / 1_000_000))
     hot = HOT
-    size = 1 << min(23, max(20, int(total).bit_length() - 17))
-    pairs = stored(_entries(rec, frequencies(rec, size), t, parts).repartition(parts, "part").mapInArrow(lambda it: _paired(it, t, hot), PAIRED))
-    more = _hot_pairs(pairs.where("box < 0").select(F.col("a").alias("key"), F.col("b").alias("rid"), "n", "c", "sketch"), t)
-    return pairs.where("box >= 0").select("a", "b", "box").unionByName(more).groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, box)")).alias("boxes"))
+    size = 1 << min(23, max(20, int(total).bit_length() - 8))
+    order = spark.sparkContext.broadcast(frequencies(rec, size, total))
+    found = []
+    for box in range(BOXES):
+        met = stored(_entries(rec, order, t, parts, box).repartition(parts, "part").mapInArrow(lambda it: _paired(it, t, hot), PAIRED), free=True)
+        more = _hot_pairs(met.where("need < 0").select(F.col("a").alias("key"), F.col("b").alias("rid"), "n", "c", "sketch"), t)
+        pairs = met.where("need >= 0").select("a", "b", "need").unionByName(more).groupBy("a", "b").agg(F.count("*").alias("keys"), F.max("need").alias("need"))
+        found.append(stored(pairs.where("keys >= need").select("a", "b", F.lit(1 << box).alias("boxes")), free=True))
+        release(met)
+    order.destroy()
+    return reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.bit_or("boxes").alias("boxes"))
 
 
 def _chain(t: float) -> Column:
@@ -320,18 +347,20 @@ def _chain(t: float) -> Column:
 
 
 def similar_classes(rec: DataFrame, t: float = T) -> DataFrame:
-    """Pairs (a < b) of classes of similarity ``sim`` >= t, exactly checked."""
-    sig = rec.where("runs is not null").select("rid", "n", *SIG).dropDuplicates(["rid"])
+    """Pairs (a < b) of classes of similarity ``sim`` >= t, exactly checked.
+
+    The check moves both sets of every pair. It is done in slices of the pairs that move at most half as many runs as all records have.
+    """
+    some = rec.where("r0 is not null")
+    sig = some.select("rid", "n", *SIG).dropDuplicates(["rid"])
     side = lambda x: sig.select(*[F.col(c).alias(f"{x}_{c}" if c != "rid" else x) for c in sig.columns])
     pairs = _candidates(rec, t).join(side("a"), "a").where("true").join(side("b"), "b")
-    pairs = pairs.where((F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(t) - 1e-9) & _chain(t)).select("a", "b")
-    pairs = stored(pairs)
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("rid"))
-    few = ends.select("rid").distinct()
+    pairs = pairs.where((F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(t) - 1e-9) & _chain(t))
+    pairs = stored(pairs.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("moved")), free=True)
+    few = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     if few.count() <= 1_000_000:  # 8 MB of identifiers at most
         few = F.broadcast(few)
-    runs = rec.where("runs is not null").select("rid", "runs").join(few, "rid", "left_semi").dropDuplicates(["rid"])
-    both = ends.join(runs, "rid").groupBy("a", "b").agg(F.min(F.when(F.col("rid") == F.col("a"), F.col("runs"))).alias("x"), F.min(F.when(F.col("rid") == F.col("b"), F.col("runs"))).alias("y"))
+    runs = stored(some.select("rid", F.concat(*RUNS).alias("runs")).join(few, "rid", "left_semi").dropDuplicates(["rid"]), free=True)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -343,7 +372,15 @@ def similar_classes(rec: DataFrame, t: float = T) -> DataFrame:
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
             yield out.filter(pc.greater_equal(out.column(2), t - 1e-12))
 
-    return both.mapInArrow(check, "a long, b long, sim double")
+    slices = max(1, math.ceil(SLICES * (pairs.agg(F.sum("moved")).first()[0] or 0) / max(1, _total(rec))))
+    found = []
+    for k in range(slices):
+        ends = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k).select("a", "b", F.explode(F.array("a", "b")).alias("rid"))
+        both = ends.join(runs, "rid").groupBy("a", "b").agg(F.min(F.when(F.col("rid") == F.col("a"), F.col("runs"))).alias("x"), F.min(F.when(F.col("rid") == F.col("b"), F.col("runs"))).alias("y"))
+        found.append(stored(both.mapInArrow(check, "a long, b long, sim double"), free=True))
+    release(pairs)
+    release(runs)
+    return reduce(DataFrame.unionByName, found)
 
 
 def pairs_of(rec: DataFrame, links: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Problems 4, 5, 8, 9, 10: brute force on small data, edge cases."""
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -49,6 +50,51 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
         assert {tuple(r) for r in neardup.pairs_of(rec, links).collect()} == brute_pairs(rows)
 
 
+def test_long_texts_with_little_in_common_are_no_candidates(spark):
+    # every two share a phrase of eight words; sketches of 64 bits are full at this length and drop nothing
+    rnd = random.Random(5)
+    text = {i: [] for i in range(36)}
+    for i in text:
+        for j in range(i):
+            phrase = [f"w{rnd.randrange(10**6)}" for _ in range(8)]
+            text[i] += phrase
+            text[j] += phrase
+    rows = [(f"c{i:02}", " ".join(w), "A", "1") for i, w in text.items()]
+    rows.append(("near", " ".join(text[3][:-20]), "A", "1"))
+    rec, links = near(spark, rows)
+    assert neardup._candidates(rec, 0.6).count() == 1
+    assert [tuple(r) for r in neardup.pairs_of(rec, links).collect()] == [("c03", "near")]
+
+
+def test_long_pairs_about_the_limit_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SLICES", 3)
+    rnd = random.Random(6)
+    rows = []
+    for b in range(5):
+        base = [rnd.choice(["the", "of", f"w{rnd.randrange(3000)}"]) for _ in range(rnd.choice([120, 400, 900]))]
+        for i in range(9):
+            share = rnd.uniform(0.02, 0.1)
+            rows.append((f"c{b}{i}", " ".join(f"x{rnd.randrange(3000)}" if rnd.random() < share else w for w in base), "A", None))
+    want = brute_pairs(rows)
+    rec, links = near(spark, rows)
+    assert {tuple(r) for r in neardup.pairs_of(rec, links).collect()} == want and 20 < len(want) < 5 * 36
+
+
+def test_shuffle_files_are_deleted_when_stored(spark):
+    from chunkwell.functions.storage import CLEANUP, stored
+
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle" in f.getName()}
+    before, setting = files(), spark.conf.get(CLEANUP)
+    got = stored(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), free=True)
+    assert got.count() == 7 and spark.conf.get(CLEANUP) == setting
+    for _ in range(50):  # they are deleted beside the query
+        left = {f for f in files() - before if f.endswith(".data")}
+        if len(left) <= 1:
+            break
+        time.sleep(0.1)
+    assert len(left) <= 1  # that of the count above
+
+
 def test_groups_and_survivors(spark):
     rows = corpus(random.Random(4))
     rec, links = near(spark, rows)
