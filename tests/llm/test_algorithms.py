@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from chunkwell.llm import leakage, lookalike, neardup, packing, truncation
+from chunkwell.operators.graph import components
 
 
 def edited(rnd, base):
@@ -80,19 +81,38 @@ def test_long_pairs_about_the_limit_in_slices(spark, monkeypatch):
     assert {tuple(r) for r in neardup.pairs_of(rec, links).collect()} == want and 20 < len(want) < 5 * 36
 
 
-def test_shuffle_files_are_deleted_when_stored(spark):
-    from chunkwell.functions.storage import CLEANUP, stored
+def shuffled(spark):
+    """Bytes of the shuffle files by name."""
+    jvm = spark._jvm
+    files = jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle") and f.getName().endswith(".data")}
+
 
-    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle" in f.getName()}
-    before, setting = files(), spark.conf.get(CLEANUP)
-    got = stored(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), free=True)
-    assert got.count() == 7 and spark.conf.get(CLEANUP) == setting
-    for _ in range(50):  # they are deleted beside the query
-        left = {f for f in files() - before if f.endswith(".data")}
-        if len(left) <= 1:
+def left_after(spark, before, most):
+    """Bytes of later shuffle files; they are deleted beside the query, so a few seconds are given to get below ``most``."""
+    for _ in range(50):
+        left = sum(n for f, n in shuffled(spark).items() if f not in before)
+        if left < most:
             break
         time.sleep(0.1)
-    assert len(left) <= 1  # that of the count above
+    return left
+
+
+def test_shuffle_files_are_deleted_when_stored(spark):
+    from chunkwell.functions.storage import CLEANUP, stored
+
+    before, setting = shuffled(spark), spark.conf.get(CLEANUP)
+    got = stored(spark.range(20_000).repartition(3, "id").select(F.sha2(F.col("id").cast("string"), 256).alias("k")), free=True)
+    assert left_after(spark, before, 1000) < 1000
+    assert got.distinct().count() == 20_000 and spark.conf.get(CLEANUP) == setting
+
+
+def test_rounds_of_components_leave_no_shuffle_files(spark):
+    links = spark.range(4000).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1 + F.col("id") % 2).alias("b"))
+    before = shuffled(spark)
+    got = components(links)
+    assert left_after(spark, before, 20_000) < 20_000  # but for the rounds' counts
+    assert got.select("node").distinct().count() == got.count() >= 4000
 
 
 def test_groups_and_survivors(spark):
