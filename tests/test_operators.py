@@ -359,6 +359,29 @@ def test_hot_grams_in_blocks(spark, monkeypatch):
     assert sorted((r.a, r.b) for r in dedup.near_pairs(df).collect()) == want and want
 
 
+
+def test_near_pairs_write_no_vectors(spark, monkeypatch):
+    """What is written for a record is its text and a sketch of fixed size: on long texts vectors of 3- to 5-grams took several times the text."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    rows = [chunk(i, doc=f"d{i % 3}", text=" ".join(word() for _ in range(1500))) for i in range(40)]
+    rows.append(chunk(40, doc="d9", text=rows[0][6] + " " + word()))
+    wrote = []
+
+    def noted(df, *a, **k):
+        import pathlib
+
+        out = stored(df, *a, **k)
+        wrote.append(sum(p.stat().st_size for p in pathlib.Path(out._stored_at.removeprefix("file://")).rglob("*.parquet")))
+        return out
+
+    stored = dedup.stored
+    monkeypatch.setattr(dedup, "stored", noted)
+    got = dedup.near_pairs(spark.createDataFrame(rows, CHUNK)).collect()
+    assert [tuple(sorted((r.a, r.b))) for r in got] == [("c0", "c40")]
+    assert sum(wrote) < 1.5 * sum(len(r[6]) for r in rows)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
